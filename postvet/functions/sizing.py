@@ -1,0 +1,26 @@
+"""Broadcast only what has been measured."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from postvet.session import materialise
+
+MAX_ROWS = 500_000
+MAX_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """Store `df`, measure it, and hint a broadcast only if it is within the bounds.
+
+    Above the bounds the stored table is returned without a hint, so the join is
+    a shuffle join whose hot partitions AQE splits. The result is the same.
+    """
+    stored = materialise(df)
+    rows, size = stored.select(
+        F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    ).first()
+    return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored
