@@ -49,18 +49,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
 
 
-def phrases(tokens: Column, max_words: int) -> Column:
-    """Distinct runs of 1 to `max_words` words."""
+def phrases(tokens: str, max_words: int) -> Column:
+    """Distinct runs of 1 to `max_words` words from the array column `tokens`.
+
+    Takes a column name: the words must be a stored column, or they would be
+    split anew for every run.
+    """
     if max_words < 1:
         raise ValueError("max_words must be at least 1")
-    parts = [tokens]
+    runs = [F.col(tokens)]
     for n in range(2, max_words + 1):
-        runs = F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-            lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "),
+        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        runs.append(
+            F.zip_with(
+                F.slice(runs[-1], F.lit(1), count),
+                F.slice(F.col(tokens), F.lit(n), count),
+                lambda run, word: F.concat_ws(" ", run, word),
+            )
         )
-        parts.append(F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*parts) if len(parts) > 1 else tokens)
+    return F.array_distinct(F.concat(*runs)) if max_words > 1 else F.array_distinct(runs[0])
 
 
 def same_text_key(text: Column) -> Column:
@@ -68,12 +75,6 @@ def same_text_key(text: Column) -> Column:
     return F.sha2(F.array_join(words(text), " "), 256)
 
 
-def same_template_key(text: Column) -> Column:
-    """Fingerprint that also ignores word order, repeats and words with digits."""
-    kept = F.filter(words(text), lambda w: ~w.rlike(r"\p{N}"))
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(kept)), " "), 256)
-
-
 def emails(text: Column) -> Column:
     """All mail addresses in order."""
     return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))

@@ -36,7 +36,7 @@ def chat_summary(chat: DataFrame, roles: tuple[str, ...] = (USER, BOT, "system")
     counts = (
         marked.groupBy("conv_id")
         .pivot("role", list(roles))
-        .agg(F.count("*").alias("messages"), F.count_if(unanswered).alias("unanswered"))
+        .agg(F.count(F.lit(1)).alias("messages"), F.count_if(unanswered).alias("unanswered"))
         .fillna(0)
     )
     return counts.select(

@@ -71,8 +71,8 @@ def subscribed_features(subscriptions: DataFrame, plans: DataFrame) -> DataFrame
 
 
 def subscription_charges(subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
-    """Monthly charge per user. The plan list is a handful of literal rows."""
-    prices = F.broadcast(plan_prices(plans).select("plan", "billing", "price"))
+    """Monthly charge per user."""
+    prices = plan_prices(plans).select("plan", "billing", "price")
     return subscriptions.join(prices, ["plan", "billing"]).select(
         "user_id", "plan", "billing", F.col("price").alias("charge")
     )

@@ -177,32 +177,6 @@ def exact_reposts(postings: DataFrame) -> DataFrame:
     )
 
 
-def near_reposts(postings: DataFrame) -> DataFrame:
-    """Reworded copies: same vocabulary apart from order, repeats and figures.
-
-    Groups instead of pairs, so the output grows with the postings and not with
-    the square of a group.
-    """
-    text = F.col("text")
-    return (
-        postings.select(
-            "posting_id", "source",
-            T.same_template_key(text).alias("template_key"), T.same_text_key(text).alias("text_key"),
-        )
-        # Exact copies fold first, so a hot text is one row from here on.
-        .groupBy("template_key", "text_key", "source")
-        .agg(F.min("posting_id").alias("first"), F.count("*").alias("n"))
-        .groupBy("template_key")
-        .agg(
-            F.min("first").alias("first_posting"),
-            F.sum("n").alias("postings"),
-            F.count_distinct("text_key").alias("wordings"),
-            F.count_distinct("source").alias("sources"),
-        )
-        .filter("wordings > 1")
-    )
-
-
 # --- flags, score, band, verdict ---------------------------------------------
 
 

@@ -72,32 +72,35 @@ def user_rank(usage: DataFrame) -> DataFrame:
 def scan_quota(user_events: DataFrame, subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
     """Mark each scan of a month as within the plan's quota or not.
 
-    Only the first `scans_per_month` scans of a limited user decide, and those
-    are found with a limit inside the plan. Each scan is then compared with the
-    last one allowed. A scan without a subscription is not allowed.
+    Only the first scans of a month decide. They are found with a limit inside the
+    plan, so a task passes on a few rows per user and month, and the last allowed
+    one becomes a date per month in the user's row. All scans are then moved once,
+    to meet that row. A scan without a subscription is not allowed.
     """
-    limits = subscriptions.join(
-        F.broadcast(plans.select(F.col("name").alias("plan"), "scans_per_month")), "plan"
-    ).select("user_id", "plan", "scans_per_month")
-    scans = (
-        user_events.filter(F.col("event_type") == SCAN)
-        .select("event_id", "user_id", "ts", F.date_format("ts", "yyyy-MM").alias("month"))
-        .join(limits, "user_id", "left")
+    scans = user_events.filter(F.col("event_type") == SCAN).select(
+        "event_id", "user_id", "ts", F.date_format("ts", "yyyy-MM").alias("month")
     )
-    limited = scans.filter(F.col("scans_per_month").isNotNull())
-    largest = max(row[0] or 0 for row in plans.select("scans_per_month").collect())
+    users = subscriptions.join(
+        plans.select(F.col("name").alias("plan"), "scans_per_month"), "plan"
+    ).select("user_id", "plan", "scans_per_month")
+    largest = plans.agg(F.max("scans_per_month")).first()[0] or 0
     order = W.partitionBy("user_id", "month").orderBy("ts", "event_id")
     last_allowed = (
-        limited.withColumn("_rn", F.row_number().over(order))
+        scans.withColumn("_rn", F.row_number().over(order))
         .filter(F.col("_rn") <= largest)
+        .join(users, "user_id")
         .filter(F.col("_rn") <= F.col("scans_per_month"))
         .groupBy("user_id", "month")
-        .agg(F.max(F.struct("ts", "event_id")).alias("_last"))
+        .agg(F.max(F.struct("ts", "event_id")).alias("last"))
+        .groupBy("user_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("month", "last"))).alias("_last"))
     )
-    unlimited = F.col("plan").isNotNull() & F.col("scans_per_month").isNull()
-    within = F.coalesce(F.struct("ts", "event_id") <= F.col("_last"), F.lit(False))
-    return scans.join(last_allowed, ["user_id", "month"], "left").select(
-        "event_id", "user_id", "month", "plan", (unlimited | within).alias("allowed")
+    quota = users.join(last_allowed, "user_id", "left").withColumn("_known", F.lit(True))
+    unlimited = F.col("_known") & F.col("scans_per_month").isNull()
+    within = F.struct("ts", "event_id") <= F.try_element_at("_last", F.col("month"))
+    return scans.join(quota, "user_id", "left").select(
+        "event_id", "user_id", "month", "plan",
+        (F.coalesce(unlimited, F.lit(False)) | F.coalesce(within, F.lit(False))).alias("allowed"),
     )
 
 
