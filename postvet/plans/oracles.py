@@ -404,7 +404,7 @@ ORACLES: dict[str, str] = {
         SELECT posting_id, (unnest(range(len(flags))))::INT AS pos, unnest(flags) AS flag
         FROM flags"""),
     "domain_age": _sql(["age"], """
-        SELECT company_id, domain_age_days::INT AS domain_age_days, domain_age FROM age"""),
+        SELECT company_id, domain_age_days::DOUBLE AS domain_age_days, domain_age FROM age"""),
     "online_presence": _sql(["presence"], "SELECT * FROM presence"),
     "unlisted_companies": _sql(["listings"], """
         SELECT c_custkey AS company_id, c_name AS name FROM customer
@@ -413,10 +413,10 @@ ORACLES: dict[str, str] = {
         SELECT c_custkey AS company_id, c_name AS name FROM customer
         WHERE c_custkey IN (SELECT company_id FROM listings)"""),
     "verify_company": _sql(["verified"], """
-        SELECT company_id, is_verified, domain_age, domain_age_days::INT AS domain_age_days,
+        SELECT company_id, is_verified, domain_age, domain_age_days::DOUBLE AS domain_age_days,
                online_presence FROM verified"""),
     "verification_defaults": _sql(["shown"], """
-        SELECT company_id, is_verified, domain_age, domain_age_days::INT AS domain_age_days,
+        SELECT company_id, is_verified, domain_age, domain_age_days::DOUBLE AS domain_age_days,
                online_presence, entity FROM shown"""),
     "company_deep_dive": _sql(["scam", "reviews"], """
         SELECT p.*, mean_rating FROM (
@@ -539,7 +539,7 @@ ORACLES: dict[str, str] = {
         ["scam", "shown", "sentiments", "summaries", "pros_cons", "matches"], """
         SELECT p.posting_id, o_custkey AS company_id, band, verdict, p.score AS risk_score,
                array_to_string(flags, '; ') AS flags, is_verified, domain_age,
-               domain_age_days::INT AS domain_age_days, online_presence, sentiment,
+               domain_age_days::DOUBLE AS domain_age_days, online_presence, sentiment,
                s.score AS review_score, summary, pros, cons, match_percentage,
                coalesce(missing, '') AS missing_skills
         FROM scam p JOIN orders ON o_orderkey = p.posting_id

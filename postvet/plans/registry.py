@@ -161,6 +161,11 @@ def ml_risk_score(fx):
 # --- company verification
 
 
+def _number(column: str):
+    """A whole number that may be missing, as other tools read it."""
+    return F.col(column).cast("double").alias(column)
+
+
 def _age(fx):
     return company.domain_age(fx.companies(), fx.first_seen(), AS_OF)
 
@@ -177,7 +182,7 @@ def _verified(fx):
 
 @query
 def domain_age(fx):
-    return _age(fx)
+    return _age(fx).withColumn("domain_age_days", _number("domain_age_days"))
 
 
 @query
@@ -197,12 +202,13 @@ def listed_companies(fx):
 
 @query
 def verify_company(fx):
-    return _verified(fx)
+    return _verified(fx).withColumn("domain_age_days", _number("domain_age_days"))
 
 
 @query
 def verification_defaults(fx):
-    return company.verification_defaults(_verified(fx))
+    shown = company.verification_defaults(_verified(fx))
+    return shown.withColumn("domain_age_days", _number("domain_age_days"))
 
 
 @query
@@ -402,7 +408,8 @@ def full_report(fx: Fixtures) -> DataFrame:
 
 @query
 def analysis_report(fx):
-    return report.flat_report(full_report(fx))
+    flat = report.flat_report(full_report(fx))
+    return flat.withColumn("domain_age_days", _number("domain_age_days"))
 
 
 # --- streams and their batch twins
