@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,17 +12,24 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x{FEFF}\p{Z}]"
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
-# The look-behind lets a match start only where a run of address characters
-# starts (or where the last match ended), so a long run is read once.
+# Patterns start with a cheap test of one character and look back only where that
+# test holds, so that plain text is skipped at the speed of a scan.
+
+# A match may start only where a run of address characters starts, or where the
+# last match ended, so a long run is read once.
 EMAIL = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))"
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 )
-PHONE = r"(?<![0-9A-Za-z+])\+?[0-9](?:[ ().-]{0,2}[0-9]){8,13}(?![0-9A-Za-z])"
+PHONE = (
+    r"(?:\+(?<![0-9A-Za-z+]\+)[0-9]|[0-9](?<![0-9A-Za-z+][0-9]))"
+    r"(?:[ ().-]{0,2}[0-9]){8,13}(?![0-9A-Za-z])"
+)
 
-CAPS_WORD = r"(?<![\p{L}\p{N}])\p{Lu}{4,}(?![\p{L}\p{N}])"
+CAPS_WORD = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Lu}{3,}+(?![\p{L}\p{N}])"
 PUNCTUATION_RUN = r"[!?*#%]{3,}"
-NUMBER_WORD = r"(?<![\p{L}\p{N}])\p{L}*+\p{N}[\p{L}\p{N}]*+"
+# From the first digit of a word to its end: one match per word with a digit.
+NUMBER_WORD = r"\p{N}[\p{L}\p{N}]*+"
 
 # The named character references the page reader decodes.
 ENTITIES = [
@@ -76,8 +84,9 @@ def same_text_key(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    """All mail addresses in order."""
-    return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    """All mail addresses in order. Only a text with an @ is searched."""
+    found = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    return F.when(text.contains("@"), found).otherwise(F.array().cast("array<string>"))
 
 
 def email_domains(text: Column) -> Column:
@@ -85,21 +94,30 @@ def email_domains(text: Column) -> Column:
     return F.transform(emails(text), lambda e: F.lower(F.substring_index(e, "@", -1)))
 
 
-def any_phrase_pattern(choices: Iterable[str]) -> str:
-    """One pattern for a list of phrases, at word ends, over folded white space."""
-    cleaned = [" ".join(p.split()) for p in choices if p.strip()]
+def _phrase_list(choices: Iterable[str]) -> list[str]:
+    cleaned = [" ".join(p.lower().split()) for p in choices if p.strip()]
     if not cleaned:
         raise ValueError("the phrase list is empty")
     bad = [p for p in cleaned if not all(c.isalnum() or c in " '-" for c in p)]
     if bad:
         raise ValueError(f"phrases may hold letters, digits, ' and - only: {bad}")
-    body = "|".join(p.lower().replace(" ", r"\s+") for p in cleaned)
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"
+    return cleaned
+
+
+def _may_hold(lowered: Column, listed: Sequence[str]) -> Column:
+    """A byte search for the first words; it settles most texts without a pattern."""
+    firsts = sorted({p.split()[0] for p in listed})
+    return reduce(lambda a, b: a | b, [lowered.contains(w) for w in firsts])
 
 
-def phrase_hits(text: Column, choices: Sequence[str]) -> Column:
-    """How often any of the phrases occurs."""
-    return F.regexp_count(F.lower(text), F.lit(any_phrase_pattern(choices)))
+def phrase_hits(text: Column, choices: Iterable[str]) -> Column:
+    """How often any of the phrases occurs, at word ends, over folded white space."""
+    listed = _phrase_list(choices)
+    body = "|".join(p.replace(" ", r"\s+") for p in listed)
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"
+    lowered = F.lower(text)
+    count = F.regexp_count(lowered, F.lit(pattern))
+    return F.when(_may_hold(lowered, listed), count).when(text.isNotNull(), 0)
 
 
 def html_text(html: Column) -> Column:
@@ -115,4 +133,5 @@ def html_text(html: Column) -> Column:
 
 def masked(text: Column, email_mark: str = "[email]", phone_mark: str = "[phone]") -> Column:
     """Text with mail addresses and phone numbers replaced."""
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, email_mark), PHONE, phone_mark)
+    no_mail = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, email_mark)).otherwise(text)
+    return F.regexp_replace(no_mail, PHONE, phone_mark)

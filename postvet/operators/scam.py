@@ -109,31 +109,39 @@ def urgency_flags(
     return read.withColumn("urgency", total >= min_hits)
 
 
-def vague_language(
-    postings: DataFrame, max_distinct: float = 0.5, max_digits: float = 0.01
-) -> DataFrame:
-    """Share of distinct words and of words with digits; vague if both are low."""
-    tokens = T.words(F.col("text"))
-    read = postings.select(
+def _word_counts(postings: DataFrame, *others: str | Column) -> DataFrame:
+    """Words, distinct words and words with digits; the text is split once."""
+    return postings.withColumn("_words", T.words(F.col("text"))).select(
         "posting_id",
-        F.size(tokens).alias("words"),
-        F.size(F.array_distinct(tokens)).alias("distinct_words"),
-        F.regexp_count(F.lower("text"), F.lit(T.NUMBER_WORD)).alias("number_words"),
+        F.size("_words").alias("words"),
+        F.size(F.array_distinct("_words")).alias("distinct_words"),
+        F.regexp_count("text", F.lit(T.NUMBER_WORD)).alias("number_words"),
+        *others,
     )
-    share = {
+
+
+def _shares() -> dict[str, Column]:
+    return {
         "distinct_share": F.try_divide(F.col("distinct_words"), F.col("words")),
         "number_share": F.try_divide(F.col("number_words"), F.col("words")),
     }
-    return (
-        read.withColumns(share)
-        .withColumn(
-            "vague",
-            F.coalesce(
-                (F.col("distinct_share") <= max_distinct) & (F.col("number_share") <= max_digits),
-                F.lit(False),
-            ),
-        )
-        .withColumns({name: F.round(name, 4) for name in share})
+
+
+def _is_vague(max_distinct: float, max_digits: float) -> Column:
+    shares = _shares()
+    low = (shares["distinct_share"] <= max_distinct) & (shares["number_share"] <= max_digits)
+    return F.coalesce(low, F.lit(False))
+
+
+def vague_language(
+    postings: DataFrame, max_distinct: float = 0.5, max_digits: float = 0.01
+) -> DataFrame:
+    """Share of distinct words and of words with digits; vague if both are low."""
+    return _word_counts(postings).withColumns(
+        {
+            **{name: F.round(share, 4) for name, share in _shares().items()},
+            "vague": _is_vague(max_distinct, max_digits),
+        }
     )
 
 
@@ -180,28 +188,28 @@ def exact_reposts(postings: DataFrame) -> DataFrame:
 # --- flags, score, band, verdict ---------------------------------------------
 
 
-def text_signals(postings: DataFrame, rules: Rules) -> DataFrame:
-    """Outcome of the four text rules, one narrow row per posting."""
+def text_signals(postings: DataFrame, rules: Rules, *carried: str) -> DataFrame:
+    """Outcome of the four text rules, one narrow row per posting.
+
+    `carried` names further columns of `postings` to keep.
+    """
     text = F.col("text")
-    tokens = T.words(text)
-    counts = urgency_counts(text, rules.urgent)
-    raw = postings.select(
-        "posting_id",
+    raised = list(urgency_counts(text, rules.urgent).values())
+    read = _word_counts(
+        postings,
+        *carried,
         free_mail_domain(text, rules.free_mail).alias("free_mail_domain"),
-        sum(counts.values(), F.lit(0)).alias("_urgency"),
-        F.size(tokens).alias("_words"),
-        F.size(F.array_distinct(tokens)).alias("_distinct"),
-        F.regexp_count(F.lower(text), F.lit(T.NUMBER_WORD)).alias("_numbers"),
-        F.lower(text).rlike(T.any_phrase_pattern(rules.payment)).alias("payment"),
+        sum(raised[1:], raised[0]).alias("_raised"),
+        T.phrase_hits(text, rules.payment).alias("_payment"),
     )
-    few_distinct = F.try_divide(F.col("_distinct"), F.col("_words")) <= rules.vague_max_distinct
-    few_numbers = F.try_divide(F.col("_numbers"), F.col("_words")) <= rules.vague_max_digits
-    return raw.select(
+    return read.select(
         "posting_id",
+        *carried,
         "free_mail_domain",
-        F.coalesce(F.col("_urgency") >= rules.urgency_min_hits, F.lit(False)).alias("urgency"),
-        F.coalesce(few_distinct & few_numbers, F.lit(False)).alias("vague"),
-        F.coalesce("payment", F.lit(False)).alias("payment"),
+        F.col("free_mail_domain").isNotNull().alias("email"),
+        F.coalesce(F.col("_raised") >= rules.urgency_min_hits, F.lit(False)).alias("urgency"),
+        _is_vague(rules.vague_max_distinct, rules.vague_max_digits).alias("vague"),
+        F.coalesce(F.col("_payment") > 0, F.lit(False)).alias("payment"),
     )
 
 
@@ -219,7 +227,6 @@ def scam_flags(
         text_signals(postings, rules)
         .join(high_pay, "posting_id", "left")
         .withColumn("salary", F.coalesce("salary", F.lit(False)))
-        .withColumn("email", F.col("free_mail_domain").isNotNull())
     )
     return signals.select("posting_id", *WEIGHTS, flag_texts().alias("flags"))
 

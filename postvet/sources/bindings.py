@@ -41,6 +41,15 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """The texts, spread over all cores if they sit in fewer files than that.
+
+        A table of many files has more read tasks than cores and is left as it is.
+        """
+        found = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
+
     def stream(self, name: str) -> DataFrame:
         """The same table as a stream; files that arrive later are picked up too."""
         return (
@@ -52,7 +61,7 @@ class Fixtures:
     # --- postings
 
     def postings(self) -> DataFrame:
-        return self.table("documents").select(
+        return self.documents().select(
             F.col("doc_id").alias("posting_id"), "text", "source", "lang"
         )
 
@@ -62,7 +71,8 @@ class Fixtures:
             F.col("o_custkey").alias("company_id"),
             F.col("o_orderdate").alias("posted_at"),
         )
-        return self.postings().select("posting_id", "source").join(orders, "posting_id")
+        known = self.table("documents").select(F.col("doc_id").alias("posting_id"), "source")
+        return known.join(orders, "posting_id")
 
     def offers(self) -> DataFrame:
         return self.table("orders").select(
@@ -93,7 +103,7 @@ class Fixtures:
 
     def uploads(self) -> DataFrame:
         """Some postings without text, some with a file: by language and source."""
-        return self.table("documents").select(
+        return self.documents().select(
             F.col("doc_id").alias("posting_id"),
             F.when(F.col("lang") == "es", "").otherwise(F.col("text")).alias("text"),
             F.when(F.col("source") < "src15", F.format_string("%d.pdf", "doc_id")).alias("file_name"),
@@ -133,7 +143,7 @@ class Fixtures:
 
     def review_texts(self) -> DataFrame:
         return (
-            self.table("documents")
+            self.documents()
             .select(F.col("doc_id").alias("review_id"), "text")
             .join(self.reviews().select("review_id"), "review_id", "left_semi")
         )
@@ -142,7 +152,7 @@ class Fixtures:
         """In how many texts each word of 6 or more characters occurs."""
         distinct = F.array_distinct(words(F.col("text")))
         return (
-            self.table("documents")
+            self.documents()
             .select(F.explode(distinct).alias("token"))
             .filter(F.length("token") >= 6)
             .groupBy("token")
@@ -159,7 +169,7 @@ class Fixtures:
     # --- resumes
 
     def texts(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text")
+        return self.documents().select("doc_id", "text")
 
     def submissions(self) -> DataFrame:
         """Resume-posting pairs; both ids are documents."""

@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postvet.functions.sizing import broadcast_if_small
 from postvet.operators.scam import (
     HIGH_FROM,
-    WEIGHTS,
     Rules,
     flag_texts,
-    free_mail_domain,
     risk_band,
     risk_score,
-    urgency_counts,
+    text_signals,
 )
-from postvet.functions import text as T
-from postvet.functions.sizing import broadcast_if_small
 
 
 def score_postings(postings: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -24,34 +21,9 @@ def score_postings(postings: DataFrame, limits: DataFrame, rules: Rules = Rules(
 
     `limits` is the static table of pay limits per peer group.
     """
-    text = F.col("text")
-    tokens = T.words(text)
-    size = F.size(tokens)
-    vague = (
-        F.try_divide(F.size(F.array_distinct(tokens)), size) <= rules.vague_max_distinct
-    ) & (
-        F.try_divide(F.regexp_count(F.lower(text), F.lit(T.NUMBER_WORD)), size)
-        <= rules.vague_max_digits
-    )
-    signals = {
-        "salary": F.col("pay") > F.col("pay_limit"),
-        "email": F.col("free_mail_domain").isNotNull(),
-        "urgency": sum(urgency_counts(text, rules.urgent).values(), F.lit(0))
-        >= rules.urgency_min_hits,
-        "vague": vague,
-        "payment": F.lower(text).rlike(T.any_phrase_pattern(rules.payment)),
-    }
-    flagged = (
-        postings.join(limits, "peer", "left")
-        .withColumn("free_mail_domain", free_mail_domain(text, rules.free_mail))
-        .select(
-            "posting_id",
-            "posted_at",
-            "free_mail_domain",
-            *[F.coalesce(signals[name], F.lit(False)).alias(name) for name in WEIGHTS],
-        )
-        .withColumn("flags", flag_texts())
-    )
+    high_pay = F.coalesce(F.col("pay") > F.col("pay_limit"), F.lit(False))
+    priced = postings.join(limits, "peer", "left").withColumn("salary", high_pay)
+    flagged = text_signals(priced, rules, "posted_at", "salary").withColumn("flags", flag_texts())
     return risk_band(risk_score(flagged, rules.weights)).select(
         "posting_id", "posted_at", "score", "band", "flags"
     )
