@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postvet.functions.sizing import broadcast_if_small
+from postvet.session import stored
 
 ACCURACY = 2_000
 MARGIN = 2 / ACCURACY
@@ -43,7 +43,7 @@ def group_quantile(df: DataFrame, key: str, value: str, q: float, name: str) ->
             ((F.col("n") - 1) * F.lit(float(q))).alias("rank"),
         )
     )
-    bracket = broadcast_if_small(bracket)
+    bracket = stored(bracket)
 
     share = F.try_divide(F.col("_v") - F.col("lo"), F.col("hi") - F.col("lo"))
     bin_of = (
@@ -54,7 +54,7 @@ def group_quantile(df: DataFrame, key: str, value: str, q: float, name: str) ->
     binned = rows.join(bracket, "_k").withColumn("bin", bin_of)
     # At most BINS + 2 rows per key reach this window.
     ends = F.sum("n").over(W.partitionBy("_k").orderBy("bin"))
-    hit = broadcast_if_small(
+    hit = stored(
         binned.groupBy("_k", "rank", "bin")
         .agg(F.count("*").alias("n"))
         .withColumn("start", ends - F.col("n"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from postvet.functions import text as T
 from postvet.functions.quantile import group_quantile
-from postvet.functions.sizing import broadcast_if_small
+from postvet.session import stored
 
 # Default word lists; every one is a parameter of the rules.
 FREE_MAIL = (
@@ -163,7 +163,7 @@ def salary_outliers(
     offers: DataFrame, q: float = 0.95, limits: DataFrame | None = None
 ) -> DataFrame:
     """Offers paying more than the limit of their peer group."""
-    limits = broadcast_if_small(salary_limits(offers, q) if limits is None else limits)
+    limits = stored(salary_limits(offers, q) if limits is None else limits)
     return (
         offers.select("posting_id", "peer", "pay")
         .join(limits, "peer")
@@ -303,7 +303,7 @@ def ml_risk_score(
         ]
     )
     usable = postings.select("posting_id", "text").filter(F.col("text").isNotNull())
-    marks = broadcast_if_small(
+    marks = stored(
         labels.filter(F.col("label").isNotNull()).select("posting_id", F.col("label").cast("double"))
     )
     model = pipeline.fit(usable.join(marks, "posting_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postvet.operators import chat, company, plans, resume, reviews, scam, usage
 from postvet.plans import report
-from postvet.session import materialise, new_shared_path
+from postvet.session import new_shared_path, stored
 from postvet.sources import ingest, store
 from postvet.sources.bindings import AS_OF, CUTOFF, RULES, SKILL_WORDS, Fixtures
 from postvet.streaming.alerts import scam_alerts
@@ -256,7 +256,7 @@ def pros_cons(fx):
 
 def _skills(fx):
     """Resumes and postings are the same texts here, so they are read once."""
-    found = materialise(resume.extract_skills(fx.texts(), fx.skills(), SKILL_WORDS))
+    found = stored(resume.extract_skills(fx.texts(), fx.skills(), SKILL_WORDS))
     return (
         found.withColumnRenamed("doc_id", "resume_id"),
         found.withColumnRenamed("doc_id", "posting_id"),

@@ -58,7 +58,14 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the result outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder and read it from there.
+
+    The lineage ends at files that outlive any executor. Later plans see the true
+    size of the table, so Spark broadcasts it only if it is under
+    `spark.sql.autoBroadcastJoinThreshold`; a larger one is joined by a shuffle
+    whose hot partitions AQE splits. Nothing is hinted.
+    """
+    path = new_shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

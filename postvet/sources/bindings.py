@@ -7,6 +7,7 @@ what; every row of the table is used.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from postvet.functions.text import words
 from postvet.operators.plans import plan_table
 from postvet.operators.scam import Rules
-from postvet.session import configure
+from postvet.session import configure, stored
 
 # Parameters that make invented prose trip the rules; the defaults never would.
 RULES = Rules(
@@ -148,10 +149,11 @@ class Fixtures:
             .join(self.reviews().select("review_id"), "review_id", "left_semi")
         )
 
-    def _document_frequency(self) -> DataFrame:
+    @cached_property
+    def document_frequency(self) -> DataFrame:
         """In how many texts each word of 6 or more characters occurs."""
         distinct = F.array_distinct(words(F.col("text")))
-        return (
+        return stored(
             self.documents()
             .select(F.explode(distinct).alias("token"))
             .filter(F.length("token") >= 6)
@@ -161,7 +163,7 @@ class Fixtures:
 
     def lexicon(self) -> DataFrame:
         return (
-            self._document_frequency()
+            self.document_frequency
             .filter("df BETWEEN 20 AND 80")
             .select("token", F.when(F.col("df") <= 40, 1.0).otherwise(-1.0).alias("weight"))
         )
@@ -184,7 +186,7 @@ class Fixtures:
 
     def skills(self) -> DataFrame:
         """Words of middling frequency, and how each benchmark passage opens."""
-        single = self._document_frequency().filter("df BETWEEN 5 AND 50").select(
+        single = self.document_frequency.filter("df BETWEEN 5 AND 50").select(
             F.col("token").alias("skill")
         )
         opening = self.table("benchmark").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postvet.functions.sizing import broadcast_if_small
+from postvet.session import stored
 from postvet.operators.scam import (
     HIGH_FROM,
     Rules,
@@ -41,7 +41,7 @@ def scam_alerts(
     Works on a stream and on a batch. On a stream, repeats are recognised for as
     long as the watermark allows, so the state does not grow for ever.
     """
-    limits = broadcast_if_small(limits)
+    limits = stored(limits)
     if postings.isStreaming:
         postings = postings.withWatermark("posted_at", delay)
     hits = score_postings(postings, limits, rules).filter(F.col("score") >= threshold)
