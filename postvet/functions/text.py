@@ -94,10 +94,20 @@ def email_domains(text: Column) -> Column:
     return F.transform(emails(text), lambda e: F.lower(F.substring_index(e, "@", -1)))
 
 
-def _phrase_list(choices: Iterable[str]) -> list[str]:
+# Lists that become part of an expression are short; longer ones belong in a table.
+MAX_LIST = 1_000
+
+
+def literal_list(choices: Iterable[str]) -> list[str]:
+    """Lower-case entries with single spaces; refuses an empty or a very long list."""
     cleaned = [" ".join(p.lower().split()) for p in choices if p.strip()]
-    if not cleaned:
-        raise ValueError("the phrase list is empty")
+    if not 0 < len(cleaned) <= MAX_LIST:
+        raise ValueError(f"a word list holds 1 to {MAX_LIST} entries, not {len(cleaned)}")
+    return cleaned
+
+
+def _phrase_list(choices: Iterable[str]) -> list[str]:
+    cleaned = literal_list(choices)
     bad = [p for p in cleaned if not all(c.isalnum() or c in " '-" for c in p)]
     if bad:
         raise ValueError(f"phrases may hold letters, digits, ' and - only: {bad}")

@@ -74,7 +74,7 @@ class Rules:
 
 def free_mail_domain(text: Column, free_mail: Sequence[str]) -> Column:
     """First free-mail domain in the text, else null."""
-    listed = F.array(*[F.lit(d.lower()) for d in free_mail])
+    listed = F.array(*[F.lit(d) for d in T.literal_list(free_mail)])
     found = F.filter(T.email_domains(text), lambda d: F.array_contains(listed, d))
     return F.try_element_at(found, F.lit(1))
 

@@ -435,7 +435,7 @@ def _sessions(found):
 
 @query
 def scam_alerts_batch(fx):
-    return _alerts(fx, fx.documents()).withColumn("posted_at", _day("posted_at"))
+    return _alerts(fx, fx.documents).withColumn("posted_at", _day("posted_at"))
 
 
 @query

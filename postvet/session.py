@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even if that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Let top-k limits of up to this many rows work before the exchange.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Fold a hot user's sessions inside each input task before the exchange.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -38,10 +38,15 @@ class Fixtures:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
         self.folder = folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Opening a table reads a file footer, so each is opened once.
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
+    @cached_property
     def documents(self) -> DataFrame:
         """The texts, spread over all cores if they sit in fewer files than that.
 
@@ -62,7 +67,7 @@ class Fixtures:
     # --- postings
 
     def postings(self) -> DataFrame:
-        return self.documents().select(
+        return self.documents.select(
             F.col("doc_id").alias("posting_id"), "text", "source", "lang"
         )
 
@@ -104,7 +109,7 @@ class Fixtures:
 
     def uploads(self) -> DataFrame:
         """Some postings without text, some with a file: by language and source."""
-        return self.documents().select(
+        return self.documents.select(
             F.col("doc_id").alias("posting_id"),
             F.when(F.col("lang") == "es", "").otherwise(F.col("text")).alias("text"),
             F.when(F.col("source") < "src15", F.format_string("%d.pdf", "doc_id")).alias("file_name"),
@@ -144,7 +149,7 @@ class Fixtures:
 
     def review_texts(self) -> DataFrame:
         return (
-            self.documents()
+            self.documents
             .select(F.col("doc_id").alias("review_id"), "text")
             .join(self.reviews().select("review_id"), "review_id", "left_semi")
         )
@@ -154,7 +159,7 @@ class Fixtures:
         """In how many texts each word of 6 or more characters occurs."""
         distinct = F.array_distinct(words(F.col("text")))
         return stored(
-            self.documents()
+            self.documents
             .select(F.explode(distinct).alias("token"))
             .filter(F.length("token") >= 6)
             .groupBy("token")
@@ -171,7 +176,7 @@ class Fixtures:
     # --- resumes
 
     def texts(self) -> DataFrame:
-        return self.documents().select("doc_id", "text")
+        return self.documents.select("doc_id", "text")
 
     def submissions(self) -> DataFrame:
         """Resume-posting pairs; both ids are documents."""

@@ -35,16 +35,25 @@ def scam_alerts(
     rules: Rules = Rules(),
     threshold: int = HIGH_FROM,
     delay: str = "7 days",
+    salts: int = 16,
 ) -> DataFrame:
     """Postings at or over the threshold, once per posting.
 
     Works on a stream and on a batch. On a stream, repeats are recognised for as
-    long as the watermark allows, so the state does not grow for ever.
+    long as the watermark allows, so the state does not grow for ever. Repeats of
+    one posting are first thinned out in `salts` groups, then across them, so a
+    posting sent over and over does not queue up in one task.
     """
     limits = stored(limits)
-    if postings.isStreaming:
-        postings = postings.withWatermark("posted_at", delay)
-    hits = score_postings(postings, limits, rules).filter(F.col("score") >= threshold)
-    if postings.isStreaming:
-        return hits.dropDuplicatesWithinWatermark(["posting_id"])
-    return hits.dropDuplicates(["posting_id"])
+    if not postings.isStreaming:
+        hits = score_postings(postings, limits, rules).filter(F.col("score") >= threshold)
+        return hits.dropDuplicates(["posting_id"])
+    timed = postings.withWatermark("posted_at", delay)
+    hits = score_postings(timed, limits, rules).filter(F.col("score") >= threshold)
+    salt = F.floor(F.rand(seed=17) * salts).cast("int")
+    return (
+        hits.withColumn("_salt", salt)
+        .dropDuplicatesWithinWatermark(["posting_id", "_salt"])
+        .drop("_salt")
+        .dropDuplicatesWithinWatermark(["posting_id"])
+    )
