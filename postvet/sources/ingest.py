@@ -49,7 +49,7 @@ def resume_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Names and sizes of the files under `path`; their content is never read.
 
     The endings are only a hint of the file picker, so other files are listed
-    too, with `accepted` false.
+    too, with `accepted` false. Spark's readers skip files of 0 bytes.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -57,7 +57,7 @@ def resume_manifest(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     endings = "|".join(e.replace(".", r"\.") for e in RESUME_ENDINGS)
     return files.select(
-        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"),
+        name.alias("file_name"),
         F.col("length").alias("file_bytes"),
         size_mb(F.col("length")).alias("size_mb"),
         F.lower(name).rlike(f"({endings})$").alias("accepted"),
