@@ -46,16 +46,18 @@ class Fixtures:
             self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
-    @cached_property
-    def documents(self) -> DataFrame:
-        """The texts, spread over all cores if they sit in fewer files than that.
+    def _spread(self, found: DataFrame) -> DataFrame:
+        """Texts over all cores if they sit in fewer files than that.
 
         A table of many files has more read tasks than cores and is left as it is.
         """
-        found = self.table("documents")
         cores = self.spark.sparkContext.defaultParallelism
         return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return self._spread(self.table("documents"))
+
     def stream(self, name: str) -> DataFrame:
         """The same table as a stream; files that arrive later are picked up too."""
         return (
@@ -105,7 +107,7 @@ class Fixtures:
         )
 
     def pages(self) -> DataFrame:
-        return self.table("pages")
+        return self._spread(self.table("pages"))
 
     def uploads(self) -> DataFrame:
         """Some postings without text, some with a file: by language and source."""
