@@ -215,20 +215,33 @@ def text_signals(postings: DataFrame, rules: Rules, *carried: str) -> DataFrame:
 
 def scam_flags(
     postings: DataFrame,
-    offers: DataFrame,
+    offers: DataFrame | None = None,
     rules: Rules = Rules(),
     limits: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Ordered flag texts per posting, and the signals behind them."""
-    high_pay = salary_outliers(offers, rules.salary_quantile, limits).select(
-        "posting_id", F.lit(True).alias("salary")
-    )
-    signals = (
-        text_signals(postings, rules)
-        .join(high_pay, "posting_id", "left")
-        .withColumn("salary", F.coalesce("salary", F.lit(False)))
-    )
-    return signals.select("posting_id", *WEIGHTS, flag_texts().alias("flags"))
+    """Ordered flag texts per posting, and the signals behind them.
+
+    Without `offers`, postings carry their own pay and peer group and nothing but
+    the small table of pay limits is joined. With `offers` (posting_id, pay, peer),
+    the few outliers are joined by id. `limits` can be given if known already.
+    `carry` names further columns of `postings` to keep.
+    """
+    if offers is None:
+        known = stored(salary_limits(postings, rules.salary_quantile) if limits is None else limits)
+        over = F.coalesce(F.col("pay") > F.col("pay_limit"), F.lit(False))
+        priced = postings.join(known, "peer", "left").withColumn("salary", over)
+        signals = text_signals(priced, rules, "salary", *carry)
+    else:
+        high_pay = salary_outliers(offers, rules.salary_quantile, limits).select(
+            "posting_id", F.lit(True).alias("salary")
+        )
+        signals = (
+            text_signals(postings, rules, *carry)
+            .join(high_pay, "posting_id", "left")
+            .withColumn("salary", F.coalesce("salary", F.lit(False)))
+        )
+    return signals.select("posting_id", *carry, *WEIGHTS, flag_texts().alias("flags"))
 
 
 def flag_texts() -> Column:
@@ -273,12 +286,13 @@ def verdict_label(banded: DataFrame, verdicts: Mapping[str, str] = VERDICTS) ->
 
 def scam_analysis(
     postings: DataFrame,
-    offers: DataFrame,
+    offers: DataFrame | None = None,
     rules: Rules = Rules(),
     limits: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The whole panel: flags, score, band and verdict per posting."""
-    flags = scam_flags(postings, offers, rules, limits)
+    flags = scam_flags(postings, offers, rules, limits, carry)
     return verdict_label(risk_band(risk_score(flags, rules.weights)))
 
 

@@ -393,17 +393,23 @@ def chat_summary(fx):
 
 
 def full_report(fx: Fixtures) -> DataFrame:
-    """The nested report. The resume of a posting is the first one submitted."""
-    first = fx.submissions().groupBy("posting_id").agg(F.min("resume_id").alias("resume_id"))
-    matches = resume.match_percentage(first, *_skills(fx))
-    panels = report.company_panels(
-        fx.companies(),
-        company.verification_defaults(_verified(fx)),
-        _sentiment(fx),
-        reviews.review_summary(fx.companies(), fx.reviews(), fx.review_texts()),
-        reviews.pros_cons(fx.companies(), fx.reviews(), fx.review_texts(), fx.lexicon(), k=3),
+    """The nested report."""
+    resume_skills, job_skills = _skills(fx)
+    inputs = report.Inputs(
+        postings=fx.postings(),
+        headers=fx.headers(),
+        companies=fx.companies(),
+        first_seen=fx.first_seen(),
+        registry_listings=fx.registry_listings(),
+        reviews=fx.reviews(),
+        review_texts=fx.review_texts(),
+        lexicon=fx.lexicon(),
+        submissions=fx.submissions(),
+        resume_skills=resume_skills,
+        job_skills=job_skills,
+        offers=fx.offers(),
     )
-    return report.analysis_report(fx.headers(), _scam(fx), panels, matches)
+    return report.bulk_analysis(inputs, AS_OF, RULES)
 
 
 @query

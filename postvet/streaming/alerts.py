@@ -5,26 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postvet.session import stored
-from postvet.operators.scam import (
-    HIGH_FROM,
-    Rules,
-    flag_texts,
-    risk_band,
-    risk_score,
-    text_signals,
-)
+from postvet.operators.scam import HIGH_FROM, Rules, scam_analysis
 
 
-def score_postings(postings: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Score postings that carry their own pay and peer group, without state.
-
-    `limits` is the static table of pay limits per peer group.
-    """
-    high_pay = F.coalesce(F.col("pay") > F.col("pay_limit"), F.lit(False))
-    priced = postings.join(limits, "peer", "left").withColumn("salary", high_pay)
-    flagged = text_signals(priced, rules, "posted_at", "salary").withColumn("flags", flag_texts())
-    return risk_band(risk_score(flagged, rules.weights)).select(
+def _hits(postings: DataFrame, limits: DataFrame, rules: Rules, threshold: int) -> DataFrame:
+    scored = scam_analysis(postings, None, rules, limits, carry=["posted_at"])
+    return scored.filter(F.col("score") >= threshold).select(
         "posting_id", "posted_at", "score", "band", "flags"
     )
 
@@ -39,17 +25,15 @@ def scam_alerts(
 ) -> DataFrame:
     """Postings at or over the threshold, once per posting.
 
-    Works on a stream and on a batch. On a stream, repeats are recognised for as
+    Postings carry their pay and peer group; `limits` is the static table of pay
+    limits. Scoring needs no state. Works on a stream and on a batch. On a stream, repeats are recognised for as
     long as the watermark allows, so the state does not grow for ever. Repeats of
     one posting are first thinned out in `salts` groups, then across them, so a
     posting sent over and over does not queue up in one task.
     """
-    limits = stored(limits)
     if not postings.isStreaming:
-        hits = score_postings(postings, limits, rules).filter(F.col("score") >= threshold)
-        return hits.dropDuplicates(["posting_id"])
-    timed = postings.withWatermark("posted_at", delay)
-    hits = score_postings(timed, limits, rules).filter(F.col("score") >= threshold)
+        return _hits(postings, limits, rules, threshold).dropDuplicates(["posting_id"])
+    hits = _hits(postings.withWatermark("posted_at", delay), limits, rules, threshold)
     salt = F.floor(F.rand(seed=17) * salts).cast("int")
     return (
         hits.withColumn("_salt", salt)

@@ -254,3 +254,17 @@ def test_team_dashboard(spark):
         ("a", "high"): (0, 1, 80.0), ("a", "safe"): (0, 1, 10.0), ("b", "high"): (0, 1, None),
         ("a", None): (1, 2, 45.0), ("b", None): (1, 1, None), (None, None): (3, 3, 45.0),
     }
+
+
+def test_pay_may_come_with_the_posting_or_apart(spark):
+    text = "urgent urgent: pay a deposit to boss@gmail.com"
+    postings = spark.createDataFrame(
+        [(i, text if i % 3 else "fine", 100.0 + i * i, f"p{i % 2}") for i in range(40)]
+        + [(40, text, None, None), (41, text, 1e9, None)],
+        "posting_id long, text string, pay double, peer string",
+    )
+    offers = postings.select("posting_id", "pay", "peer")
+    together = scam.scam_analysis(postings)
+    apart = scam.scam_analysis(postings.drop("pay", "peer"), offers)
+    assert sorted(rows(together)) == sorted(rows(apart))
+    assert together.filter("salary").count() > 0
