@@ -318,7 +318,8 @@ def ml_risk_score(
     )
     usable = postings.select("posting_id", "text").filter(F.col("text").isNotNull())
     marks = stored(
-        labels.filter(F.col("label").isNotNull()).select("posting_id", F.col("label").cast("double"))
+        labels.filter(F.col("label").isNotNull()).select("posting_id", F.col("label").cast("double")),
+        rebalance=True,
     )
     model = pipeline.fit(usable.join(marks, "posting_id"))
     probability = vector_to_array("_probability")[1]

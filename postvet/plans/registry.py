@@ -256,7 +256,9 @@ def pros_cons(fx):
 
 def _skills(fx):
     """Resumes and postings are the same texts here, so they are read once."""
-    found = stored(resume.extract_skills(fx.texts(), fx.skills(), SKILL_WORDS))
+    found = stored(
+        resume.extract_skills(fx.texts(), fx.skills(), SKILL_WORDS), rebalance=True
+    )
     return (
         found.withColumnRenamed("doc_id", "resume_id"),
         found.withColumnRenamed("doc_id", "posting_id"),

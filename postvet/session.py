@@ -60,14 +60,17 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rebalance: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it from there.
 
     The lineage ends at files that outlive any executor. Later plans see the true
     size of the table, so Spark broadcasts it only if it is under
     `spark.sql.autoBroadcastJoinThreshold`; a larger one is joined by a shuffle
     whose hot partitions AQE splits. Nothing is hinted.
+
+    Set `rebalance` for a narrow table that comes straight from a scan: it would
+    otherwise be written as one small file per read task.
     """
     path = new_shared_path(df.sparkSession, "stored")
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
