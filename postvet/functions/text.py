@@ -67,7 +67,7 @@ def phrases(tokens: str, max_words: int) -> Column:
         raise ValueError("max_words must be at least 1")
     runs = [F.col(tokens)]
     for n in range(2, max_words + 1):
-        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        count = F.greatest(F.array_size(tokens) - (n - 1), F.lit(0))
         runs.append(
             F.zip_with(
                 F.slice(runs[-1], F.lit(1), count),

@@ -80,18 +80,19 @@ def free_mail_domain(text: Column, free_mail: Sequence[str]) -> Column:
 
 
 def urgency_counts(text: Column, urgent: Sequence[str]) -> dict[str, Column]:
-    return {
+    counts = {
         "urgent_words": T.phrase_hits(text, urgent),
         "caps_words": F.regexp_count(text, F.lit(T.CAPS_WORD)),
         "punctuation_runs": F.regexp_count(text, F.lit(T.PUNCTUATION_RUN)),
     }
+    return {name: F.coalesce(count, F.lit(0)) for name, count in counts.items()}
 
 
 def generic_email_flags(postings: DataFrame, free_mail: Sequence[str] = FREE_MAIL) -> DataFrame:
     """Mail addresses per posting and whether one is at a free-mail domain."""
     read = postings.select(
         "posting_id",
-        F.size(T.emails(F.col("text"))).alias("emails"),
+        F.array_size(T.emails(F.col("text"))).alias("emails"),
         free_mail_domain(F.col("text"), free_mail).alias("free_mail_domain"),
     )
     return read.filter("emails > 0").withColumn(
@@ -113,8 +114,8 @@ def _word_counts(postings: DataFrame, *others: str | Column) -> DataFrame:
     """Words, distinct words and words with digits; the text is split once."""
     return postings.withColumn("_words", T.words(F.col("text"))).select(
         "posting_id",
-        F.size("_words").alias("words"),
-        F.size(F.array_distinct("_words")).alias("distinct_words"),
+        F.array_size("_words").alias("words"),
+        F.array_size(F.array_distinct("_words")).alias("distinct_words"),
         F.regexp_count("text", F.lit(T.NUMBER_WORD)).alias("number_words"),
         *others,
     )

@@ -268,3 +268,45 @@ def test_pay_may_come_with_the_posting_or_apart(spark):
     apart = scam.scam_analysis(postings.drop("pay", "peer"), offers)
     assert sorted(rows(together)) == sorted(rows(apart))
     assert together.filter("salary").count() > 0
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_texts_that_are_null_or_empty(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "posting_id long, text string")
+        assert [r[1:] for r in rows(scam.urgency_flags(df))] == [(0, 0, 0, False)] * 3
+        assert [r["vague"] for r in scam.vague_language(df).collect()] == [False] * 3
+        assert [r["words"] for r in scam.vague_language(df).collect()] == [None, 0, 0]
+        assert scam.generic_email_flags(df).count() == 0
+        assert scam.upfront_payment_flags(df).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_report_row_without_any_panel(spark):
+    from postvet.plans.report import analysis_report
+
+    headers = spark.createDataFrame([(1, 7)], "posting_id long, company_id long")
+    scored = spark.createDataFrame(
+        [], "posting_id long, band string, verdict string, score int, flags array<string>"
+    )
+    panels = spark.createDataFrame(
+        [],
+        "company_id long, company_verification struct<is_verified:boolean,domain_age:string,"
+        "domain_age_days:int,online_presence:string>, reviews struct<sentiment:string,score:double,"
+        "summary:string,pros:string,cons:string>",
+    )
+    matches = spark.createDataFrame(
+        [], "posting_id long, match_percentage double, missing_skills array<string>"
+    )
+    row = analysis_report(headers, scored, panels, matches).first()
+    assert row["band"] == "high" and row["scam_analysis"] is None and row["resume_match"] is None
+    assert row["company_verification"].asDict() == {
+        "is_verified": False, "domain_age": "Unknown", "domain_age_days": None,
+        "online_presence": "N/A",
+    }
+    assert row["reviews"].asDict() == {
+        "sentiment": "No Data", "score": 0.0,
+        "summary": "No employee reviews found for this entity.", "pros": None, "cons": None,
+    }
