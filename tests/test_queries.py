@@ -24,6 +24,19 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module")
+def built(spark):
+    """Build each query once; its plan and its rows are checked separately."""
+    frames = {}
+
+    def build(name):
+        if name not in frames:
+            frames[name] = QUERIES[name](spark, FOLDER)
+        return frames[name]
+
+    return build
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -34,8 +47,8 @@ def test_every_query_has_a_twin():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_same_as_sql(spark, db, name):
-    got, want = QUERIES[name](spark, FOLDER).toPandas(), db.execute(ORACLES[name]).df()
+def test_same_as_sql(built, db, name):
+    got, want = built(name).toPandas(), db.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) > 0
     assert check.rows(got) == check.rows(want)
@@ -53,8 +66,8 @@ def test_same_without_broadcasts(spark, db, shuffle_joins, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"ml_risk_score"}))
-def test_plan_has_no_product_and_no_row_python(spark, name):
-    text = plan(QUERIES[name](spark, FOLDER))
+def test_plan_has_no_product_and_no_row_python(built, name):
+    text = plan(built(name))
     for part in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert part not in text
     # One window runs unpartitioned: the ranks of the distinct scan counts.
@@ -63,9 +76,9 @@ def test_plan_has_no_product_and_no_row_python(spark, name):
 
 @pytest.mark.parametrize("name", ["limited_history", "best_jobs", "keyword_suggestions", "pros_cons",
                                   "text_similarity", "vector_match", "scan_quota"])
-def test_top_k_is_limited_before_the_exchange(spark, name):
+def test_top_k_is_limited_before_the_exchange(built, name):
     assert "Partial" in [
-        line.rsplit(", ", 1)[-1] for line in plan(QUERIES[name](spark, FOLDER)).splitlines()
+        line.rsplit(", ", 1)[-1] for line in plan(built(name)).splitlines()
         if "WindowGroupLimit" in line
     ]
 
@@ -79,18 +92,18 @@ def nodes(node):
 
 
 @pytest.mark.parametrize("name", ["scam_flags", "company_deep_dive", "team_dashboard"])
-def test_joins_carry_no_texts(spark, name):
-    joins = [n for n in nodes(QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan())
+def test_joins_carry_no_texts(built, name):
+    joins = [n for n in nodes(built(name)._jdf.queryExecution().optimizedPlan())
              if n.nodeName() == "Join"]
     assert joins
     for join in joins:
         assert "text#" not in join.output().mkString(",")
 
 
-def test_scans_read_only_what_they_need(spark):
-    text = plan(QUERIES["user_usage"](spark, FOLDER))
+def test_scans_read_only_what_they_need(built):
+    text = plan(built("user_usage"))
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in text
-    text = plan(QUERIES["unlisted_companies"](spark, FOLDER))
+    text = plan(built("unlisted_companies"))
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)" in text
 
 
