@@ -28,6 +28,8 @@ PHONE = (
 
 CAPS_WORD = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Lu}{3,}+(?![\p{L}\p{N}])"
 PUNCTUATION_RUN = r"[!?*#%]{3,}"
+# Both in one pass, for their sum; they share no character.
+SHOUTED = f"{CAPS_WORD}|{PUNCTUATION_RUN}"
 # From the first digit of a word to its end: one match per word with a digit.
 NUMBER_WORD = r"\p{N}[\p{L}\p{N}]*+"
 
@@ -54,7 +56,12 @@ def or_default(value: Column, default: str) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words in order."""
-    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
+    return words_in(F.lower(text))
+
+
+def words_in(lowered: Column) -> Column:
+    """Words of a text that is in lower case already."""
+    return F.array_remove(F.split(lowered, WORD_GAP), "")
 
 
 def phrases(tokens: str, max_words: int) -> Column:
@@ -122,12 +129,16 @@ def _may_hold(lowered: Column, listed: Sequence[str]) -> Column:
 
 def phrase_hits(text: Column, choices: Iterable[str]) -> Column:
     """How often any of the phrases occurs, at word ends, over folded white space."""
+    return phrase_hits_in(F.lower(text), choices)
+
+
+def phrase_hits_in(lowered: Column, choices: Iterable[str]) -> Column:
+    """Phrase hits of a text that is in lower case already."""
     listed = _phrase_list(choices)
     body = "|".join(p.replace(" ", r"\s+") for p in listed)
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"
-    lowered = F.lower(text)
     count = F.regexp_count(lowered, F.lit(pattern))
-    return F.when(_may_hold(lowered, listed), count).when(text.isNotNull(), 0)
+    return F.when(_may_hold(lowered, listed), count).when(lowered.isNotNull(), 0)
 
 
 def html_text(html: Column) -> Column:

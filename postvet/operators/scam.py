@@ -79,15 +79,6 @@ def free_mail_domain(text: Column, free_mail: Sequence[str]) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
-def urgency_counts(text: Column, urgent: Sequence[str]) -> dict[str, Column]:
-    counts = {
-        "urgent_words": T.phrase_hits(text, urgent),
-        "caps_words": F.regexp_count(text, F.lit(T.CAPS_WORD)),
-        "punctuation_runs": F.regexp_count(text, F.lit(T.PUNCTUATION_RUN)),
-    }
-    return {name: F.coalesce(count, F.lit(0)) for name, count in counts.items()}
-
-
 def generic_email_flags(postings: DataFrame, free_mail: Sequence[str] = FREE_MAIL) -> DataFrame:
     """Mail addresses per posting and whether one is at a free-mail domain."""
     read = postings.select(
@@ -104,15 +95,25 @@ def urgency_flags(
     postings: DataFrame, urgent: Sequence[str] = URGENT, min_hits: int = 2
 ) -> DataFrame:
     """Urgent wording, shouted words and punctuation runs per posting."""
-    counts = urgency_counts(F.col("text"), urgent)
-    read = postings.select("posting_id", *[c.alias(n) for n, c in counts.items()])
+    counts = {
+        "urgent_words": T.phrase_hits(F.col("text"), urgent),
+        "caps_words": F.regexp_count("text", F.lit(T.CAPS_WORD)),
+        "punctuation_runs": F.regexp_count("text", F.lit(T.PUNCTUATION_RUN)),
+    }
+    read = postings.select(
+        "posting_id", *[F.coalesce(count, F.lit(0)).alias(name) for name, count in counts.items()]
+    )
     total = F.col("urgent_words") + F.col("caps_words") + F.col("punctuation_runs")
     return read.withColumn("urgency", total >= min_hits)
 
 
 def _word_counts(postings: DataFrame, *others: str | Column) -> DataFrame:
-    """Words, distinct words and words with digits; the text is split once."""
-    return postings.withColumn("_words", T.words(F.col("text"))).select(
+    """Words, distinct words and words with digits.
+
+    The text is lowered and split once; `others` can use `_lower`.
+    """
+    lowered = postings.withColumn("_lower", F.lower("text"))
+    return lowered.withColumn("_words", T.words_in(F.col("_lower"))).select(
         "posting_id",
         F.array_size("_words").alias("words"),
         F.array_size(F.array_distinct("_words")).alias("distinct_words"),
@@ -194,14 +195,14 @@ def text_signals(postings: DataFrame, rules: Rules, *carried: str) -> DataFrame:
 
     `carried` names further columns of `postings` to keep.
     """
-    text = F.col("text")
-    raised = list(urgency_counts(text, rules.urgent).values())
+    lowered = F.col("_lower")
+    shouted = F.regexp_count("text", F.lit(T.SHOUTED))
     read = _word_counts(
         postings,
         *carried,
-        free_mail_domain(text, rules.free_mail).alias("free_mail_domain"),
-        sum(raised[1:], raised[0]).alias("_raised"),
-        T.phrase_hits(text, rules.payment).alias("_payment"),
+        free_mail_domain(F.col("text"), rules.free_mail).alias("free_mail_domain"),
+        (T.phrase_hits_in(lowered, rules.urgent) + shouted).alias("_raised"),
+        T.phrase_hits_in(lowered, rules.payment).alias("_payment"),
     )
     return read.select(
         "posting_id",
