@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(entry.REGISTRY), dict(entry.ORACLES)
 NO_SQL = {"ml_risk_score", "resume_manifest"}
 
 
