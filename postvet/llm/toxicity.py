@@ -102,26 +102,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataF
 def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     """Train on `docs` (doc_id, text) and `labels` (doc_id, toxic).
 
-    The labels know only toxic or not. Toxic rows are graded: 2 if their share of marked
-    words reaches the median of the toxic rows, else 1; clean rows are 0. Marked are the
+    The labels know only toxic or not. Toxic rows are graded: 2 if they hold more marked
+    features than the median of the toxic rows, else 1; clean rows are 0. Marked are the
     features that toxic rows hold more often by `min_z` standard errors of the log odds.
     Near copies count once. Without rows of both classes the model rejects nothing.
     """
     ready(docs.sparkSession)
 
     def extract(texts):
-        sigs, rows, sizes = [], [], []
+        sigs, rows = [], []
         for text in texts:
             words = (text or "").lower().split()
             sigs.append(_signature(words))
             rows.append(sorted({f for w in set(words) for f in word_features(w)}))
-            sizes.append(len(words))
-        return [pa.array(sigs, pa.int64()), pa.array(rows, pa.list_(pa.string())),
-                pa.array(sizes, pa.int64())]
+        return [pa.array(sigs, pa.int64()), pa.array(rows, pa.list_(pa.string()))]
 
     sample = training_sample(docs, labels, limits)
     made = map_texts(
-        sample, ["doc_id", "__toxic"], "text", "sig bigint, terms array<string>, size bigint", extract
+        sample, ["doc_id", "__toxic"], "text", "sig bigint, terms array<string>", extract
     ).withColumnRenamed("__toxic", "toxic")
     first = F.row_number().over(_by("sig"))
     made = stored(made.withColumn("__n", first).filter("__n = 1").drop("__n"))
@@ -144,17 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
         memo = _Memo(known)
         rows = [count_features(t, memo) for t in texts]
         return [pa.array([list(r) for r in rows], pa.list_(pa.int32())),
-                pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())),
-                pa.array([len((t or "").split()) for t in texts], pa.int64())]
+                pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))]
 
     chosen = made.select(F.col("doc_id").alias("__id"))
     rows = map_texts(
         sample.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi"),
-        ["doc_id", "__toxic"], "text", "ids array<int>, counts array<int>, size bigint", count,
+        ["doc_id", "__toxic"], "text", "ids array<int>, counts array<int>", count,
     ).orderBy("doc_id").collect()
-    share = [sum(r["counts"]) / max(1, r["size"]) for r in rows]
-    middle = np.median([s for s, r in zip(share, rows) if r["__toxic"] > 0])
-    grades = np.array([(1 + int(s >= middle)) if r["__toxic"] > 0 else 0 for s, r in zip(share, rows)])
+    found = [sum(r["counts"]) for r in rows]
+    middle = np.median([n for n, r in zip(found, rows) if r["__toxic"] > 0])
+    grades = np.array([1 + int(n > middle) if r["__toxic"] > 0 else 0 for n, r in zip(found, rows)])
     weights, thresholds = train(
         [r["ids"] for r in rows], [r["counts"] for r in rows], grades, len(terms)
     )
@@ -169,7 +166,7 @@ def _by(column: str):
 
 def train(
     ids: list[list[int]], counts: list[list[int]], grades: np.ndarray, width: int,
-    steps: int = 400, rate: float = 0.05, ridge: float = 1e-4,
+    steps: int = 1_000, rate: float = 0.1, ridge: float = 1e-5,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of P(grade <= k) = logistic(threshold_k - x w), by Adam.
 
@@ -180,7 +177,7 @@ def train(
     row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     col = np.array([i for r in ids for i in r], dtype=np.int64)
     val = np.log1p(np.array([c for r in counts for c in r], dtype=float))
-    above = (grades[:, None] > np.arange(top)[None, :]).astype(float)
+    every = np.arange(len(ids))
     free = np.zeros(width + top)
     free[width] = 1.0
     mean, square = np.zeros_like(free), np.zeros_like(free)
@@ -190,14 +187,21 @@ def train(
 
     for step in range(1, steps + 1):
         eta = np.bincount(row, val * free[col], minlength=len(ids)) if len(col) else np.zeros(len(ids))
-        tail = 1 / (1 + np.exp(np.clip(cuts(free)[None, :] - eta[:, None], -60, 60)))
-        off = (tail - above) / len(ids)
+        # P(grade > k) for k = -1 .. top: a grade lies between two neighbours.
+        tail = np.ones((len(ids), top + 2))
+        tail[:, 1:-1] = 1 / (1 + np.exp(np.clip(cuts(free)[None, :] - eta[:, None], -60, 60)))
+        tail[:, -1] = 0.0
+        upper, lower = tail[every, grades], tail[every, grades + 1]
+        share = np.maximum(upper - lower, 1e-12) * len(ids)
         slope = np.zeros_like(free)
-        per_row = off.sum(axis=1)
         if len(col):
-            slope[:width] = np.bincount(col, val * per_row[row], minlength=width)
+            off = -(1 - upper - lower) / len(ids)
+            slope[:width] = np.bincount(col, val * off[row], minlength=width)
         slope[:width] += ridge * free[:width]
-        by_cut = -off.sum(axis=0)
+        by_cut = np.zeros(top + 2)
+        np.add.at(by_cut, grades, upper * (1 - upper) / share)
+        np.add.at(by_cut, grades + 1, -lower * (1 - lower) / share)
+        by_cut = by_cut[1:-1]
         slope[width] = by_cut.sum()
         for k in range(1, top):
             slope[width + k] = by_cut[k:].sum() * np.exp(free[width + k])
