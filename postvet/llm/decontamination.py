@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -275,10 +277,6 @@ def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """The rows, with all columns, that hold no window as similar to an item."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     ready(docs.sparkSession)
     for index in _indexes(benchmark, item, item_text):
         @F.pandas_udf("boolean")

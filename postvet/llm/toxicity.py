@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postvet.llm.common import map_texts, ready
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     made = map_texts(
         sample, ["doc_id", "__toxic"], "text", "sig bigint, terms array<string>", extract
     ).withColumnRenamed("__toxic", "toxic")
-    first = F.row_number().over(_by("sig"))
+    first = F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))
     made = stored(made.withColumn("__n", first).filter("__n = 1").drop("__n"))
     totals = {r["toxic"] > 0: r["n"] for r in made.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(True, 0), totals.get(False, 0)
@@ -158,12 +160,6 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     return Model(known, weights, thresholds)
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column).orderBy("doc_id")
-
-
 def train(
     ids: list[list[int]], counts: list[list[int]], grades: np.ndarray, width: int,
     steps: int = 1_000, rate: float = 0.1, ridge: float = 1e-5,
@@ -227,10 +223,6 @@ def score_texts(docs: DataFrame, model: Model, ids: list[str], text: str = "text
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows, with all columns, whose probability of being toxic is under `limit`."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p_toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = _Memo(model.features)
