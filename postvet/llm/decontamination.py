@@ -279,10 +279,14 @@ def drop_leaks(
     """The rows, with all columns, that hold no window as similar to an item."""
     ready(docs.sparkSession)
     for index in _indexes(benchmark, item, item_text):
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([not index.value.leaks(t) for t in texts])
-
-        docs = docs.filter(clean(F.col(text)))
+        docs = docs.filter(_clean(index)(F.col(text)))
     return docs
+
+
+def _clean(index):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not index.value.leaks(t) for t in texts])
+
+    return clean
