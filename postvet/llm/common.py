@@ -22,6 +22,29 @@ BATCH = {
 }
 
 
+class Memo(dict):
+    """What `make` gave for the keys met so far, in bounded memory.
+
+    Once `limit` keys are held they become the old generation, in which a key is still
+    found, and is renewed, until the next turn: frequent keys are never made again.
+    """
+
+    def __init__(self, make: Callable, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Apply the session settings and put this package on the executors' path, once per context."""
     configure(spark)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postvet.llm.common import ready, text_hash
-from postvet.llm.token_counts import tokenizer
+from postvet.llm.common import Memo, ready, text_hash
+from postvet.llm.token_counts import byte_letters, tokenizer
 
-# Distinct words a worker remembers; it forgets all when full.
-MEMO_WORDS = 1 << 18
-MEMO_LENGTH = 64
+# Pieces of one generation of a worker's memory.
+MEMO_PIECES = 1 << 18
 # Values of one returned Arrow batch.
 BATCH_IDS = 1 << 20
 # Row groups of 32 MB hold some thousand texts; pages of 256 KB let the page index skip
@@ -27,43 +27,57 @@ LAYOUT = {
     "parquet.page.write-checksum.enabled": "true", "parquet.enable.dictionary": "true",
     "parquet.writer.version": "PARQUET_2_0", "compression": "zstd",
 }
-# str.split() also cuts at these, the tokenizer's white space rule doesn't.
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
 WORDS = regex.compile(r"[^\p{White_Space}]+")
 
 
-class WordIds(dict):
-    """Ids of each word as little-endian 32-bit bytes.
+# The pieces into which the tokenizer's rule splits a word.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Letters that every release of Unicode lowers and composes alike, and no special string.
+PLAIN = regex.compile(r"(?:[\x21-\x3b\x3d-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f\x09-\x0d\x20]|<(?!\|))+")
 
-    The tokenizer drops white space and its rules never look past it, so a text's ids
-    are those of its words, one after another. A special string holds no white space.
-    """
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.path = path
+def _ids(word: str, path: str) -> bytes:
+    """Ids of a word as little-endian 32-bit bytes, from the tokenizer itself."""
+    return np.array(tokenizer(path).encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@cache
+def _letters() -> dict[int, str]:
+    return {byte: letter for letter, byte in byte_letters().items()}
+
 
-    def __missing__(self, word: str) -> bytes:
-        ids = tokenizer(self.path).encode(word, add_special_tokens=False).ids
-        made = np.array(ids, "<u4").tobytes()
-        if len(word) <= MEMO_LENGTH:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = made
-        return made
+def _piece_ids(piece: str, path: str) -> bytes:
+    """The same for a lower-case piece, which needs only the tokenizer's merges."""
+    spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_letters())
+    return array("I", [t.id for t in tokenizer(path).model.tokenize(spelt)]).tobytes()
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def piece_memo(path: str) -> Memo:
+    return Memo(partial(_piece_ids, path=path), MEMO_PIECES)
+
+
+@cache
+def word_memo(path: str) -> Memo:
+    return Memo(partial(_ids, path=path), MEMO_PIECES)
 
 
 def encode(text: str | None, path: str, end: int | None = None) -> bytes:
-    """All ids of a whole text, `end` appended; null: as empty."""
+    """All ids of a whole text as little-endian 32-bit values, `end` appended; null: as empty.
+
+    The tokenizer drops white space and its rules never look past it, so a text's ids
+    are those of its words, one after another; a special string holds no white space.
+    Plain words are looked up by their lower-case pieces, all others as they stand.
+    """
     text = text or ""
-    words = WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
+    pieces, words = piece_memo(path).__getitem__, word_memo(path).__getitem__
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
-    return b"".join(map(word_ids(path).__getitem__, words)) + tail
+    if not text or PLAIN.fullmatch(text):
+        return b"".join(map(pieces, PIECES.findall(text.lower()))) + tail
+    return b"".join(
+        b"".join(map(pieces, PIECES.findall(w.lower()))) if PLAIN.fullmatch(w) else words(w)
+        for w in WORDS.findall(text)
+    ) + tail
 
 
 def write_tokens(
@@ -99,18 +113,15 @@ def write_tokens(
             held, keys = [], []
             return made
 
-        size = 0
         for batch in batches:
-            for i, value in enumerate(batch.column(1)):
-                made = encode(value.as_py(), path, end)
-                held.append(made)
-                keys.append(batch.column(0).slice(i, 1))
+            first, size = 0, 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                held.append(made := encode(text, path, end))
                 size += len(made) // 4
-                if size >= BATCH_IDS:
-                    size = 0
+                if size >= BATCH_IDS or i == batch.num_rows - 1:
+                    keys.append(batch.column(0).slice(first, i + 1 - first))
+                    first, size = i + 1, 0
                     yield give()
-        if held:
-            yield give()
 
     schema = f"`{key}` {kind}, before bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>"
     ordered = (
