@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,9 +32,11 @@ WORDS = regex.compile(r"[^\p{White_Space}]+")
 
 
 # The pieces into which the tokenizer's rule splits a word.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Letters that every release of Unicode lowers and composes alike, and no special string.
-PLAIN = regex.compile(r"(?:[\x21-\x3b\x3d-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f\x09-\x0d\x20]|<(?!\|))+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# Signs that every release of Unicode classes, lowers and composes alike, and no special
+# string. The short rule for pieces holds for these.
+_SIGNS = r"\x09-\x0d\x20-\x3b\x3d-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f"
+PLAIN = re.compile(rf"[{_SIGNS}]*(?:<(?!\|)[{_SIGNS}]*)*")
 
 
 def _ids(word: str, path: str) -> bytes:
