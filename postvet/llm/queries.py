@@ -96,12 +96,11 @@ QUERIES = {
 
 # Queries left out have no plain SQL twin: hashing, models, tokenizers, graph search.
 ORACLES = {
-    "op3_mixing": None,
     "op7_topk": f"""
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
             FROM embeddings
-            WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
             FROM v q JOIN v d ON q.vec_id <> d.vec_id
@@ -113,4 +112,3 @@ ORACLES = {
         QUALIFY rank <= {TOP}
     """,
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
