@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     """Train on `docs` (doc_id, text) and `labels` (doc_id, toxic).
 
     The labels know only toxic or not. Toxic rows are graded: 2 if they hold more marked
-    features than the median of the toxic rows, else 1; clean rows are 0. Marked are the
+    features than the mean toxic row, else 1; clean rows are 0. Marked are the
     features that toxic rows hold more often by `min_z` standard errors of the log odds.
     Near copies count once. Without rows of both classes the model rejects nothing.
     """
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
         ["doc_id", "__toxic"], "text", "ids array<int>, counts array<int>", count,
     ).orderBy("doc_id").collect()
     found = [sum(r["counts"]) for r in rows]
-    middle = np.median([n for n, r in zip(found, rows) if r["__toxic"] > 0])
+    middle = np.mean([n for n, r in zip(found, rows) if r["__toxic"] > 0])
     grades = np.array([1 + int(n > middle) if r["__toxic"] > 0 else 0 for n, r in zip(found, rows)])
     weights, thresholds = train(
         [r["ids"] for r in rows], [r["counts"] for r in rows], grades, len(terms)
