@@ -23,7 +23,7 @@ EMAIL = (
 )
 PHONE = (
     r"(?:\+(?<![0-9A-Za-z+]\+)[0-9]|[0-9](?<![0-9A-Za-z+][0-9]))"
-    r"(?:[ ().-]{0,2}[0-9]){8,13}(?![0-9A-Za-z])"
+    r"(?:[ ().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])"
 )
 
 CAPS_WORD = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Lu}{3,}+(?![\p{L}\p{N}])"
@@ -64,6 +64,12 @@ def words_in(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, WORD_GAP), "")
 
 
+def skill_words(text: Column) -> Column:
+    """Lower-case words of a text in which `+`, `#` and a leading dot belong to a word."""
+    ended = F.regexp_replace(F.lower(text), r"([\p{L}\p{N}+#])\.", "$1 ")
+    return F.regexp_extract_all(ended, F.lit(r"\.?[\p{L}\p{N}][\p{L}\p{N}+#]*"), F.lit(0))
+
+
 def phrases(tokens: str, max_words: int) -> Column:
     """Distinct runs of 1 to `max_words` words from the array column `tokens`.
 
@@ -101,30 +107,26 @@ def email_domains(text: Column) -> Column:
     return F.transform(emails(text), lambda e: F.lower(F.substring_index(e, "@", -1)))
 
 
-# Lists that become part of an expression are short; longer ones belong in a table.
-MAX_LIST = 1_000
-
-
 def literal_list(choices: Iterable[str]) -> list[str]:
-    """Lower-case entries with single spaces; refuses an empty or a very long list."""
+    """Lower-case entries with single spaces; refuses an empty list."""
     cleaned = [" ".join(p.lower().split()) for p in choices if p.strip()]
-    if not 0 < len(cleaned) <= MAX_LIST:
-        raise ValueError(f"a word list holds 1 to {MAX_LIST} entries, not {len(cleaned)}")
+    if not cleaned:
+        raise ValueError("a word list holds at least one entry")
     return cleaned
 
 
-def _phrase_list(choices: Iterable[str]) -> list[str]:
-    cleaned = literal_list(choices)
-    bad = [p for p in cleaned if not all(c.isalnum() or c in " '-" for c in p)]
-    if bad:
-        raise ValueError(f"phrases may hold letters, digits, ' and - only: {bad}")
-    return cleaned
+def _quoted(word: str) -> str:
+    """The word as it stands, whatever signs it holds."""
+    return "".join(c if c.isalnum() else f"\\{c}" for c in word)
 
 
 def _may_hold(lowered: Column, listed: Sequence[str]) -> Column:
     """A byte search for the first words; it settles most texts without a pattern."""
-    firsts = sorted({p.split()[0] for p in listed})
-    return reduce(lambda a, b: a | b, [lowered.contains(w) for w in firsts])
+    tests = [lowered.contains(w) for w in sorted({p.split()[0] for p in listed})]
+    # Joined two by two: a long chain would be too deep to plan.
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[i:i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def phrase_hits(text: Column, choices: Iterable[str]) -> Column:
@@ -134,8 +136,8 @@ def phrase_hits(text: Column, choices: Iterable[str]) -> Column:
 
 def phrase_hits_in(lowered: Column, choices: Iterable[str]) -> Column:
     """Phrase hits of a text that is in lower case already."""
-    listed = _phrase_list(choices)
-    body = "|".join(p.replace(" ", r"\s+") for p in listed)
+    listed = literal_list(choices)
+    body = "|".join(r"\s+".join(map(_quoted, p.split())) for p in listed)
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"
     count = F.regexp_count(lowered, F.lit(pattern))
     return F.when(_may_hold(lowered, listed), count).when(lowered.isNotNull(), 0)
@@ -146,7 +148,8 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
     out = F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    # A tag starts with a letter, a slash or a mark: "a < b" is text.
+    out = F.regexp_replace(out, r"<[A-Za-z/!][^>]*>", " ")
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return browser_trim(F.regexp_replace(out, rf"{BLANK}+", " "))

@@ -29,18 +29,22 @@ def chat_turn_pairs(chat: DataFrame) -> DataFrame:
 
 
 def chat_summary(chat: DataFrame, roles: tuple[str, ...] = (USER, BOT, "system")) -> DataFrame:
-    """Messages per conversation and sender, and the share of unanswered ones."""
+    """Messages per conversation and sender, and the share of unanswered ones.
+
+    Senders that are not named, and missing ones, count as `other_messages`.
+    """
     # Only roles are needed here, so texts stay where they are.
     marked = with_next(chat.select("conv_id", "turn", "role"), ["conv_id"], "turn", ["role"])
     unanswered = (F.col("role") == USER) & ~F.coalesce(F.col("next_role") == BOT, F.lit(False))
+    known = F.when(F.col("role").isin(*roles), F.col("role")).otherwise("other")
     counts = (
-        marked.groupBy("conv_id")
-        .pivot("role", list(roles))
+        marked.withColumn("_sender", known).groupBy("conv_id")
+        .pivot("_sender", [*roles, "other"])
         .agg(F.count(F.lit(1)).alias("messages"), F.count_if(unanswered).alias("unanswered"))
         .fillna(0)
     )
     return counts.select(
         "conv_id",
-        *[F.col(f"{r}_messages") for r in roles],
+        *[F.col(f"{r}_messages") for r in (*roles, "other")],
         F.round(F.try_divide(f"{USER}_unanswered", f"{USER}_messages"), 4).alias("unanswered_share"),
     )

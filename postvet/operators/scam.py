@@ -174,9 +174,12 @@ def salary_outliers(
 
 
 def exact_reposts(postings: DataFrame) -> DataFrame:
-    """Texts posted more than once, with the number of sources that carry them."""
+    """Texts posted more than once, with the number of sources that carry them.
+
+    Null texts and texts without a word are no reposts of each other.
+    """
     return (
-        postings.select("posting_id", "source", T.same_text_key(F.col("text")).alias("text_key"))
+        postings.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).select("posting_id", "source", T.same_text_key(F.col("text")).alias("text_key"))
         .groupBy("text_key")
         .agg(
             F.min("posting_id").alias("first_posting"),

@@ -75,7 +75,8 @@ def scan_quota(user_events: DataFrame, subscriptions: DataFrame, plans: DataFram
     Only the first scans of a month decide. They are found with a limit inside the
     plan, so a task passes on a few rows per user and month, and the last allowed
     one becomes a date per month in the user's row. All scans are then moved once,
-    to meet that row. A scan without a subscription is not allowed.
+    to meet that row. A scan without a subscription is not allowed, nor is one without
+    a time on a plan with a quota.
     """
     scans = user_events.filter(F.col("event_type") == SCAN).select(
         "event_id", "user_id", "ts", F.date_format("ts", "yyyy-MM").alias("month")
@@ -83,10 +84,15 @@ def scan_quota(user_events: DataFrame, subscriptions: DataFrame, plans: DataFram
     users = subscriptions.join(
         plans.select(F.col("name").alias("plan"), "scans_per_month"), "plan"
     ).select("user_id", "plan", "scans_per_month")
+    # Of several subscriptions of a user the one with the most scans counts.
+    best = F.struct(F.col("scans_per_month").isNotNull(), -F.coalesce("scans_per_month", F.lit(0)), "plan")
+    users = users.groupBy("user_id").agg(
+        F.min_by("plan", best).alias("plan"), F.min_by("scans_per_month", best).alias("scans_per_month")
+    )
     largest = plans.agg(F.max("scans_per_month")).first()[0] or 0
     order = W.partitionBy("user_id", "month").orderBy("ts", "event_id")
     last_allowed = (
-        scans.withColumn("_rn", F.row_number().over(order))
+        scans.filter("month IS NOT NULL").withColumn("_rn", F.row_number().over(order))
         .filter(F.col("_rn") <= largest)
         .join(users, "user_id")
         .filter(F.col("_rn") <= F.col("scans_per_month"))
@@ -104,10 +110,22 @@ def scan_quota(user_events: DataFrame, subscriptions: DataFrame, plans: DataFram
     )
 
 
-def limited_history(user_events: DataFrame, n: int = 10) -> DataFrame:
-    """The latest n events per user."""
+def limited_history(
+    user_events: DataFrame, subscriptions: DataFrame, n: int = 10, plans: tuple[str, ...] = ("Free",)
+) -> DataFrame:
+    """The latest n events of users whose plans are all limited ones, all events of others.
+
+    `rank` counts a limited user's events from the latest; it is null for the others.
+    Users without a subscription are limited.
+    """
+    free = subscriptions.filter(~F.col("plan").isin(*plans)).select("user_id").distinct()
     order = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return user_events.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    limited = (
+        user_events.join(free, "user_id", "left_anti")
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    )
+    rest = user_events.join(free, "user_id", "left_semi").withColumn("rank", F.lit(None).cast("int"))
+    return limited.unionByName(rest)
 
 
 def session_cells(events: DataFrame, gap_seconds: int, cells_per_gap: int = 30) -> DataFrame:

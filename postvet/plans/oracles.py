@@ -32,7 +32,7 @@ def _html(html: str) -> str:
         r"(?is)<script\b[^>]*>.*?</script\s*>",
         r"(?is)<style\b[^>]*>.*?</style\s*>",
         r"(?s)<!--.*?-->",
-        r"<[^>]*>",
+        r"<[A-Za-z/!][^>]*>",
     ):
         out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
     for name, char in (
@@ -131,27 +131,31 @@ PARTS: dict[str, tuple[list[str], str]] = {
         [],
         """SELECT o_orderkey AS review_id, o_custkey AS company_id,
                   6 - substr(o_orderpriority, 1, 1)::INT AS rating, o_orderdate AS reviewed_at
-           FROM orders WHERE o_orderstatus = 'P'""",
+           FROM orders""",
     ),
     "listings": (
         [],
-        """SELECT o_custkey AS company_id, o_orderstatus AS registry FROM orders
-           WHERE o_orderpriority = '1-URGENT'""",
+        """SELECT o_custkey AS company_id, o_orderstatus AS registry FROM orders""",
     ),
-    "age": (
+    "companies": (
         [],
+        """SELECT c_custkey, c_name FROM customer
+           UNION ALL SELECT -1 - s_suppkey, s_name FROM supplier""",
+    ),
+    "age": (
+        ["companies"],
         """SELECT company_id, domain_age_days, domain_age_days || ' Days' AS domain_age FROM (
              SELECT c_custkey AS company_id, CASE WHEN days >= 0 THEN days END AS domain_age_days
-             FROM customer LEFT JOIN (
+             FROM companies LEFT JOIN (
                SELECT o_custkey, date_diff('day', min(o_orderdate)::DATE, DATE '1999-01-01') AS days
                FROM orders GROUP BY 1) ON o_custkey = c_custkey)""",
     ),
     "presence": (
-        ["listings"],
+        ["listings", "companies"],
         """SELECT *, CASE WHEN registries > 0 THEN 'Listed in ' || registries || ' Registries'
                   ELSE 'Not Found in Major Registries' END AS online_presence FROM (
              SELECT c_custkey AS company_id, count(DISTINCT registry) AS registries
-             FROM customer LEFT JOIN listings ON company_id = c_custkey GROUP BY 1)""",
+             FROM companies LEFT JOIN listings ON company_id = c_custkey GROUP BY 1)""",
     ),
     "verified": (
         ["age", "presence", "reviews"],
@@ -169,10 +173,10 @@ PARTS: dict[str, tuple[list[str], str]] = {
                     AS entity FROM verified""",
     ),
     "ratings": (
-        ["reviews"],
+        ["reviews", "companies"],
         """SELECT c_custkey AS company_id, count(rating) AS reviews,
                   coalesce(round(avg(rating), 1), 0.0) AS score
-           FROM customer LEFT JOIN reviews ON company_id = c_custkey GROUP BY 1""",
+           FROM companies LEFT JOIN reviews ON company_id = c_custkey GROUP BY 1""",
     ),
     "sentiments": (
         ["ratings"],
@@ -196,10 +200,10 @@ PARTS: dict[str, tuple[list[str], str]] = {
            WHERE df BETWEEN 20 AND 80""",
     ),
     "summaries": (
-        ["reviews"],
+        ["reviews", "companies"],
         """SELECT c_custkey AS company_id,
                   coalesce(text, 'No employee reviews found for this entity.') AS summary
-           FROM customer LEFT JOIN (
+           FROM companies LEFT JOIN (
              SELECT company_id, text, row_number() OVER (PARTITION BY company_id
                       ORDER BY round(abs(rating - mean), 6), review_id) AS rn
              FROM reviews JOIN (SELECT company_id, avg(rating) AS mean FROM reviews GROUP BY 1)
@@ -214,24 +218,30 @@ PARTS: dict[str, tuple[list[str], str]] = {
                  FROM review_words JOIN lexicon USING (token) GROUP BY 1, 2, 3)""",
     ),
     "pros_cons": (
-        ["terms"],
+        ["terms", "companies"],
         """SELECT c_custkey AS company_id,
                   string_agg(token, ', ' ORDER BY rn) FILTER (good AND rn <= 3) AS pros,
                   string_agg(token, ', ' ORDER BY rn) FILTER (NOT good AND rn <= 3) AS cons
-           FROM customer LEFT JOIN terms ON company_id = c_custkey GROUP BY 1""",
+           FROM companies LEFT JOIN terms ON company_id = c_custkey GROUP BY 1""",
     ),
     "skills": (
         ["frequency"],
         f"""SELECT token AS skill FROM frequency WHERE df BETWEEN 5 AND 50
             UNION SELECT array_to_string({_words('text')}[1:2], ' ') FROM benchmark""",
     ),
+    "skill_tokens": (
+        [],
+        r"""SELECT doc_id, regexp_extract_all(
+                    regexp_replace(lower(text), '([\p{L}\p{N}+#])\.', '\1 ', 'g'),
+                    '\.?[\p{L}\p{N}][\p{L}\p{N}+#]*') AS words FROM documents""",
+    ),
     "doc_skills": (
-        ["doc_words", "skills"],
+        ["skill_tokens", "skills"],
         """SELECT DISTINCT doc_id, skill FROM (
-             SELECT doc_id, unnest(words) AS skill FROM doc_words
+             SELECT doc_id, unnest(words) AS skill FROM skill_tokens
              UNION ALL
              SELECT doc_id, unnest(list_transform(range(1, len(words)),
-                      lambda i: words[i] || ' ' || words[i + 1])) FROM doc_words)
+                      lambda i: words[i] || ' ' || words[i + 1])) FROM skill_tokens)
            JOIN skills USING (skill) WHERE skill <> ''""",
     ),
     "pairs": (
@@ -284,6 +294,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
                   ['Free', 'Pro', 'Enterprise'][user_id % 3 + 1] AS plan,
                   ['monthly', 'yearly'][user_id % 2 + 1] AS billing FROM events""",
     ),
+    # Names, prices and features of the plans, here and below.
     "prices": (
         [],
         """SELECT * FROM (VALUES
@@ -294,9 +305,9 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "profile_ops": (
         [],
-        """SELECT user_id, event_id AS seq, event_type = 'click' AS is_add,
+        """SELECT user_id, event_id AS seq, event_type <> 'error' AS is_add,
                   's' || (json_extract_string(props, '$.k')::INT // 10) AS skill
-           FROM events WHERE event_type IN ('click', 'error')""",
+           FROM events""",
     ),
     "chat": (
         [],
@@ -353,7 +364,7 @@ _WINDOW = (
     "strftime(ws + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, "
     "company_id, reviews, mean_rating FROM windows"
 )
-_PHONE = r"\+?[0-9](?:[ ().-]{0,2}[0-9]){8,13}"
+_PHONE = r"\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}"
 
 ORACLES: dict[str, str] = {
     "collect_postings": _sql([], f"""
@@ -393,7 +404,7 @@ ORACLES: dict[str, str] = {
     "exact_reposts": _sql(["doc_words"], """
         SELECT sha256(array_to_string(words, ' ')) AS text_key, min(doc_id) AS first_posting,
                count(*) AS postings, count(DISTINCT source) AS sources
-        FROM doc_words JOIN documents USING (doc_id) GROUP BY 1 HAVING count(*) > 1"""),
+        FROM doc_words JOIN documents USING (doc_id) WHERE len(words) > 0 GROUP BY 1 HAVING count(*) > 1"""),
     "scam_flags": _sql(["flags"], """
         SELECT posting_id, salary, email, urgency, vague, payment,
                array_to_string(flags, '; ') AS flags FROM flags"""),
@@ -406,11 +417,11 @@ ORACLES: dict[str, str] = {
     "domain_age": _sql(["age"], """
         SELECT company_id, domain_age_days::DOUBLE AS domain_age_days, domain_age FROM age"""),
     "online_presence": _sql(["presence"], "SELECT * FROM presence"),
-    "unlisted_companies": _sql(["listings"], """
-        SELECT c_custkey AS company_id, c_name AS name FROM customer
+    "unlisted_companies": _sql(["listings", "companies"], """
+        SELECT c_custkey AS company_id, c_name AS name FROM companies
         WHERE c_custkey NOT IN (SELECT company_id FROM listings)"""),
-    "listed_companies": _sql(["listings"], """
-        SELECT c_custkey AS company_id, c_name AS name FROM customer
+    "listed_companies": _sql(["listings", "companies"], """
+        SELECT c_custkey AS company_id, c_name AS name FROM companies
         WHERE c_custkey IN (SELECT company_id FROM listings)"""),
     "verify_company": _sql(["verified"], """
         SELECT company_id, is_verified, domain_age, domain_age_days::DOUBLE AS domain_age_days,
@@ -430,11 +441,11 @@ ORACLES: dict[str, str] = {
           USING (company_id)"""),
     "review_scores": _sql(["ratings"], "SELECT * FROM ratings"),
     "sentiment_label": _sql(["sentiments"], "SELECT * FROM sentiments"),
-    "review_lexicon_sentiment": _sql(["review_words", "lexicon"], """
+    "review_lexicon_sentiment": _sql(["doc_words", "lexicon"], """
         SELECT review_id, coalesce(n, 0) AS lexicon_words, coalesce(round(mean, 4), 0.0) AS text_score
-        FROM (SELECT review_id FROM reviews JOIN documents ON doc_id = review_id)
-        LEFT JOIN (SELECT review_id, count(*) AS n, avg(weight::DOUBLE) AS mean
-                   FROM review_words JOIN lexicon USING (token) GROUP BY 1) USING (review_id)"""),
+        FROM (SELECT doc_id AS review_id FROM documents)
+        LEFT JOIN (SELECT doc_id AS review_id, count(*) AS n, avg(weight::DOUBLE) AS mean
+                   FROM (SELECT doc_id, unnest(words) AS token FROM doc_words) JOIN lexicon USING (token) GROUP BY 1) USING (review_id)"""),
     "review_summary": _sql(["summaries"], "SELECT * FROM summaries"),
     "pros_cons": _sql(["pros_cons"], "SELECT * FROM pros_cons"),
     "extract_skills": _sql(["doc_skills"], "SELECT * FROM doc_skills"),
@@ -460,13 +471,14 @@ ORACLES: dict[str, str] = {
                   FROM pairs JOIN weights p ON p.doc_id = posting_id
                   JOIN weights r ON r.doc_id = resume_id AND r.term = p.term GROUP BY 1, 2)
                 USING (resume_id, posting_id))) WHERE rank <= 2"""),
-    "vector_match": _sql([], """
+    "vector_match": _sql(["pairs"], """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id
-                                ORDER BY cosine DESC, posting_id)::INT AS rank
-          FROM (SELECT a.vec_id AS resume_id, b.vec_id AS posting_id,
+                                ORDER BY cosine DESC NULLS LAST, posting_id)::INT AS rank
+          FROM (SELECT resume_id, posting_id,
                        round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)
                          AS cosine
-                FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 5"""),
+                FROM pairs LEFT JOIN embeddings a ON a.vec_id = resume_id
+                LEFT JOIN embeddings b ON b.vec_id = posting_id)) WHERE rank <= 5"""),
     "profile_skills": _sql(["profile_ops"], """
         SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS pos, skill
         FROM (SELECT user_id, skill, min(seq) AS seq FROM profile_ops a
@@ -486,10 +498,11 @@ ORACLES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY user_id, month ORDER BY ts, event_id) AS rn
           FROM (SELECT *, strftime(ts, '%Y-%m') AS month FROM user_events
                 WHERE event_type = 'scan')) JOIN subscriptions USING (user_id)"""),
-    "limited_history": _sql(["user_events"], """
-        SELECT * FROM (SELECT user_id, event_id, event_type, row_number() OVER (
-                 PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank
-          FROM user_events) WHERE rank <= 10"""),
+    "limited_history": _sql(["user_events", "subscriptions"], """
+        SELECT user_id, event_id, event_type, CASE WHEN plan = 'Free' THEN rank END AS rank
+        FROM (SELECT *, row_number() OVER (
+                 PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::DOUBLE AS rank
+          FROM user_events) JOIN subscriptions USING (user_id) WHERE plan <> 'Free' OR rank <= 10"""),
     "plan_prices": _sql(["prices", "subscriptions"], """
         SELECT p.plan, popular, p.billing, price, saving_percent::DOUBLE AS saving_percent,
                count(user_id) AS subscribers
@@ -532,12 +545,13 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, count(*) FILTER (role = 'user') AS user_messages,
                count(*) FILTER (role = 'bot') AS bot_messages,
                count(*) FILTER (role = 'system') AS system_messages,
+               count(*) FILTER (role NOT IN ('user', 'bot', 'system')) AS other_messages,
                round((count(*) FILTER (role = 'user' AND next_role IS DISTINCT FROM 'assistant'))::DOUBLE
                      / nullif(count(*) FILTER (role = 'user'), 0), 4) AS unanswered_share
         FROM chat GROUP BY 1"""),
     "analysis_report": _sql(
         ["scam", "shown", "sentiments", "summaries", "pros_cons", "matches"], """
-        SELECT p.posting_id, o_custkey AS company_id, band, verdict, p.score AS risk_score,
+        SELECT p.posting_id, resume_id::DOUBLE AS resume_id, o_custkey AS company_id, band, verdict, p.score AS risk_score,
                array_to_string(flags, '; ') AS flags, is_verified, domain_age,
                domain_age_days::DOUBLE AS domain_age_days, online_presence, sentiment,
                s.score AS review_score, summary, pros, cons, match_percentage,
@@ -547,9 +561,7 @@ ORACLES: dict[str, str] = {
         LEFT JOIN sentiments s ON s.company_id = o_custkey
         LEFT JOIN summaries t ON t.company_id = o_custkey
         LEFT JOIN pros_cons c ON c.company_id = o_custkey
-        LEFT JOIN (SELECT * FROM matches WHERE (resume_id, posting_id) IN (
-                     SELECT (min(resume_id), posting_id) FROM pairs GROUP BY posting_id)) m
-          ON m.posting_id = p.posting_id"""),
+        LEFT JOIN matches m ON m.posting_id = p.posting_id"""),
     "scam_alerts_batch": _sql(["alerts"], "SELECT * FROM alerts"),
     "scam_alerts_stream": _sql(["alerts"], "SELECT * FROM alerts"),
     "reputation_tumbling": _sql(["windows"], _WINDOW),

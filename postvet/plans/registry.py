@@ -15,7 +15,7 @@ from postvet.operators import chat, company, plans, resume, reviews, scam, usage
 from postvet.plans import report
 from postvet.session import new_shared_path, stored
 from postvet.sources import ingest, store
-from postvet.sources.bindings import AS_OF, CUTOFF, RULES, SKILL_WORDS, Fixtures
+from postvet.sources.bindings import AS_OF, CUTOFF, RULES, Fixtures
 from postvet.streaming.alerts import scam_alerts
 from postvet.streaming.reputation import reputation, session_stream
 from postvet.streaming.sinks import drain
@@ -66,11 +66,6 @@ def submission_gate(fx):
     return kept.withColumn("size_mb", ingest.size_mb(F.col("file_bytes")))
 
 
-@query
-def resume_manifest(fx):
-    return ingest.resume_manifest(fx.spark, fx.folder)
-
-
 @query
 def write_report(fx):
     path = new_shared_path(fx.spark, "report")
@@ -257,7 +252,7 @@ def pros_cons(fx):
 def _skills(fx):
     """Resumes and postings are the same texts here, so they are read once."""
     found = stored(
-        resume.extract_skills(fx.texts(), fx.skills(), SKILL_WORDS), rebalance=True
+        resume.extract_skills(fx.texts(), fx.skills()), rebalance=True
     )
     return (
         found.withColumnRenamed("doc_id", "resume_id"),
@@ -267,7 +262,7 @@ def _skills(fx):
 
 @query
 def extract_skills(fx):
-    return resume.extract_skills(fx.texts(), fx.skills(), SKILL_WORDS)
+    return resume.extract_skills(fx.texts(), fx.skills())
 
 
 @query
@@ -297,9 +292,7 @@ def text_similarity(fx):
 
 @query
 def vector_match(fx):
-    return resume.vector_match(
-        fx.resume_vectors(), fx.posting_vectors(), k=5, skip_same_id=True
-    )
+    return resume.vector_match(fx.submissions(), fx.resume_vectors(), fx.posting_vectors(), k=5)
 
 
 # --- profiles, usage, plans
@@ -332,9 +325,8 @@ def scan_quota(fx):
 
 @query
 def limited_history(fx):
-    return usage.limited_history(fx.user_events(), n=10).select(
-        "user_id", "event_id", "event_type", "rank"
-    )
+    found = usage.limited_history(fx.user_events(), fx.subscriptions(), n=10)
+    return found.select("user_id", "event_id", "event_type", _number("rank"))
 
 
 @query
@@ -417,7 +409,7 @@ def full_report(fx: Fixtures) -> DataFrame:
 @query
 def analysis_report(fx):
     flat = report.flat_report(full_report(fx))
-    return flat.withColumn("domain_age_days", _number("domain_age_days"))
+    return flat.withColumns({c: _number(c) for c in ("resume_id", "domain_age_days")})
 
 
 # --- streams and their batch twins

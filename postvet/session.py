@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even if that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Compressed files grow in memory; joins judge a side by its grown size.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     # Let top-k limits of up to this many rows work before the exchange.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Fold a hot user's sessions inside each input task before the exchange.
@@ -47,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="postvet-")
     if context.getCheckpointDir() is None:

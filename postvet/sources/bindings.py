@@ -1,7 +1,8 @@
 """Logical input tables over the driver's test tables (see FIXTURES.md).
 
 The test tables hold no job data. Each method states which columns stand in for
-what; every row of the table is used.
+what; every row of the table is used. Of the item pairs, those of two documents are
+submissions.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ RULES = Rules(
 )
 AS_OF = dt.date(1999, 1, 1)
 CUTOFF = dt.date(2024, 1, 10)
-SKILL_WORDS = 2
+OPENING_WORDS = 2
 
 
 class Fixtures:
@@ -46,17 +47,9 @@ class Fixtures:
             self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
-    def _spread(self, found: DataFrame) -> DataFrame:
-        """Texts over all cores if they sit in fewer files than that.
-
-        A table of many files has more read tasks than cores and is left as it is.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
-
-    @cached_property
+    @property
     def documents(self) -> DataFrame:
-        return self._spread(self.table("documents"))
+        return self.table("documents")
 
     def stream(self, name: str) -> DataFrame:
         """The same table as a stream; files that arrive later are picked up too."""
@@ -107,7 +100,7 @@ class Fixtures:
         )
 
     def pages(self) -> DataFrame:
-        return self._spread(self.table("pages"))
+        return self.table("pages")
 
     def uploads(self) -> DataFrame:
         """Some postings without text, some with a file: by language and source."""
@@ -121,9 +114,11 @@ class Fixtures:
     # --- companies and reviews
 
     def companies(self) -> DataFrame:
-        return self.table("customer").select(
+        """Customers and suppliers, whose ids are kept apart by their sign."""
+        customers = self.table("customer").select(
             F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name")
         )
+        return customers.union(self.table("supplier").select(-1 - F.col("s_suppkey"), "s_name"))
 
     def first_seen(self) -> DataFrame:
         return self.table("orders").select(
@@ -133,14 +128,12 @@ class Fixtures:
     def registry_listings(self) -> DataFrame:
         return (
             self.table("orders")
-            .filter(F.col("o_orderpriority") == "1-URGENT")
             .select(F.col("o_custkey").alias("company_id"), F.col("o_orderstatus").alias("registry"))
         )
 
     def reviews(self, orders: DataFrame | None = None) -> DataFrame:
         return (
             (self.table("orders") if orders is None else orders)
-            .filter(F.col("o_orderstatus") == "P")
             .select(
                 F.col("o_orderkey").alias("review_id"),
                 F.col("o_custkey").alias("company_id"),
@@ -150,11 +143,7 @@ class Fixtures:
         )
 
     def review_texts(self) -> DataFrame:
-        return (
-            self.documents
-            .select(F.col("doc_id").alias("review_id"), "text")
-            .join(self.reviews().select("review_id"), "review_id", "left_semi")
-        )
+        return self.documents.select(F.col("doc_id").alias("review_id"), "text")
 
     @cached_property
     def document_frequency(self) -> DataFrame:
@@ -197,7 +186,7 @@ class Fixtures:
             F.col("token").alias("skill")
         )
         opening = self.table("benchmark").select(
-            F.array_join(F.slice(words(F.col("text")), 1, SKILL_WORDS), " ").alias("skill")
+            F.array_join(F.slice(words(F.col("text")), 1, OPENING_WORDS), " ").alias("skill")
         )
         return single.union(opening).distinct()
 
@@ -236,11 +225,10 @@ class Fixtures:
         level = F.get_json_object("props", "$.k").cast("int")
         return (
             self.table("events")
-            .filter(F.col("event_type").isin("click", "error"))
             .select(
                 "user_id",
                 F.col("event_id").alias("seq"),
-                F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("op"),
+                F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"),
                 F.concat(F.lit("s"), F.floor(level / 10).cast("string")).alias("skill"),
             )
         )

@@ -32,9 +32,12 @@ def scam_alerts(
     posting sent over and over does not queue up in one task.
     """
     if not postings.isStreaming:
-        return _hits(postings, limits, rules, threshold).dropDuplicates(["posting_id"])
+        first = F.struct("posted_at", "score", "band", "flags")
+        found = _hits(postings, limits, rules, threshold).groupBy("posting_id").agg(F.min(first).alias("f"))
+        return found.select("posting_id", "f.*")
     hits = _hits(postings.withWatermark("posted_at", delay), limits, rules, threshold)
-    salt = F.floor(F.rand(seed=17) * salts).cast("int")
+    # A hash of the row, so a batch that is run again keeps the same rows.
+    salt = F.pmod(F.xxhash64("posted_at", "score", "flags"), F.lit(salts))
     return (
         hits.withColumn("_salt", salt)
         .dropDuplicatesWithinWatermark(["posting_id", "_salt"])

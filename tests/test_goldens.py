@@ -208,7 +208,7 @@ def test_chat(spark):
     ]
     # The message after the first user message is not a reply.
     assert sorted(rows(chat.chat_turn_pairs(log)))[0] == (1, 1, "  \n\t", None)
-    assert sorted(rows(chat.chat_summary(clean))) == [(1, 2, 2, 0, 0.5), (2, 0, 1, 0, None)]
+    assert sorted(rows(chat.chat_summary(clean))) == [(1, 2, 2, 0, 0, 0.5), (2, 0, 1, 0, 0, None)]
 
 
 def test_profile_completion(spark):
@@ -298,7 +298,7 @@ def test_report_row_without_any_panel(spark):
         "summary:string,pros:string,cons:string>",
     )
     matches = spark.createDataFrame(
-        [], "posting_id long, match_percentage double, missing_skills array<string>"
+        [], "posting_id long, resume_id long, match_percentage double, missing_skills array<string>"
     )
     row = analysis_report(headers, scored, panels, matches).first()
     assert row["band"] == "high" and row["scam_analysis"] is None and row["resume_match"] is None

@@ -137,11 +137,17 @@ def test_usage_and_rank(spark):
 
 def test_limited_history(spark):
     data = random_events(300)
-    got = {(r["user_id"], r["rank"]): r["event_id"]
-           for r in usage.limited_history(events_df(spark, data), 5).collect()}
-    for user in {e[2] for e in data}:
-        own = sorted(((e[1], e[0]) for e in data if e[2] == user), reverse=True)[:5]
-        assert [got[user, i + 1] for i in range(len(own))] == [e for _, e in own]
+    users = sorted({e[2] for e in data})
+    plans = [(u, "Free" if i % 2 else "Pro") for i, u in enumerate(users)] + [(users[1], "Free")]
+    table = spark.createDataFrame(plans, "user_id long, plan string")
+    found = usage.limited_history(events_df(spark, data), table, 5).collect()
+    got = {(r["user_id"], r["rank"]): r["event_id"] for r in found}
+    for user, plan in plans:
+        own = sorted(((e[1], e[0]) for e in data if e[2] == user), reverse=True)
+        if plan == "Free":
+            assert [got[user, i + 1] for i in range(min(5, len(own)))] == [e for _, e in own[:5]]
+            own = own[:5]
+        assert sum(r["user_id"] == user for r in found) == len(own)
 
 
 @pytest.mark.parametrize("gap", [300, 900, 7_200])
@@ -157,29 +163,28 @@ def test_usage_sessions_match_the_built_in(spark, gap):
     assert sorted(rows(got)) == sorted(rows(want))
 
 
-@pytest.mark.parametrize("blocks", [(2, 3), (1000, 1000), (7, 1000)])
-@pytest.mark.parametrize("skip", [True, False])
-def test_vector_match(spark, blocks, skip):
+def test_vector_match(spark):
     rng = np.random.default_rng(4)
-    vectors = rng.integers(-2, 3, size=(30, 4)).astype(float)
-    vectors[5] = 0
+    vectors = [v.tolist() for v in rng.integers(-2, 3, size=(30, 4)).astype(float)]
+    vectors[5] = [0.0] * 4
+    vectors[6] = [float("nan")] + [1.0] * 3
+    vectors[7] = [1.0] * 3
     vectors[9] = vectors[11] = vectors[12]
-    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[:12])],
-                                 "resume_id long, v array<float>")
-    right = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
-                                  "posting_id long, v array<float>")
-    got = resume.vector_match(left, right, 4, skip, *blocks)
+    table = [(i, v) for i, v in enumerate(vectors)]
+    left = spark.createDataFrame(table, "resume_id long, v array<float>")
+    right = spark.createDataFrame(table, "posting_id long, v array<float>")
+    pairs = [(i, int(j)) for i in range(12) for j in rng.choice(32, 8, replace=False)]
+    got = resume.vector_match(spark.createDataFrame(pairs, "resume_id long, posting_id long"), left, right, 4)
     want = set()
     for i in range(12):
         scored = []
-        for j in range(30):
-            size = np.linalg.norm(vectors[i]) * np.linalg.norm(vectors[j])
-            if size > 0 and not (skip and i == j):
-                scored.append((-round(float(vectors[i] @ vectors[j] / size), 6), j))
-        want |= {(i, j, -s, n + 1) for n, (s, j) in enumerate(sorted(scored)[:4])}
-    assert {(r[0], r[1], r[2] + 0.0, r[3]) for r in rows(got)} == {
-        (a, b, c + 0.0, d) for a, b, c, d in want
-    }
+        for j in (p for r, p in pairs if r == i):
+            a, b = vectors[i], vectors[j] if j < 30 else []
+            size = np.linalg.norm(a) * np.linalg.norm(b)
+            cosine = round(float(np.dot(a, b) / size), 6) if len(a) == len(b) and size > 0 else None
+            scored.append((cosine is None, -(cosine or 0.0), j, cosine))
+        want |= {(i, j, c if c is None else c + 0.0, n + 1) for n, (_, _, j, c) in enumerate(sorted(scored)[:4])}
+    assert {(r[0], r[1], r[2] if r[2] is None else r[2] + 0.0, r[3]) for r in rows(got)} == want
 
 
 def skill_tables(spark):
@@ -258,3 +263,22 @@ def test_ml_risk_score(spark):
     assert len(first) == 8 and all(0 <= s <= 100 for s in first.values())
     assert first[6] > 50 > first[7]
     assert first == dict(rows(scam.ml_risk_score(postings, labels)))
+
+
+def test_skills_of_any_length_and_with_signs(spark):
+    long = "Amazon Web Services Cloud Practitioner"
+    docs = spark.createDataFrame([(1, f"I am an {long}."), (2, "plan c is net neutral"), (3, "C++ and C#, .NET too")],
+                                 "doc_id long, text string")
+    skills = spark.createDataFrame([(s,) for s in (long, "C++", "C#", ".NET")], "skill string")
+    got = sorted(rows(resume.extract_skills(docs, skills)))
+    assert got == [(1, long), (3, ".NET"), (3, "C#"), (3, "C++")]
+
+
+def test_quota_without_time_and_with_two_plans(spark):
+    from postvet.operators.plans import plan_table
+
+    scans = spark.createDataFrame([(1, 7, "scan", None), (2, 8, "scan", None)],
+                                  "event_id long, user_id long, event_type string, ts timestamp")
+    plans = spark.createDataFrame([(7, "Free"), (8, "Free"), (8, "Pro")], "user_id long, plan string")
+    got = usage.scan_quota(scans, plans, plan_table(spark)).select("event_id", "plan", "allowed")
+    assert sorted(rows(got)) == [(1, "Free", False), (2, "Pro", True)]
