@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postvet.llm import decontamination, mixing, simhash, token_files, toxicity
+from postvet.llm import decontamination, mixing, near_dedup, token_files, toxicity
 from postvet.llm.common import ready, table
 from postvet.llm.queries import END_ID, tokenizer_path
 from postvet.session import new_shared_path, stored
@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep the document with the smallest id of each SimHash component."""
+    """Keep the document with the smallest id of each group of near copies."""
     ready(spark)
-    return simhash.near_dedup(docs)
+    return near_dedup.near_dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

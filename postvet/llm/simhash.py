@@ -80,13 +80,20 @@ class _Groups:
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        # The pairs that joined two groups: a forest, in which every pair was given to `join`.
+        self.forest: list[np.ndarray] = []
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        given = np.stack([i, j])
         while len(i):
             i, j = self.root[i], self.root[j]
             open_ = i != j
             low, high = np.minimum(i, j)[open_], np.maximum(i, j)[open_]
+            given = given[:, open_]
             np.minimum.at(self.root, high, low)
+            hooked = np.flatnonzero(self.root[high] == low)
+            _, once = np.unique(high[hooked], return_index=True)
+            self.forest.append(given[:, hooked[once]])
             while True:
                 up = self.root[self.root]
                 if np.array_equal(up, self.root):
@@ -109,8 +116,25 @@ def trie_groups(keys: np.ndarray, exact: int, radius: int) -> np.ndarray:
     A pair of nodes that lie in one group already can add nothing and is dropped too.
     """
     groups = _Groups(len(keys))
+    _descend(keys, exact, radius, groups)
+    return groups.root
+
+
+def trie_forest(keys: np.ndarray, exact: int, radius: int) -> np.ndarray:
+    """Pairs of positions, each a link of its own, that connect what `trie_groups` groups.
+
+    Near pairs come first, in three widening searches, so that a key is tied to keys close to it.
+    """
+    groups = _Groups(len(keys))
+    for reach in sorted({radius // 4, radius // 2, radius}):
+        _descend(keys, exact, reach, groups)
+    return np.concatenate([np.empty((2, 0), np.int64), *groups.forest], axis=1)
+
+
+def _descend(keys: np.ndarray, exact: int, radius: int, groups: _Groups) -> None:
+    """Walk the trie and join the groups of all keys within the radius."""
     if len(keys) < 2:
-        return groups.root
+        return
     top = keys >> np.uint64(BITS - exact) if exact else np.zeros(len(keys), np.uint64)
     first = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
     last = np.append(first[1:], len(keys))
@@ -146,7 +170,6 @@ def trie_groups(keys: np.ndarray, exact: int, radius: int) -> np.ndarray:
         below = np.concatenate(below, axis=1)
         live = (below[0] < below[1]) & (below[2] < below[3]) & (below[4] <= radius)
         stack.append((depth + 1, below[:, live]))
-    return groups.root
 
 
 def _compare(keys: np.ndarray, pairs: np.ndarray, radius: int, groups: _Groups) -> None:
@@ -188,9 +211,11 @@ def _reorder(keys: np.ndarray, order: list[int]) -> np.ndarray:
     return np.ascontiguousarray(packed).view(">u8").astype(np.uint64).ravel()
 
 
-def near_links(distinct: DataFrame, radius: int, hot: int = 1 << 18) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int, hot: int = 1 << 18, forest: bool = False) -> DataFrame:
     """Links (fp, root) that join all of the distinct `fp` within `radius` bits, directly or not.
 
+    With `forest` every link is itself within the radius; otherwise it may stand for a chain.
+
     Two blocks of bits must agree (see `_layouts`), so the fingerprints are dealt by
     layout and the leading block of it, and each task joins its share by a trie. A task
     returns at most one link per fingerprint, never the pairs of a group. A share of
@@ -237,14 +262,16 @@ def near_links(distinct: DataFrame, radius: int, hot: int = 1 << 18) -> DataFram
             exact, order = orders[layout]
             moved = _reorder(keys, order)
             rank = np.argsort(moved)
-            root = trie_groups(moved[rank], exact, radius)
-            mine = np.flatnonzero(root != np.arange(len(root)))
+            if forest:
+                ends = trie_forest(moved[rank], exact, radius)
+            else:
+                root = trie_groups(moved[rank], exact, radius)
+                mine = np.flatnonzero(root != np.arange(len(root)))
+                ends = np.stack([mine, root[mine]])
             signed = keys[rank].view(np.int64)
-            for i in range(0, len(mine), 1 << 16):
-                at = mine[i:i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed[at]), pa.array(signed[root[at]])], ["fp", "root"]
-                )
+            for i in range(0, ends.shape[1], 1 << 16):
+                a, b = signed[ends[:, i:i + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp", "root"])
 
     return (
         spread.repartition("layout", "lead", "p", "q")
@@ -324,22 +351,3 @@ def simhash_components(
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("far")).alias("component"),
     )
     return rows.join(groups, "fp").select(key, "text_hash", "fp", "root", "component")
-
-
-def near_dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2, radius: int = 8,
-    distinct: bool = True,
-) -> DataFrame:
-    """One row of each component, all columns kept: the one with the smallest key.
-
-    Of several rows with that key (texts of one id, or repeated rows) one stays, by text
-    hash. A component of null keys alone keeps one row as well.
-    """
-    found = simhash_components(docs, key, text, words, radius, distinct)
-    order = F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("k"), F.col("text_hash").alias("h"))
-    keep = found.groupBy("root").agg(F.min(order).alias("o")).select(
-        F.col("o.k").alias("__k"), F.col("o.h").alias("__h")
-    )
-    marked = docs.withColumn("__t", text_hash(text))
-    kept = marked.join(keep, marked[key].eqNullSafe(keep["__k"]) & (F.col("__t") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates([key, "__t"]).select(*docs.columns)

@@ -10,8 +10,8 @@ import xxhash
 pytest.importorskip("postvet.llm")
 
 from postvet.llm import (  # noqa: E402
-    components, decontamination, language, licenses, mixing, sharding, simhash, token_counts, token_files, topk,
-    toxicity,
+    components, decontamination, language, licenses, mixing, near_dedup, sharding, simhash, token_counts,
+    token_files, topk, toxicity,
 )
 from postvet.llm.queries import tokenizer_path  # noqa: E402
 
@@ -349,9 +349,60 @@ def test_simhash_components(spark, docs):
     assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component) for r in got) == Counter(
         (r.doc_id, v, least.get(g)) for r, v, g in zip(rows, values, groups)
     )
-    kept = simhash.near_dedup(docs)
-    assert kept.columns == docs.columns
-    assert len(kept.collect()) == len(set(groups))
+
+
+def test_trie_forest():
+    values = sorted(near_values(400, 6, 9))
+    ends = simhash.trie_forest(np.array(values, np.uint64), 0, 6)
+    assert all((values[a] ^ values[b]).bit_count() <= 6 for a, b in ends.T.tolist())
+    root = simhash.trie_groups(np.array(values, np.uint64), 0, 6)
+    # A forest: one link less than members for each group, and no link between groups.
+    assert ends.shape[1] == len(values) - len(set(root.tolist()))
+    assert (root[ends[0]] == root[ends[1]]).all()
+
+
+def five_word_set(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_near_dedup(spark, docs):
+    draw = np.random.default_rng(12)
+    extra, at = [], 1_000
+    for family in range(25):
+        base = [f"w{x}" for x in draw.integers(0, 5_000, 200)]
+        for copy in range(8):
+            words = list(base)
+            # Up to 12 edits: similarities on either side of 0.8, to the base and among copies.
+            for place in draw.choice(200, int(draw.integers(0, 13)) if copy else 0, replace=False):
+                words[place] = f"x{draw.integers(0, 10**9)}"
+            extra.append((at, " ".join(words), "en", "s", None, None, None))
+            at += 1
+    table = docs.union(spark.createDataFrame(extra, SCHEMA))
+    rows = table.collect()
+    sets = [five_word_set(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) >= 0.8 * union:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, r in enumerate(rows):
+        order = (r.doc_id is None, r.doc_id)
+        least[find(i)] = min(least.get(find(i), order), order)
+    kept = near_dedup.near_dedup(table)
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id is None or r.doc_id for r in kept.collect()) == sorted(
+        late or k for late, k in least.values()
+    )
 
 
 # --- all of them
@@ -365,7 +416,7 @@ def test_empty_tables(spark, tmp_path):
         token_counts.token_counts(none, BYTE_BPE, 1024), decontamination.find_leaks(none, bench),
         decontamination.drop_leaks(none, bench), token_files.token_files(none, str(tmp_path / "e"), WORD_BPE, 1),
         topk.top_k(vectors, vectors, 5), language.predict_languages(none, language.fit(none)),
-        simhash.simhash_components(none), simhash.near_dedup(none),
+        simhash.simhash_components(none), near_dedup.near_dedup(none),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
