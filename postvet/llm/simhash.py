@@ -115,9 +115,7 @@ def trie_groups(keys: np.ndarray, exact: int, radius: int) -> np.ndarray:
     bit and is dropped beyond the radius. Pairs of small nodes are compared key by key.
     A pair of nodes that lie in one group already can add nothing and is dropped too.
     """
-    groups = _Groups(len(keys))
-    _descend(keys, exact, radius, groups)
-    return groups.root
+    return _grouped(keys, _by_opening(keys, exact), exact, radius)
 
 
 def trie_forest(keys: np.ndarray, exact: int, radius: int) -> np.ndarray:
@@ -125,23 +123,42 @@ def trie_forest(keys: np.ndarray, exact: int, radius: int) -> np.ndarray:
 
     Near pairs come first, in three widening searches, so that a key is tied to keys close to it.
     """
+    return _forest(keys, _by_opening(keys, exact), exact, radius)
+
+
+def _by_opening(keys: np.ndarray, exact: int) -> np.ndarray:
+    """Where keys begin whose first `exact` bits are not those of the key before."""
+    if not exact or not len(keys):
+        return np.arange(min(1, len(keys)))
+    top = keys >> np.uint64(BITS - exact)
+    return np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+
+
+def _grouped(keys: np.ndarray, tries: np.ndarray, depth: int, radius: int) -> np.ndarray:
+    groups = _Groups(len(keys))
+    _descend(keys, tries, depth, radius, groups)
+    return groups.root
+
+
+def _forest(keys: np.ndarray, tries: np.ndarray, depth: int, radius: int) -> np.ndarray:
     groups = _Groups(len(keys))
     for reach in sorted({radius // 4, radius // 2, radius}):
-        _descend(keys, exact, reach, groups)
+        _descend(keys, tries, depth, reach, groups)
     return np.concatenate([np.empty((2, 0), np.int64), *groups.forest], axis=1)
 
 
-def _descend(keys: np.ndarray, exact: int, radius: int, groups: _Groups) -> None:
-    """Walk the trie and join the groups of all keys within the radius."""
-    if len(keys) < 2:
-        return
-    top = keys >> np.uint64(BITS - exact) if exact else np.zeros(len(keys), np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
-    last = np.append(first[1:], len(keys))
+def _descend(keys: np.ndarray, tries: np.ndarray, depth: int, radius: int, groups: _Groups) -> None:
+    """Walk tries that lie one after another and join the groups of all keys within the radius.
+
+    A trie begins at each place of `tries`; its keys are sorted and agree in the first `depth` bits.
+    """
+    first, last = tries, np.append(tries[1:], len(keys))
     some = last - first > 1
+    if not some.any():
+        return
     one = np.full(int(some.sum()), 0)
     # Node pairs by depth: start and end of either node, and the bits that differ so far.
-    stack = [(exact, np.stack([first[some], last[some], first[some], last[some], one]))]
+    stack = [(depth, np.stack([first[some], last[some], first[some], last[some], one]))]
     while stack:
         depth, pairs = stack.pop()
         if pairs.shape[1] > CHUNK:
@@ -157,10 +174,9 @@ def _descend(keys: np.ndarray, exact: int, radius: int, groups: _Groups) -> None
         a, b, c, d, off = pairs[:, ~small]
         if not len(a):
             continue
-        bit = np.uint64(1 << (BITS - 1 - depth))
-        above = ~np.uint64((1 << (BITS - depth)) - 1)
-        m = np.clip(np.searchsorted(keys, (keys[a] & above) | bit), a, b)
-        n = np.clip(np.searchsorted(keys, (keys[c] & above) | bit), c, d)
+        # Within a node the keys with a set bit come last.
+        ones = np.concatenate([[0], np.cumsum(keys >> np.uint64(BITS - 1 - depth) & np.uint64(1), dtype=np.int64)])
+        m, n = b - (ones[b] - ones[a]), d - (ones[d] - ones[c])
         same = a == c
         below = [
             np.stack([a, m, c, n, off]), np.stack([m, b, n, d, off]), np.stack([a, m, n, d, off + 1]),
@@ -211,10 +227,14 @@ def _reorder(keys: np.ndarray, order: list[int]) -> np.ndarray:
     return np.ascontiguousarray(packed).view(">u8").astype(np.uint64).ravel()
 
 
-def near_links(distinct: DataFrame, radius: int, hot: int = 1 << 18, forest: bool = False) -> DataFrame:
+def near_links(
+    distinct: DataFrame, radius: int, hot: int = 1 << 18, forest: bool = False, kind: str | None = None,
+) -> DataFrame:
     """Links (fp, root) that join all of the distinct `fp` within `radius` bits, directly or not.
 
     With `forest` every link is itself within the radius; otherwise it may stand for a chain.
+    With `kind`, a column of small integers from 0, only fingerprints of one kind are
+    linked, and the links are (kind, fp, root); all kinds share one pass.
 
     Two blocks of bits must agree (see `_layouts`), so the fingerprints are dealt by
     layout and the leading block of it, and each task joins its share by a trie. A task
@@ -222,8 +242,9 @@ def near_links(distinct: DataFrame, radius: int, hot: int = 1 << 18, forest: boo
     over `hot` fingerprints is cut by hash, and every two of its parts meet in a task of
     their own, so that no task grows with the largest group.
     """
+    ends_of = ["fp", "root"] if kind is None else [kind, "fp", "root"]
     if radius == 0:
-        return distinct.select("fp", F.col("fp").alias("root")).limit(0)
+        return distinct.withColumn("root", F.col("fp")).select(*ends_of).limit(0)
     orders = _layouts(radius)
     edges = np.linspace(0, BITS, radius + 3).round().astype(int)
     leads = list(combinations(range(radius + 2), 2))
@@ -232,90 +253,89 @@ def near_links(distinct: DataFrame, radius: int, hot: int = 1 << 18, forest: boo
         width = int(edges[i + 1] - edges[i])
         return F.shiftrightunsigned("fp", int(edges[i])).bitwiseAND(F.lit((1 << width) - 1))
 
+    offset = F.lit(0) if kind is None else F.col(kind) * len(orders)
+    # One number names layout and lead: blocks have at most 22 bits. It sorts by its bits alone.
     shares = F.array(*[
-        F.struct(F.lit(k).alias("layout"), (block(i) * F.lit(1 << 32) + block(j)).alias("lead"))
+        (offset + k).cast("long") * F.lit(1 << 44) + block(i) * F.lit(1 << 22) + block(j)
         for k, (i, j) in enumerate(leads)
     ])
-    dealt = distinct.select("fp", F.explode(shares).alias("s")).select("fp", "s.layout", "s.lead")
-    # Leads can only be large in a large cell; in most tables there is none.
-    cell = (F.col("layout") * F.lit(1 << 32) + F.shiftright("lead", 32)).alias("cell")
-    cells = dealt.groupBy(cell).agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    dealt = distinct.select("fp", F.explode(shares).alias("share"))
+    # A lead can only be large if its first block is, of which there are fewer; mostly none is.
+    firsts = F.array(*[offset * F.lit(1 << 32) + F.lit(i << 22) + block(i) for i in range(radius + 1)])
+    cells = distinct.select(F.explode(firsts).alias("cell")).groupBy("cell").count().filter(F.col("count") > hot)
     if cells.isEmpty():
-        spread = dealt.select("fp", "layout", "lead", F.lit(0).alias("p"), F.lit(0).alias("q"))
+        spread = dealt.withColumn("parts", F.lit(0).cast("long"))
     else:
         large = stored(
-            dealt.groupBy("layout", "lead").agg(F.count("*").alias("n"))
-            .filter(F.col("n") > hot)
-            .select("layout", "lead", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+            dealt.groupBy("share").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+            .select("share", F.ceil(F.col("n") / hot).cast("int").alias("n"))
         )
-        parts = F.coalesce("parts", F.lit(1))
+        n = F.coalesce("n", F.lit(1))
         spread = (
-            dealt.join(large, ["layout", "lead"], "left")
-            .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            .select("fp", "layout", "lead", F.least("own", "other").alias("p"),
-                    F.greatest("own", "other").alias("q"))
+            dealt.join(large, "share", "left")
+            .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), n).cast("long"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+            .select("fp", "share", (F.least("own", "other") * F.lit(1 << 32) + F.greatest("own", "other")).alias("parts"))
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, layout in _shares(batches):
-            exact, order = orders[layout]
-            moved = _reorder(keys, order)
-            rank = np.argsort(moved)
+        for rows in _shares(batches):
+            keys, moved = rows[:, 0], np.empty(len(rows), np.uint64)
+            kinds, layouts = np.divmod(rows[:, 1] >> 44, len(orders))
+            for at in np.split(np.arange(len(rows)), _turns(layouts[:, None])):
+                moved[at] = _reorder(keys[at].view(np.uint64), orders[layouts[at[0]]][1])
+            share = np.zeros(len(rows), np.int64)
+            share[_turns(rows[:, 1:])] = 1
+            share = np.cumsum(share)
+            rank = np.lexsort([moved, share])
+            tries = np.append(0, _turns(share[:, None]))
+            depth = min(orders[k][0] for k in np.unique(layouts))
             if forest:
-                ends = trie_forest(moved[rank], exact, radius)
+                ends = _forest(moved[rank], tries, depth, radius)
             else:
-                root = trie_groups(moved[rank], exact, radius)
+                root = _grouped(moved[rank], tries, depth, radius)
                 mine = np.flatnonzero(root != np.arange(len(root)))
                 ends = np.stack([mine, root[mine]])
-            signed = keys[rank].view(np.int64)
+            signed, kinds = keys[rank], kinds[rank]
             for i in range(0, ends.shape[1], 1 << 16):
-                a, b = signed[ends[:, i:i + (1 << 16)]]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp", "root"])
+                left, right = ends[:, i:i + (1 << 16)]
+                made = [pa.array(x) for x in (kinds[left], signed[left], signed[right])]
+                yield pa.RecordBatch.from_arrays(made[-len(ends_of):], ends_of)
 
     return (
-        spread.repartition("layout", "lead", "p", "q")
-        .sortWithinPartitions("layout", "p", "q", "lead")
-        .mapInArrow(run, "fp long, root long").distinct()
+        spread.repartition("share", "parts").sortWithinPartitions("share", "parts")
+        .mapInArrow(run, ", ".join(f"`{name}` long" for name in ends_of)).distinct()
     )
 
 
-def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-    """Fingerprints that may meet, gathered from sorted batches: many small leads at once.
+def _turns(rows: np.ndarray) -> np.ndarray:
+    """Places of rows that are not the same as the row before."""
+    return np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1
 
-    Rows of one layout and part are handed on together as soon as there are enough; a
-    lead is never torn, since its rows are next to each other.
-    """
-    held: list[np.ndarray] = []
-    size = 0
 
-    def flush(upto: np.ndarray):
-        return np.unique(upto[:, 0].view(np.uint64)), int(upto[0, 1])
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (fp, share, parts) of whole shares, many small ones at once.
 
+    The rows are sorted, so those of a share, which agree in all but `fp`, are next to
+    each other and never torn.
+    """
+    held: list[np.ndarray] = []
+    size, enough = 0, 1 << 16
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1).astype(np.int64)
-        held.append(rows)
-        size += len(rows)
-        if size < 1 << 16:
+        held.append(np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1).astype(np.int64))
+        size += len(held[-1])
+        if size < enough:
             continue
         rows = np.concatenate(held)
-        turn = (rows[1:, 1:] != rows[:-1, 1:]).any(axis=1)
-        last = np.flatnonzero(turn)
-        if len(last):
-            cut = int(last[-1]) + 1
-            yield from _by_layout(rows[:cut], flush)
-            rows = rows[cut:]
+        turns = _turns(rows[:, 1:])
+        if len(turns):
+            yield rows[:turns[-1]]
+            rows = rows[turns[-1]:]
         held, size = [rows], len(rows)
-    if held and len(rows := np.concatenate(held)):
-        yield from _by_layout(rows, flush)
-
-
-def _by_layout(rows: np.ndarray, flush) -> Iterator[tuple[np.ndarray, int]]:
-    """Parts of the rows with one layout and one pair of hash parts."""
-    turn = np.flatnonzero((rows[1:, [1, 3, 4]] != rows[:-1, [1, 3, 4]]).any(axis=1)) + 1
-    for piece in np.split(rows, turn):
-        if len(piece) > 1:
-            yield flush(np.ascontiguousarray(piece))
+        # A share that goes on is looked at again when it has doubled.
+        enough = max(1 << 16, 2 * size)
+    if size:
+        yield np.concatenate(held)
 
 
 def simhash_components(
