@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,12 +21,8 @@ SIMILARITY = 0.8
 PRINT_WORDS = 2
 RADIUS = 8
 PRINTS = 3
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets of shingle hashes; two empty sets are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+# Pairs of one node that meet in a task before its others go to another.
+PART_PAIRS = 256
 
 
 def _remixed(hashes: np.ndarray) -> np.ndarray:
@@ -57,41 +51,55 @@ def _marks(docs: DataFrame, ids: list[str], text: str, shingle: int, words: int,
     return map_texts(docs, ids, text, "fps array<bigint>, node long, n long", work)
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have the similarity."""
+def _beside(pairs: DataFrame, end: str, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs with the set of the node at one end.
+
+    A node of many pairs, such as the middle of a group, has its pairs dealt over
+    several parts, each with a copy of its set, so that no task gets them all.
+    """
+    hot = (
+        pairs.groupBy(end).agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias("parts"))
+        .filter("parts > 1")
+    )
+    salted = pairs.join(hot, end, "left").withColumn(
+        "part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")
+    ).drop("parts")
+    copies = sets.toDF(end, name).join(hot, end, "left").select(
+        end, name, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    )
+    return salted.join(copies, [end, "part"]).drop("part")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            a, b, first, second = (c.to_pylist() for c in batch.columns)
-            good = []
-            for i in range(len(a)):
-                # The join hands on all pairs of one `b` together.
-                if b[i] != last:
-                    last, held = b[i], shingle_hashes(second[i], shingle, distinct=True)
-                good.append(jaccard(shingle_hashes(first[i], shingle, distinct=True), held) >= similarity)
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have the similarity.
 
-    return (
-        pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * similarity).select("a", "b")
-        .join(bodies.toDF("a", "first"), "a").join(bodies.toDF("b", "second"), "b")
-        .select("a", "b", "first", "second").mapInArrow(run, "a long, b long")
+    Only pairs whose sizes allow it are compared. Rows without words are one node, so
+    no set of a pair is empty on both sides.
+    """
+    fit = stored(
+        pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)).select("a", "b", "na", "nb")
     )
+    both = _beside(_beside(fit, "a", sets, "first"), "b", sets, "second")
+    shared = F.size(F.array_intersect("first", "second"))
+    return both.withColumn("shared", shared).filter(
+        F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= F.lit(similarity)
+    ).select("a", "b")
 
 
 def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b, bits) of nodes: a forest of the fingerprints, and all nodes of a fingerprint."""
-    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")))
-    near = near_links(heads.select("fp"), radius, forest=True)
+    """Pairs (a, b, bits) of nodes: a forest of each of their fingerprints, and all nodes of a fingerprint."""
+    prints = stored(nodes.select("node", F.posexplode("fps").alias("kind", "fp")).withColumn("kind", F.col("kind").cast("long")))
+    heads = stored(prints.groupBy("kind", "fp").agg(F.min("node").alias("head")))
+    near = near_links(heads.select("kind", "fp"), radius, forest=True, kind="kind")
     across = (
-        near.join(heads.toDF("fp", "a"), "fp").join(heads.toDF("root", "b"), "root")
+        near.join(heads.toDF("kind", "fp", "a"), ["kind", "fp"]).join(heads.toDF("kind", "root", "b"), ["kind", "root"])
         .select("a", "b", F.bit_count(F.col("fp").bitwiseXOR(F.col("root"))).alias("bits"))
     )
-    within = nodes.join(heads, "fp").filter("node <> head").select(
+    within = prints.join(heads, ["kind", "fp"]).filter("node <> head").select(
         F.col("node").alias("a"), F.col("head").alias("b"), F.lit(0).alias("bits")
     )
-    return across.union(within).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits"
+    return across.union(within).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.min("bits").alias("bits")
     )
 
 
@@ -121,10 +129,7 @@ def near_groups(
     nodes = stored(
         rows.groupBy("node", "fps", "n").agg(F.min_by(F.struct(key, "text_hash"), "text_hash").alias("o"))
     )
-    pairs = _candidates(nodes.select("node", F.col("fps")[0].alias("fp")), radius)
-    for i in range(1, prints):
-        pairs = pairs.union(_candidates(nodes.select("node", F.col("fps")[i].alias("fp")), radius))
-    pairs = pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    pairs = _candidates(nodes.select("node", "fps"), radius)
     size = nodes.select("node", "n")
     pairs = stored(
         pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
@@ -134,7 +139,10 @@ def near_groups(
         "node", F.col(f"o.{key}").alias("__k"), F.col("o.text_hash").alias("__h")
     )
     met = (named[key].eqNullSafe(chosen["__k"])) & (named["text_hash"] == chosen["__h"])
-    bodies = stored(named.join(chosen, met).select("node", "__body").dropDuplicates(["node"]))
+    bodies = named.join(chosen, met).select("node", "__body").dropDuplicates(["node"])
+    sets = stored(map_texts(bodies, ["node"], "__body", "items array<bigint>", lambda texts: [pa.array(
+        [shingle_hashes(t, shingle, distinct=True).view(np.int64) for t in texts], pa.list_(pa.int64())
+    )]))
 
     # 1. The nearest partner of each node, by bits and then by size.
     seen = pairs.select(F.col("a").alias("node"), F.struct("bits", F.abs(F.col("na") - F.col("nb")), "a", "b", "na", "nb").alias("p"))
@@ -142,7 +150,7 @@ def near_groups(
         pairs.select(F.col("b"), F.struct("bits", F.abs(F.col("na") - F.col("nb")), "a", "b", "na", "nb"))
     )
     nearest = stored(seen.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
-    links = stored(_verified(nearest, bodies, shingle, similarity))
+    links = stored(_verified(nearest, sets, similarity))
 
     # 2. What is left between different groups, there also between their most linked texts.
     roots = stored(components(links))
@@ -172,7 +180,7 @@ def near_groups(
         apart.select(F.explode(F.array(texts, hub)).alias("p")).select("p.*")
         .distinct().join(nearest, ["a", "b"], "left_anti")
     )
-    found = stored(components(links.union(_verified(rest, bodies, shingle, similarity))))
+    found = stored(components(links.union(_verified(rest, sets, similarity))))
     return (
         rows.join(found, "node", "left")
         .select(key, "text_hash", "node", F.coalesce("root", "node").alias("root"))
