@@ -1,7 +1,9 @@
-"""One document of each group of near copies: SimHash candidates, exact similarity decides."""
+"""One document of each group of near copies: SimHash finds most, a complete filter the rest."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,12 +17,18 @@ from postvet.session import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# Candidates: fingerprints of two-word shingles move less than five-word ones with each
-# edit. A pair of five-word similarity 0.8 is about 6 bits apart, give or take 2; that it
-# lies beyond the radius in all of several independent fingerprints is rare.
+# SimHash only gathers most copies early and cheaply. What it misses is found by the prefix
+# filter, so neither the radius nor the number of fingerprints decides what is linked.
 PRINT_WORDS = 2
-RADIUS = 8
-PRINTS = 3
+RADIUS = 6
+PRINTS = 1
+# Bits of the parity map of a set, which bounds how far two sets differ from below.
+MAP_BITS = 1024
+# Of the texts one in so many is looked at for common shingles; the most common ones are kept.
+SAMPLE = 16
+COMMON = 200_000
+# Rounds of one best partner for each group end when one confirms no more links than this.
+FEW_LINKS = 256
 # Pairs of one node that meet in a task before its others go to another.
 PART_PAIRS = 256
 
@@ -32,11 +40,55 @@ def _remixed(hashes: np.ndarray) -> np.ndarray:
         return hashes ^ (hashes >> np.uint64(33))
 
 
-def _marks(docs: DataFrame, ids: list[str], text: str, shingle: int, words: int, prints: int) -> DataFrame:
-    """(ids.., fps, node, n): fingerprints, hash of the set of shingles, and its size."""
+def _common(named: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts of a sample hold, and in how many.
+
+    They only order shingles, rare ones first; any order gives the same links.
+    """
+    some = named.filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).dropDuplicates(["text_hash"])
+    sets = map_texts(some, [], text, "items array<bigint>", lambda texts: [pa.array(
+        [shingle_hashes(t, shingle, distinct=True).view(np.int64) for t in texts], pa.list_(pa.int64())
+    )])
+    top = sets.select(F.explode("items").alias("item")).groupBy("item").count().filter("count > 2")
+    rows = top.orderBy(F.desc("count"), "item").limit(COMMON).toPandas()
+    items = rows["item"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(items)
+    return items[order], rows["count"].to_numpy(np.int64)[order]
+
+
+def prefix(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of the n shingles, rare ones first.
+
+    Two sets of the similarity share at least ceil(similarity n) shingles of either one.
+    So in any order that all sets follow, their prefixes have a shingle in common.
+    """
+    if not len(found):
+        return found
+    level = np.zeros(len(found), np.int64)
+    items, counts = common
+    if len(items):
+        where = np.minimum(np.searchsorted(items, found), len(items) - 1)
+        level = np.where(items[where] == found, counts[where], 0)
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    return found[np.lexsort([found, level])[:size]]
+
+
+def parity_map(found: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits, each turned over by the shingles that fall on it.
+
+    Bits in which two maps differ are at most the shingles that only one set holds.
+    """
+    cells = np.bincount((found >> np.uint64(20) & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS)
+    return np.packbits(cells & 1, bitorder="little").view(np.int64)
+
+
+def _marks(
+    docs: DataFrame, ids: list[str], text: str, shingle: int, words: int, prints: int, similarity: float, common,
+) -> DataFrame:
+    """(ids.., fps, node, n, prefix, map): fingerprints, hash of the set of shingles, its size and what finds it."""
 
     def work(texts):
-        fps, nodes, sizes = [], [], []
+        fps, nodes, sizes, firsts, maps = [], [], [], [], []
         for t in texts:
             found = shingle_hashes(t, shingle, distinct=True)
             short = shingle_hashes(t, words, distinct=True)
@@ -46,9 +98,15 @@ def _marks(docs: DataFrame, ids: list[str], text: str, shingle: int, words: int,
                 fps[-1].append(fingerprint(short))
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
             sizes.append(len(found))
-        return [pa.array(fps, pa.list_(pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
+            firsts.append(prefix(found, similarity, common.value).view(np.int64))
+            maps.append(parity_map(found))
+        longs = pa.list_(pa.int64())
+        return [pa.array(fps, longs), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array(firsts, longs), pa.array(maps, longs)]
 
-    return map_texts(docs, ids, text, "fps array<bigint>, node long, n long", work)
+    return map_texts(
+        docs, ids, text, "fps array<bigint>, node long, n long, prefix array<bigint>, map array<bigint>", work
+    )
 
 
 def _beside(pairs: DataFrame, end: str, sets: DataFrame, name: str) -> DataFrame:
@@ -103,6 +161,50 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     )
 
 
+def _tokens(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shingle, node) of the prefixes, but for shingles that nodes of one group alone hold."""
+    every = (
+        nodes.select("node", "prefix").join(roots, "node", "left")
+        .select("node", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("shingle"))
+    )
+    live = every.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return every.join(live.select("shingle"), "shingle", "left_semi").select("shingle", "node")
+
+
+def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, ra, rb, na, nb, bits) of nodes in different groups that share a prefix shingle.
+
+    Left out are pairs that sizes or parity maps prove to be less similar, no others. A
+    pair comes once for each shingle. A shingle of many nodes is dealt over parts.
+    """
+    at = (
+        tokens.join(about, "node").join(roots, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
+    )
+    live = (
+        at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"))
+        .filter("low <> high").select("shingle", F.ceil(F.col("c") / PART_PAIRS).cast("int").alias("parts"))
+    )
+    at = stored(at.join(live, "shingle"))
+    left = at.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(
+        "shingle", "part", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("map").alias("ma")
+    )
+    right = at.select(
+        "shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("map").alias("mb"),
+    )
+    bits = sum(
+        (F.bit_count(F.get("ma", F.lit(i)).bitwiseXOR(F.get("mb", F.lit(i)))) for i in range(MAP_BITS // 64)), F.lit(0)
+    )
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + F.lit(1e-6)
+    fits = (
+        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+        & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)) & (bits <= most)
+    )
+    met = left.join(right, (left["shingle"] == right["shingle"]) & (left["part"] == right["part"]) & fits)
+    return met.select("a", "b", "ra", "rb", "na", "nb", bits.alias("bits"))
+
+
 def near_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
     similarity: float = SIMILARITY, words: int = PRINT_WORDS, radius: int = RADIUS, prints: int = PRINTS,
@@ -111,12 +213,14 @@ def near_groups(
 
     Two texts are linked if their sets of `shingle`-word shingles (A-Z lowered; fewer
     words: all of them) have a Jaccard similarity of `similarity` or more; `root` names
-    the linked group. Candidates come from a trie join of each of `prints` SimHash
-    fingerprints, as a forest and never as all pairs of a group:
+    the linked group, the same as if all pairs were compared:
 
-    1. each text is compared with the one nearest to it in bits, which settles most;
-    2. pairs between the groups found so far are compared, and so are the texts of these
-       groups that have most links, since copies of one text are most alike to it.
+    1. A trie join of `prints` SimHash fingerprints gives a forest of near pairs; each text
+       is compared with the one nearest to it in bits, which gathers most copies.
+    2. Between the groups so found, pairs come from a complete filter: sets that similar
+       share a shingle of their prefixes (see `prefix`). First one partner of each group
+       is compared, over and over while that gathers many; then every pair that is left
+       between different groups. Pairs in one confirmed group can add nothing.
 
     Every link is confirmed on whole texts, so chance neighbours among many fingerprints
     join nothing. Rows with equal sets of shingles are one node, named by a 64-bit hash,
@@ -125,62 +229,53 @@ def near_groups(
     """
     ready(docs.sparkSession)
     named = docs.select(F.col(key), F.col(text).alias("__body"), text_hash(text).alias("text_hash"))
-    rows = stored(_marks(named, [key, "text_hash"], "__body", shingle, words, prints))
+    common = docs.sparkSession.sparkContext.broadcast(_common(named, "__body", shingle))
+    rows = stored(_marks(named, [key, "text_hash"], "__body", shingle, words, prints, similarity, common))
     nodes = stored(
-        rows.groupBy("node", "fps", "n").agg(F.min_by(F.struct(key, "text_hash"), "text_hash").alias("o"))
+        rows.groupBy("node").agg(F.min_by(
+            F.struct("fps", "n", "prefix", "map", F.struct(key, "text_hash").alias("o")), "text_hash"
+        ).alias("m")).select("node", "m.*")
     )
-    pairs = _candidates(nodes.select("node", "fps"), radius)
     size = nodes.select("node", "n")
-    pairs = stored(
-        pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    )
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    chosen = nodes.join(ends, "node", "left_semi").select(
-        "node", F.col(f"o.{key}").alias("__k"), F.col("o.text_hash").alias("__h")
-    )
-    met = (named[key].eqNullSafe(chosen["__k"])) & (named["text_hash"] == chosen["__h"])
-    bodies = named.join(chosen, met).select("node", "__body").dropDuplicates(["node"])
-    sets = stored(map_texts(bodies, ["node"], "__body", "items array<bigint>", lambda texts: [pa.array(
-        [shingle_hashes(t, shingle, distinct=True).view(np.int64) for t in texts], pa.list_(pa.int64())
-    )]))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+        chosen = nodes.join(ends, "node", "left_semi").select(
+            "node", F.col(f"o.{key}").alias("__k"), F.col("o.text_hash").alias("__h")
+        )
+        met = (named[key].eqNullSafe(chosen["__k"])) & (named["text_hash"] == chosen["__h"])
+        bodies = named.join(chosen, met).select("node", "__body").dropDuplicates(["node"])
+        return stored(map_texts(bodies, ["node"], "__body", "items array<bigint>", lambda texts: [pa.array(
+            [shingle_hashes(t, shingle, distinct=True).view(np.int64) for t in texts], pa.list_(pa.int64())
+        )]))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stored(_verified(pairs, sets_of(pairs), similarity))
 
     # 1. The nearest partner of each node, by bits and then by size.
-    seen = pairs.select(F.col("a").alias("node"), F.struct("bits", F.abs(F.col("na") - F.col("nb")), "a", "b", "na", "nb").alias("p"))
-    seen = seen.union(
-        pairs.select(F.col("b"), F.struct("bits", F.abs(F.col("na") - F.col("nb")), "a", "b", "na", "nb"))
-    )
+    pairs = _candidates(nodes.select("node", "fps"), radius)
+    pairs = stored(pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b"))
+    p = F.struct("bits", F.abs(F.col("na") - F.col("nb")), "a", "b", "na", "nb").alias("p")
+    seen = pairs.select(F.col("a").alias("node"), p).union(pairs.select("b", p))
     nearest = stored(seen.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
-    links = stored(_verified(nearest, sets, similarity))
-
-    # 2. What is left between different groups, there also between their most linked texts.
+    links = confirmed(nearest)
     roots = stored(components(links))
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(
-        F.count("*").alias("links")
-    )
-    hubs = roots.join(degree, "node").groupBy("root").agg(
-        F.max_by("node", F.struct("links", "node")).alias("hub")
-    )
-    placed = roots.join(hubs, "root")
-    placed = stored(placed.join(size, placed["hub"] == size["node"]).select(
-        placed["node"], "root", "hub", F.col("n").alias("hub_n")
-    ))
-    left, right = (
-        placed.toDF(*[f"{c}_{end}" for c in placed.columns]).withColumnRenamed(f"node_{end}", end)
-        for end in ("a", "b")
-    )
-    apart = pairs.join(left, "a", "left").join(right, "b", "left").filter(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    )
-    texts = F.struct("a", "b", "na", "nb")
-    hub = F.struct(
-        F.coalesce("hub_a", "a").alias("a"), F.coalesce("hub_b", "b").alias("b"),
-        F.coalesce("hub_n_a", "na").alias("na"), F.coalesce("hub_n_b", "nb").alias("nb"),
-    )
-    rest = (
-        apart.select(F.explode(F.array(texts, hub)).alias("p")).select("p.*")
-        .distinct().join(nearest, ["a", "b"], "left_anti")
-    )
-    found = stored(components(links.union(_verified(rest, sets, similarity))))
+
+    # 2. What is left between different groups.
+    tokens = stored(_tokens(nodes, roots))
+    about = stored(nodes.select("node", "n", "map").join(tokens.select("node").distinct(), "node", "left_semi"))
+    while True:
+        met = _apart(tokens, about, roots, similarity)
+        p = F.struct((F.col("bits") / (F.col("na") + F.col("nb"))).alias("far"), "a", "b", "na", "nb").alias("p")
+        ends = met.select(p, F.explode(F.array("ra", "rb")).alias("root"))
+        best = stored(ends.groupBy("root").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
+        more = confirmed(best)
+        links = stored(links.union(more))
+        roots = stored(components(links))
+        if more.count() <= FEW_LINKS:
+            break
+    rest = stored(_apart(tokens, about, roots, similarity).select("a", "b", "na", "nb").distinct())
+    found = stored(components(links.union(confirmed(rest))))
     return (
         rows.join(found, "node", "left")
         .select(key, "text_hash", "node", F.coalesce("root", "node").alias("root"))

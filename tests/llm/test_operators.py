@@ -405,6 +405,36 @@ def test_near_dedup(spark, docs):
     )
 
 
+def brute_groups(texts):
+    """Smallest position of each text's group, from all pairs."""
+    sets = [five_word_set(t) for t in texts]
+    root = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root.tolist()
+
+
+def kept_of(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in near_dedup.near_dedup(table).collect())
+
+
+@pytest.mark.parametrize("few", [near_dedup.FEW_LINKS, 0])
+def test_near_dedup_of_a_family_without_its_original(spark, few, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FEW_LINKS", few)
+    draw = np.random.default_rng(3)
+    base = [f"w{x}" for x in draw.integers(0, 5_000, 200)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for place in draw.choice(200, 3, replace=False):
+            words[place] = f"x{draw.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    assert kept_of(spark, texts) == sorted(set(brute_groups(texts)))
+
+
 # --- all of them
 
 def test_empty_tables(spark, tmp_path):
