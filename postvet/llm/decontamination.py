@@ -19,7 +19,7 @@ from postvet.llm.common import map_texts, ready
 
 SHINGLE = 5          # words of a shingle
 SIMILARITY = 0.8     # weighted-shingle similarity of a leak
-RADIUS = 12          # differing bits of a candidate
+RADIUS = 12          # differing bits of a SimHash candidate; shared shingles find the others
 BLOCKS = 7           # parts of a fingerprint; one of them differs in RADIUS // BLOCKS bits at most
 PASS_BYTES = 32 << 20
 MEMO_WORDS = 1 << 18
@@ -104,6 +104,7 @@ class Index:
     coarse: np.ndarray      # low 20 bits of these keys
     edges: list[int]
     tables: dict[int, list[tuple[np.ndarray, np.ndarray]]]
+    holders: dict[int, tuple[np.ndarray, np.ndarray]]   # by size: sorted shingle keys and their items
     bags: list[Counter]
 
     @classmethod
@@ -126,8 +127,16 @@ class Index:
                 value, item = np.array(sorted(listed), np.int64).T
                 starts = np.searchsorted(value, np.arange((1 << bits) + 1)).astype(np.int32)
                 tables[width].append((starts, item.astype(np.int32)))
+        holders = {}
+        for width, members in by_width.items():
+            distinct = [np.unique(keys[m]) for m in members]
+            held = np.concatenate(distinct)
+            order = np.argsort(held, kind="stable")
+            holders[width] = held[order], np.repeat(members, [len(d) for d in distinct])[order]
         bags = [_shingles(w) for _, w in items]
-        return cls([i for i, _ in items], [w for _, w in items], prints, by_width, known, coarse, edges, tables, bags)
+        return cls(
+            [i for i, _ in items], [w for _, w in items], prints, by_width, known, coarse, edges, tables, holders, bags
+        )
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
         """Places of shingles that some item holds."""
@@ -140,8 +149,9 @@ class Index:
     def leaks(self, text: str | None) -> list[tuple]:
         """(item, start, similarity) of the best window of each leaked item.
 
-        A window that shares no shingle with any item has similarity 0 with all, so
-        windows are made around shared shingles only; this leaves out no leak.
+        Sets of m and n shingles that reach the similarity s have at least
+        (m + n) s / (1 + s) in common, so only windows with so many item shingles are
+        looked at; this leaves out no leak.
         """
         words = words_of(text)
         keys = shingle_keys(words)
@@ -151,27 +161,44 @@ class Index:
             return []
         best: dict[int, tuple[float, int]] = {}
         for width in self.by_width:
-            if width > len(words):
+            size = width
+            if size > len(words):
                 continue
-            n = max(1, width - SHINGLE + 1)
-            own = keys if width >= SHINGLE and len(words) >= SHINGLE else _short_keys(words, width)
+            n = max(1, size - SHINGLE + 1)
+            own = keys if width >= SHINGLE else _short_keys(words, width)
             near = hits if own is keys else np.flatnonzero(np.isin(own, self.known))
-            if not len(near):
+            need = _needed(n, max(1, width - SHINGLE + 1))
+            if len(near) < need:
+                continue
+            held = np.zeros(len(own) + 1, np.int64)
+            held[near + 1] = 1
+            held = np.cumsum(held)
+            starts = np.flatnonzero(held[n:] - held[:-n] >= need)
+            if not len(starts):
                 continue
-            last = len(own) - n
-            reach = (near[:, None] - np.arange(n)[None, :]).ravel()
-            starts = np.unique(reach[(reach >= 0) & (reach <= last)])
-            prints = window_prints(own, starts, n)
+            pairs = {*zip(*self.candidates(width, window_prints(own, starts, n)))}
+            pairs.update(self.sharing(width, own, starts, n, need))
             windows: dict[int, Counter] = {}
-            for at, m in zip(*self.candidates(width, prints)):
+            for at, m in sorted(pairs):
                 start = int(starts[at])
                 if start not in windows:
-                    windows[start] = _shingles(words[start:start + width])
+                    windows[start] = _shingles(words[start:start + size])
                 found = similarity(windows[start], self.bags[m])
                 if found >= SIMILARITY and (m not in best or found > best[m][0]):
                     best[m] = (found, start)
         return [(self.ids[m], s, f) for m, (f, s) in sorted(best.items())]
 
+    def sharing(self, width: int, own: np.ndarray, starts: np.ndarray, n: int, need: int) -> Iterator[tuple[int, int]]:
+        """All (window, item) of the size that have `need` shingles in common, whatever their fingerprints."""
+        held, items = self.holders[width]
+        for at, start in enumerate(starts.tolist()):
+            part = own[start:start + n]
+            low, high = np.searchsorted(held, part), np.searchsorted(held, part, "right")
+            ends = np.cumsum(high - low)
+            met = items[np.arange(ends[-1]) - np.repeat(ends - high, high - low)]
+            found, counts = np.unique(met, return_counts=True)
+            yield from ((at, m) for m in found[counts >= need].tolist())
+
     def candidates(self, width: int, prints: np.ndarray) -> tuple[list[int], list[int]]:
         """All (window, item) of the size whose fingerprints are within RADIUS bits.
 
@@ -194,6 +221,11 @@ class Index:
         return window[near].tolist(), item[near].tolist()
 
 
+def _needed(m: int, n: int) -> int:
+    """Shingles that sets of m and n have in common at least if they are a leak."""
+    return max(1, math.ceil((m + n) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+
+
 def _short_keys(words: list[str], width: int) -> np.ndarray:
     """Keys of runs of `width` words, for items of less than a shingle."""
     if width >= SHINGLE:
@@ -236,9 +268,11 @@ def find_leaks(
     """(key, item, start, similarity): for each row and leaked item the best window.
 
     `start` is the word at which it starts. A window is as long as the item and slides
-    word by word over the whole text. Its SimHash (five-word shingles, repeats counted)
-    finds all items of its size within 12 bits through a multi-index; the similarity of
-    the shingle multisets, at least 0.8, decides. Only rows with a leak are returned.
+    word by word over the whole text. Its SimHash (five-word
+    shingles, repeats counted) finds items of its size within 12 bits through a
+    multi-index, and their shared shingles find those beyond, so that no item is missed;
+    the similarity of the shingle multisets, at least 0.8, decides. Only rows with a leak
+    are returned.
 
     Items are broadcast in parts of at most PASS_BYTES of text, one pass over the
     documents each. Items of fewer than five words are one shingle. Null texts and texts

@@ -194,6 +194,41 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()) == [10, 11, 12, 15]
 
 
+def brute_leaks(rows, items):
+    """(document, item) pairs by comparing every window; a document shorter than the item is one."""
+    found = []
+    for d, text in rows:
+        a = text.split()
+        for i, item in enumerate(items):
+            b = decontamination._shingles(item.split())
+            size = len(item.split())
+            bags = [decontamination._shingles(a[k:k + size]) for k in range(max(1, len(a) - size + 1))]
+            if max(decontamination.similarity(x, b) for x in bags) >= 0.8:
+                found.append((d, i))
+    return sorted(found)
+
+
+def test_leaks_close_to_the_limit(spark):
+    draw = np.random.default_rng(8)
+    fresh = lambda n: [f"w{x}" for x in draw.integers(0, 10**6, n)]
+    items, rows = [], []
+    for i in range(320):
+        # 0.80 to 0.85: the window lacks a ninth to a twelfth of the shingles at one end.
+        shingles = int(draw.choice([9, 18, 36, 90]))
+        item = fresh(shingles + 4)
+        lost = shingles // 9
+        changed = item[:-lost] + fresh(lost) if i % 2 else fresh(lost) + item[lost:]
+        items.append(" ".join(item))
+        rows.append((i, " ".join(fresh(15) + changed + fresh(15))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = [(i, i) for i in range(320)]
+    near = [(d, t) for d, t in rows if d < 20]
+    assert brute_leaks(near, items[:20]) == want[:20]
+    assert sorted(collected(decontamination.find_leaks(docs, bench), "doc_id", "item_id")) == want
+    assert decontamination.drop_leaks(docs, bench).count() == 0
+
+
 def test_window_prints_match_whole_fingerprints():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
     starts = np.array([0, 5, 6, 250])
