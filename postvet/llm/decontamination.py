@@ -151,7 +151,7 @@ class Index:
 
         Sets of m and n shingles that reach the similarity s have at least
         (m + n) s / (1 + s) in common, so only windows with so many item shingles are
-        looked at; this leaves out no leak.
+        looked at; this leaves out no leak. A document shorter than the item is one window.
         """
         words = words_of(text)
         keys = shingle_keys(words)
@@ -161,8 +161,8 @@ class Index:
             return []
         best: dict[int, tuple[float, int]] = {}
         for width in self.by_width:
-            size = width
-            if size > len(words):
+            size = min(width, len(words))
+            if size < min(width, SHINGLE):
                 continue
             n = max(1, size - SHINGLE + 1)
             own = keys if width >= SHINGLE else _short_keys(words, width)
@@ -268,7 +268,7 @@ def find_leaks(
     """(key, item, start, similarity): for each row and leaked item the best window.
 
     `start` is the word at which it starts. A window is as long as the item and slides
-    word by word over the whole text. Its SimHash (five-word
+    word by word over the whole text; a shorter text is one window. Its SimHash (five-word
     shingles, repeats counted) finds items of its size within 12 bits through a
     multi-index, and their shared shingles find those beyond, so that no item is missed;
     the similarity of the shingle multisets, at least 0.8, decides. Only rows with a leak

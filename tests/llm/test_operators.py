@@ -229,6 +229,19 @@ def test_leaks_close_to_the_limit(spark):
     assert decontamination.drop_leaks(docs, bench).count() == 0
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(37)]
+    cut = [words[:-1], words[1:], words[:35] + words[36:], words[:34], words[:20], words[:3], words[:18] + words[19:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(cut)]
+    items = [" ".join(words), " ".join(words[:4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute_leaks(rows, items)
+    assert [d for d, i in want if i == 0] == [0, 1, 2, 3]
+    assert sorted(collected(decontamination.find_leaks(docs, bench), "doc_id", "item_id")) == want
+    assert [r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()] == [5]
+
+
 def test_window_prints_match_whole_fingerprints():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
     starts = np.array([0, 5, 6, 250])
