@@ -483,6 +483,21 @@ def test_near_dedup_of_a_family_without_its_original(spark, few, monkeypatch):
     assert kept_of(spark, texts) == sorted(set(brute_groups(texts)))
 
 
+def test_near_dedup_of_blocks(spark):
+    draw = np.random.default_rng(4)
+    fresh = lambda n: [f"w{x}" for x in draw.integers(0, 10**6, n)]
+    texts = []
+    for size in (60, 200, 600):
+        for i in range(120):
+            base, add = fresh(size), int(size * draw.uniform(0.17, 0.26))
+            at = int(draw.integers(1, size))
+            other = [base + fresh(add), fresh(add) + base, base[:at] + fresh(add) + base[at:], base[:size - add * 4 // 5]][i % 4]
+            texts += [" ".join(base), " ".join(other)]
+    want = sorted(set(brute_groups(texts)))
+    assert 360 < len(want) < 720 - 90
+    assert kept_of(spark, texts) == want
+
+
 # --- all of them
 
 def test_empty_tables(spark, tmp_path):
