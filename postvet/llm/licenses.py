@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import cache
@@ -48,7 +49,7 @@ TEMPLATES = {
     "cc-by-nd-4.0-notice": "Licensed under CC BY-ND 4.0.",
     "cc0-1.0-notice": "Released under CC0 1.0.",
 }
-# A template is looked for where its rarest word stands.
+# A template is looked for where one of its anchors stands, these words first (see `_anchors`).
 ANCHORS = ("license", "licensed", "released", "permission", "redistribution", "redistribute")
 MAX_DIFFERENCE = 0.1   # share of the template's words that may differ
 MIN_GAIN = 0.3         # share of the compressed size that the template must save
@@ -74,47 +75,70 @@ def _plain(word: str) -> str:
     return found.group() if found else ""
 
 
+def _anchors(words: list[str]) -> list[str]:
+    """The word at whose places blocks are cut."""
+    known = [a for a in ANCHORS if a in words]
+    others = sorted(set(words) - set(known), key=lambda w: (-len(w), w))
+    return (known + others)[:1]
+
+
 class Scanner:
     """Templates with their dictionaries; built once in each worker."""
 
     def __init__(self, templates: dict[str, str], level: int = 3):
         self.templates = {}
         for name, text in sorted(templates.items()):
-            words = [_plain(w) for w in WORDS.findall(text)]
-            anchor = next((a for a in ANCHORS if a in words), words[0])
+            words = [w for w in map(_plain, WORDS.findall(text)) if w]
             raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             packer = zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False)
-            self.templates.setdefault(anchor, []).append((name, words, words.index(anchor), packer))
+            for anchor in _anchors(words):
+                for offset in (i for i, w in enumerate(words) if w == anchor):
+                    self.templates.setdefault(anchor, []).append((name, words, offset, packer))
         self.alone = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.find = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(self.templates)) + r")(?![\p{L}\p{N}])", regex.I)
+        self.find = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(regex.escape, sorted(self.templates))) + r")(?![\p{L}\p{N}])", regex.I)
 
     def scan(self, text: str | None) -> list[Match]:
         """Confirmed notices of a whole text in order; overlapping ones: the longest, best explained one."""
         if not text or not self.find.search(text):
             return []
-        words = [_plain(w) for w in WORDS.findall(text)]
+        # Comment signs and other words without a letter or digit don't count, but in `start`.
+        places, words = [], []
+        for place, word in enumerate(WORDS.findall(text)):
+            if plain := _plain(word):
+                places.append(place)
+                words.append(plain)
         found: list[tuple] = []
+        tried: set[tuple[str, int]] = set()
         for at, word in enumerate(words):
             for name, wanted, offset, packer in self.templates.get(word, ()):
-                start = at - offset
-                if start < 0:
-                    continue
-                block = words[start:start + len(wanted)]
-                body = " ".join(block).encode()
-                plain = len(self.alone.compress(body))
-                gain = (plain - len(packer.compress(body))) / plain
-                if gain >= MIN_GAIN:
-                    found.append((gain, len(wanted), name, start, wanted))
+                size = len(wanted)
+                may = int(MAX_DIFFERENCE * size)
+                for start in {max(0, at - offset + move) for move in (0,)}:
+                    if (name, start) in tried:
+                        continue
+                    tried.add((name, start))
+                    near = words[start:start + size + max(SLACK, may)]
+                    if sum((Counter(wanted) & Counter(near)).values()) < size - may:
+                        continue
+                    missing, extra = min(
+                        (differences(wanted, near[:size + slack]) for slack in (SLACK, max(SLACK, may))),
+                        key=lambda d: len(d[0]) + len(d[1]),
+                    )
+                    if len(missing) + len(extra) > MAX_DIFFERENCE * size or _versions(missing) or _versions(extra):
+                        continue
+                    body = " ".join(near[:size]).encode()
+                    plain = len(self.alone.compress(body))
+                    gain = (plain - len(packer.compress(body))) / plain
+                    if gain >= MIN_GAIN:
+                        found.append((size, len(missing) + len(extra), gain, name, start, missing, extra))
         kept: list[Match] = []
         taken: set[int] = set()
-        for gain, size, name, start, wanted in sorted(found, key=lambda f: (-f[1] * (f[0] > 0), -f[0], f[2], f[3])):
-            if taken & set(range(start, start + size)):
-                continue
-            missing, extra = differences(wanted, words[start:start + size + SLACK])
-            if len(missing) + len(extra) > MAX_DIFFERENCE * size or _versions(missing) or _versions(extra):
+        for size, _, gain, name, start, missing, extra in sorted(found, key=lambda f: (-f[0], f[1], -f[2], f[3], f[4])):
+            block = set(range(start, start + size))
+            if taken & block:
                 continue
-            taken |= set(range(start, start + size))
-            kept.append(Match(name, start, gain, missing, extra))
+            taken |= block
+            kept.append(Match(name, places[start], gain, missing, extra))
         return sorted(kept, key=lambda m: m.start)
 
 
@@ -149,11 +173,13 @@ def scan_licenses(
 ) -> DataFrame:
     """(key, license, start, gain, missing, extra): the confirmed license notices of every row.
 
-    A block of a template's size is cut around each place where its anchor word stands,
-    compressed alone and with the template as raw dictionary. Blocks that get smaller by
-    30 % are ranked by template length and gain; a block is confirmed if at most a tenth
-    of the words differ, none of which holds a digit or names a license. `start` is the
-    word it begins at, `missing` and `extra` are the differing words.
+    Blocks of a template's size are cut around each place where one of its anchor words
+    stands. Words without a letter
+    or digit, such as comment signs, are left out first. A block is confirmed if at most a
+    tenth of the words differ, none of which holds a digit or names a license, and if it
+    gets smaller by 30 % with the template as raw dictionary. Of overlapping blocks the
+    longest template stays, then the fewest differences, then the gain. `start` is the
+    word it begins at, all words counted; `missing` and `extra` are the differing words.
 
     Anchors are looked for in the whole text; texts without one are left out by a byte
     search before Python. Null and empty texts have no notice. Repeated rows are

@@ -1,5 +1,6 @@
 """The training-data operators on small inputs, against brute force."""
 
+import textwrap
 import zlib
 from collections import Counter
 
@@ -82,6 +83,17 @@ def test_licenses(spark):
     assert (four.missing, four.extra) == (["free", "of"], ["without"])
 
 
+@pytest.mark.parametrize("sign", ["#", " *", "//", ";", "--", "%"])
+def test_licenses_behind_comment_signs(sign):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        for width in (40, 76):
+            lines = textwrap.wrap(template, width, break_long_words=False, break_on_hyphens=False)
+            text = f"{sign} Some file\n{sign}\n" + "".join(f"{sign} {line}\n" for line in lines) + "int main() {}"
+            got = scanner.scan(text)
+            assert [(m.license, m.start, m.missing, m.extra) for m in got] == [(name, 5, [], [])], name
+
+
 # --- 3
 
 def brute_targets(sizes, weights, share, epochs):
