@@ -76,10 +76,17 @@ def _plain(word: str) -> str:
 
 
 def _anchors(words: list[str]) -> list[str]:
-    """The word at whose places blocks are cut."""
+    """Words of which any block within MAX_DIFFERENCE holds one unchanged.
+
+    A word that may not differ is enough. Otherwise one word more than may differ.
+    """
+    may = int(MAX_DIFFERENCE * len(words))
     known = [a for a in ANCHORS if a in words]
+    fixed = [w for w in words if _versions([w])]
+    if may and fixed:
+        return [max(fixed, key=len)]
     others = sorted(set(words) - set(known), key=lambda w: (-len(w), w))
-    return (known + others)[:1]
+    return (known + others)[:may + 1]
 
 
 class Scanner:
@@ -113,7 +120,8 @@ class Scanner:
             for name, wanted, offset, packer in self.templates.get(word, ()):
                 size = len(wanted)
                 may = int(MAX_DIFFERENCE * size)
-                for start in {max(0, at - offset + move) for move in (0,)}:
+                # Words missing or added before the anchor move the start.
+                for start in {max(0, at - offset + move) for move in range(-may, may + 1)}:
                     if (name, start) in tried:
                         continue
                     tried.add((name, start))
@@ -174,7 +182,7 @@ def scan_licenses(
     """(key, license, start, gain, missing, extra): the confirmed license notices of every row.
 
     Blocks of a template's size are cut around each place where one of its anchor words
-    stands. Words without a letter
+    stands, at every start that a tenth of differing words allows. Words without a letter
     or digit, such as comment signs, are left out first. A block is confirmed if at most a
     tenth of the words differ, none of which holds a digit or names a license, and if it
     gets smaller by 30 % with the template as raw dictionary. Of overlapping blocks the

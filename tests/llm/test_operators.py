@@ -94,6 +94,21 @@ def test_licenses_behind_comment_signs(sign):
             assert [(m.license, m.start, m.missing, m.extra) for m in got] == [(name, 5, [], [])], name
 
 
+def test_licenses_with_any_one_word_edited():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("mit-text", "apache-2.0-header", "gpl-3.0-header", "bsd-text"):
+        words = licenses.TEMPLATES[name].split()
+        for at, word in enumerate(words):
+            if licenses._versions([licenses._plain(word)]):
+                continue
+            for edit in (["other"], [], [word, "other"]):
+                for before in ("", "some text before it "):
+                    text = before + " ".join(words[:at] + edit + words[at + 1:]) + " and what follows"
+                    assert [m.license for m in scanner.scan(text)] == [name], (name, at, edit, before)
+    several = licenses.TEMPLATES["mit-text"].replace("Permission is hereby", "Permissions are hereby")
+    assert [m.license for m in scanner.scan(several)] == ["mit-text"]
+
+
 # --- 3
 
 def brute_targets(sizes, weights, share, epochs):
