@@ -168,7 +168,12 @@ class Index:
             own = keys if width >= SHINGLE else _short_keys(words, width)
             near = hits if own is keys else np.flatnonzero(np.isin(own, self.known))
             need = _needed(n, max(1, width - SHINGLE + 1))
-            if len(near) < need:
+            if not len(near):
+                continue
+            listed = self.holders[width][0]
+            near = near[listed[np.minimum(np.searchsorted(listed, own[near]), len(listed) - 1)] == own[near]]
+            # Somewhere `need` shingles of items of this size must lie within a window.
+            if len(near) < need or (near[need - 1:] - near[:len(near) - need + 1]).min() >= n:
                 continue
             held = np.zeros(len(own) + 1, np.int64)
             held[near + 1] = 1
