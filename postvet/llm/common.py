@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postvet.session import configure
+from postvet.session import configure, new_shared_path
 
 # White space of the word rule `[^\x20\x09-\x0D]+`, which all operators here use.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,44 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class Scratch:
+    """Tables that one operator writes to the shared folder, deleted when its result is written.
+
+    A dropped or left table must not be read any more. `keep` writes the one table that
+    the operator's result still reads. After a failure nothing is left either.
+    """
+
+    # Wide dictionaries and zstd: ids repeat, and what is written here is read soon.
+    LAYOUT = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for name in list(self.paths):
+            self.drop(name)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.options(**self.LAYOUT).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        if name in self.paths:
+            raise ValueError(f"{name} is stored already")
+        self.paths[name] = new_shared_path(self.spark, name)
+        return self._written(df, self.paths[name])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self._written(df, new_shared_path(self.spark, "kept"))
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postvet.llm import (
-    decontamination, language, licenses, mixing, sharding, simhash, token_counts, token_files, topk, toxicity,
+    class_lm, decontamination, language, licenses, mixing, phrases, sharding, simhash, token_counts, token_files,
+    topk, toxicity, whitening,
 )
 from postvet.llm.common import table
 from postvet.session import new_shared_path
@@ -18,6 +19,8 @@ TOKEN_LIMIT = 1024
 QUERY_EVERY = 50
 TOP = 5
 END_ID = 1
+COMPONENTS = 8
+PHRASES = 2000
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,10 +90,24 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), COMPONENTS).withColumn(
+        "deviation", F.expr("try_cast(deviation AS bigint)")
+    )
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, folder, "documents"), PHRASES)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_sharding, op2_licenses, op3_mixing, op4_token_counts, op5_decontamination, op6_token_files,
-        op7_topk, op8_toxicity, op9_language, op10_simhash,
+        op7_topk, op8_toxicity, op9_language, op10_simhash, op11_class_lm, op12_whitening, op13_phrases,
     )
 }
 
@@ -111,4 +128,45 @@ ORACLES = {
         FROM scored
         QUALIFY rank <= {TOP}
     """,
+    "op13_phrases": f"""
+        WITH lines AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents
+        ), pieces AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM lines
+        ), spots AS (
+            SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces
+        ), one AS (
+            SELECT lang, ws[i] AS w1, count(*) AS f FROM spots GROUP BY ALL
+        ), two AS (
+            SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, count(*) AS f FROM spots WHERE i < len(ws) GROUP BY ALL
+        ), three AS (
+            SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3, count(*) AS f
+            FROM spots WHERE i + 1 < len(ws) GROUP BY ALL HAVING count(*) >= 10
+        ), total AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY ALL
+        ), cuts AS (
+            SELECT lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, 1 AS k, x.f AS l, y.f AS r
+            FROM two p JOIN one x USING (lang, w1) JOIN one y ON y.lang = p.lang AND y.w1 = p.w2
+            WHERE p.f >= 10 AND NOT EXISTS (
+                SELECT 1 FROM three t WHERE t.lang = p.lang AND 100 * t.f >= 50 * p.f
+                AND (t.w1 = p.w1 AND t.w2 = p.w2 OR t.w2 = p.w1 AND t.w3 = p.w2))
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, x.f, y.f
+            FROM three t JOIN one x USING (lang, w1) JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+            FROM three t JOIN two x USING (lang, w1, w2) JOIN one y ON y.lang = t.lang AND y.w1 = t.w3
+        ), scored AS (
+            SELECT *, ((1000000 * a::HUGEINT * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score
+        FROM lowest JOIN total USING (lang)
+        QUALIFY rank <= {PHRASES}
+    """,
 }
