@@ -214,6 +214,20 @@ def _scored_triples(triples: DataFrame, pairs: DataFrame) -> DataFrame:
 
 # --- growth
 
+def _cuts(pairs: DataFrame, wanted: int) -> DataFrame:
+    """(lang, cut): a score that at least `wanted` pairs reach, or 0 where there are fewer.
+
+    Scores are counted in some 640 steps of their logarithm, so no task gets all pairs of
+    a language; the cut is the least score of the step that completes the number.
+    """
+    step = F.floor(F.log2(F.col("score") + 1) * 32).cast("int")
+    steps = pairs.groupBy("lang", step.alias("step")).agg(F.count("*").alias("k"), F.min("score").alias("low"))
+    so_far = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("step")))
+    return steps.withColumn("reach", so_far).groupBy("lang").agg(
+        F.coalesce(F.max(F.when(F.col("reach") >= wanted, F.col("low"))), F.lit(0)).alias("cut")
+    )
+
+
 def _frontier(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
     """(lang, w1, w2): pairs to expand so that everything from a language's `cut` on is settled.
 
@@ -263,7 +277,7 @@ def top_phrases(
 
     Growth is best first: pairs are counted where both words are frequent enough. Runs
     of three start from the pairs whose bound (see `_scored_pairs`) reaches a language's
-    cut, the score of its best `first * limit` pairs. All candidates from the cut on are
+    cut, a score that its best `first * limit` pairs reach. All candidates from the cut on are
     then known, and what drops them. Where fewer than `limit` of them survive, the cut goes
     down and the frontier is expanded further, until each language's last phrase, ties
     included, is settled.
@@ -282,17 +296,11 @@ def top_phrases(
         found = count_pairs(docs, lang, text, bit_filter(words, "w1")).filter(F.col("n") >= least)
         pairs = scratch.stored(_scored_pairs(found, words), "pairs")
 
-        ranked = Window.partitionBy("lang").orderBy(F.desc("score"))
         named = ["lang", "w1", "w2"]
         triples = done = settled = None
         wanted, turn = first * limit, 0
         while True:
-            # Each language's cut; 0, which everything reaches, where it has no more pairs than wanted.
-            cuts = (
-                pairs.withColumn("at", F.row_number().over(ranked)).filter(F.col("at") <= wanted)
-                .groupBy("lang").agg(F.min("score").alias("low"), F.count("*").alias("k"))
-                .select("lang", F.when(F.col("k") >= wanted, F.col("low")).otherwise(0).alias("cut"))
-            )
+            cuts = _cuts(pairs, wanted)
             if settled is not None:
                 cuts = cuts.join(settled.select("lang"), "lang", "left_anti")
             cuts = scratch.stored(cuts, f"cuts{turn}")
