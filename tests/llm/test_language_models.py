@@ -153,12 +153,12 @@ def brute_scores(rows, shape, turn_of):
     return found
 
 
-@pytest.mark.parametrize("core", [21, 60])
-def test_class_model(spark, core):
+@pytest.mark.parametrize("core, hot", [(21, 1000), (60, 70), (15, 30)])
+def test_class_model(spark, core, hot):
     texts = made_texts(60) + ["unseen words here n1", "n0 v0 n0", None, "", "N1 V1", "n1 v1 rare3"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, "n2 v2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    shape = class_lm.Shape(classes=4, core=core, rounds=4, smoothing=5.0)
+    shape = class_lm.Shape(classes=4, core=core, hot=hot, rounds=4, smoothing=5.0)
     turns = {r[0]: r[1] for r in spark.range(core).select(F.col("id").cast("int"), F.pmod(F.xxhash64(F.col("id").cast("int")), F.lit(2))).collect()}
     want = brute_scores(rows, shape, turns.get)
     got = [tuple(r) for r in class_lm.score_texts(docs, shape=shape).collect()]
@@ -182,21 +182,20 @@ def test_gain_is_the_change_of_the_likelihood():
         others = words[1:][(words[:-1] == word) & (words[1:] != word)], words[:-1][(words[1:] == word) & (words[:-1] != word)]
         right, left = (np.bincount(of[o], minlength=size).astype(float) for o in others)
         twice = float(((words[:-1] == word) & (words[1:] == word)).sum())
-        gain = class_lm.gains(matrix(of), of[word], right, left, twice)
+        gain = class_lm.Board(matrix(of)).gains(of[word], right, left, twice)
         for c in range(1, size):
             moved = of.copy()
             moved[word] = c
-            change = class_lm.likelihood(matrix(moved)) - class_lm.likelihood(matrix(of))
+            change = class_lm.Board(matrix(moved)).likelihood() - class_lm.Board(matrix(of)).likelihood()
             assert gain[c] - gain[of[word]] == pytest.approx(change, abs=1e-8)
 
 
 def test_exchange_separates_kinds_of_words(spark):
     docs = spark.createDataFrame(list(enumerate(made_texts(300))), "doc_id long, text string")
     with Scratch(spark) as scratch:
-        tokens = scratch.stored(class_lm.tokenise(docs, "doc_id", "text"), "tokens")
-        words = tokens.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("c"))
-        ids, _ = class_lm.most_frequent(words, 21)
-        lists = scratch.stored(class_lm.neighbour_lists(class_lm.core_pairs(class_lm.encode(tokens, "doc_id", ids), 21)), "lists")
+        ids, _, _ = class_lm.most_frequent(class_lm.count_words(docs, "doc_id", "text"), 21)
+        coded = class_lm.encode(docs, "doc_id", "text", ids)
+        lists = scratch.stored(class_lm.neighbour_lists(class_lm.core_pairs(coded, 21)), "lists")
         classes, _ = class_lm.exchange(lists, 21, class_lm.Shape(classes=3, core=21, rounds=8))
     named = {word_id(w): w for w in [f"n{i}" for i in range(12)] + [f"v{i}" for i in range(9)]}
     kinds = {(named[int(i)][0], int(c)) for i, c in zip(ids, classes)}
@@ -206,7 +205,7 @@ def test_exchange_separates_kinds_of_words(spark):
 def test_probabilities_sum_to_one():
     counts, classes = np.array([5.0, 3, 2, 1, 1]), np.array([1, 2, 1, 2, 2])
     model = class_lm.ClassModel(
-        np.arange(5), counts, classes, np.array([4.0, 7, 5]), np.array([0.0, 2, 3]), 16, 6, 0.4, 4
+        counts, classes, np.array([4.0, 7, 5]), np.array([0.0, 2, 3]), 16, 6, 0.4, 4
     )
     after = model.transitions(np.array([[0, 3, 1], [2, 1, 4], [2, 3, 0]]), 2.0)
     words = 10 ** model.emission(counts, classes)
@@ -216,7 +215,7 @@ def test_probabilities_sum_to_one():
 
 def test_class_model_on_odd_rows(spark):
     docs = odd_documents(spark)
-    got = class_lm.score_texts(docs, shape=class_lm.Shape(classes=4, core=8, rounds=2)).collect()
+    got = class_lm.score_texts(docs, shape=class_lm.Shape(classes=4, core=8, hot=20, rounds=2)).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.collect())
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.score < 0 for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (0, 1, 2)} == {1}
@@ -235,6 +234,18 @@ def test_class_model_beats_word_counts_on_held_out_texts(spark):
     assert sums[0] > 0.9 * sums[1] > sums[1]
 
 
+def test_most_frequent_words_are_a_prefix(spark):
+    draw = random.Random(1)
+    words = [(draw.randint(-(1 << 63), (1 << 63) - 1), min(50, int(1 / (draw.random() + 1e-3)))) for _ in range(600)]
+    table = spark.createDataFrame(words, "id long, c long")
+    want = sorted(words, key=lambda w: (-w[1], w[0]))
+    for size in (0, 1, 7, 100, 599, 600, 5000):
+        ids, counts, is_hot = class_lm.most_frequent(table, size)
+        got = list(zip(ids.tolist(), counts.tolist()))
+        assert got == want[:len(got)] and min(size, 600) - 3 <= len(got) <= size
+        assert table.filter(is_hot).count() == len(got)
+
+
 # --- 12
 
 def brute_whiten(vectors, k):
