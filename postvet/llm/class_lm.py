@@ -33,7 +33,7 @@ class Shape:
     # Words between which classes are exchanged, the most frequent ones. All others join a class afterwards.
     core: int = 1 << 15
     # Words whose classes and counts go to all tasks, the core included; all others are joined.
-    hot: int = 1 << 20
+    hot: int = 1 << 19
     rounds: int = 10
     # One word in so many may move in a round; the others see its move in the next one.
     turns: int = 2
@@ -143,8 +143,8 @@ def most_frequent(words: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray,
         least, room = _fitting(bins(words.filter(step == last), F.col("c"))[::-1], room)
         cut, _ = _fitting(bins(words.filter(F.col("c") == least), lead), room)
         condition = (F.col("c") > least) | ((F.col("c") == least) & (lead < cut))
-    rows = words.filter(condition).toPandas()
-    ids, counts = rows["id"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+    rows = words.filter(condition).select("id", "c").toArrow()
+    ids, counts = rows["id"].to_numpy(), rows["c"].to_numpy()
     order = np.lexsort([ids, -counts])
     return ids[order], counts[order], condition
 
@@ -734,7 +734,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shape:
         totals[BOUNDARY] = texts
         # Classes of the hot words outside the core.
         hot = np.append(classes[:core], np.ones(len(ids) - core, np.int64))
-        found, cold = lexicon.filter(is_hot).select("id", "class").toPandas(), lexicon.filter(~is_hot)
+        found, cold = lexicon.filter(is_hot).select("id", "class").toArrow(), lexicon.filter(~is_hot)
         if len(found):
             order = np.argsort(ids)
             hot[order[np.searchsorted(ids[order], found["id"].to_numpy())]] = found["class"].to_numpy()
