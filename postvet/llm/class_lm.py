@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from postvet.llm.common import Scratch, ready
 SEED = 42
 BOUNDARY = 0
 # Tokens that a task gathers before it passes on their counts.
-GATHERED = 1 << 21
+GATHERED = 1 << 22
+# Distinct words that a task remembers before it starts anew.
+WORDS_HELD = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -85,30 +88,47 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 # --- words
 
-def _word_numbers(bodies: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of distinct words, numbers of all words, words per text) of some texts.
+class Numbers(dict):
+    """Numbers of distinct words in the order they are met, and the words' ids.
 
     Ids are XXH64 of A-Z lowered bytes. Two words of one 64-bit hash would count as one,
     which among 10^9 words has a chance of about 3 %.
     """
-    number: dict[bytes, int] = {}
-    lines = []
-    for body in bodies:
-        words = (body or b"").lower().split()
-        lines.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-    digest = xxhash.xxh64_intdigest
-    ids = np.fromiter((digest(w, SEED) for w in number), np.uint64, len(number)).view(np.int64)
-    sizes = np.array([len(line) for line in lines], np.int64)
-    return ids, np.concatenate(lines) if lines else np.empty(0, np.int64), sizes
+
+    def __init__(self):
+        super().__init__()
+        self.ids = np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = len(self)
+        return made
+
+    def read(self, bodies: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, int]:
+        """(numbers of all words, words per text, how many words were known before) of some texts."""
+        before, find = len(self), self.__getitem__
+        lines = []
+        for body in bodies:
+            words = (body or b"").lower().split()
+            lines.append(np.fromiter(map(find, words), np.int64, len(words)))
+        fresh, digest = islice(self, before, None), xxhash.xxh64_intdigest
+        ids = np.fromiter((digest(w, SEED) for w in fresh), np.uint64, len(self) - before)
+        self.ids = np.concatenate([self.ids, ids.view(np.int64)])
+        sizes = np.array([len(line) for line in lines], np.int64)
+        return np.concatenate(lines) if lines else np.empty(0, np.int64), sizes, before
 
 
 def count_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, c): how often each word occurs in what is learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, counts = Numbers(), np.empty(0, np.int64)
         for batch in batches:
-            ids, flat, _ = _word_numbers(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(flat, minlength=len(ids)))], ["id", "c"])
+            flat, _, before = numbers.read(batch.column(0).to_pylist())
+            counts = np.bincount(flat, minlength=len(numbers)) + np.append(counts, np.zeros(len(numbers) - before, np.int64))
+            if len(numbers) > WORDS_HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(numbers.ids), pa.array(counts)], ["id", "c"])
+                numbers, counts = Numbers(), np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers.ids), pa.array(counts)], ["id", "c"])
 
     return (
         docs.filter(~held_out(F.col(key))).select(F.col(text).cast("binary")).mapInArrow(run, "id long, c long")
@@ -161,13 +181,18 @@ def encode(docs: DataFrame, key: str, text: str, ids: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
+        numbers, ranks = Numbers(), np.empty(0, np.int32)
         for batch in batches:
-            words, flat, sizes = _word_numbers(batch.column(3).to_pylist())
-            ranks = np.full(len(words), -1, np.int32)
+            if len(numbers) > WORDS_HELD:
+                numbers, ranks = Numbers(), np.empty(0, np.int32)
+            flat, sizes, before = numbers.read(batch.column(3).to_pylist())
+            words, fresh = numbers.ids, numbers.ids[before:]
+            # Each distinct word is looked up once.
+            more = np.full(len(fresh), -1, np.int32)
             if len(known):
-                # Looked up once for each distinct word of the batch.
-                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                ranks = np.where(known[at] == words, rank[at], -1).astype(np.int32)
+                at = np.minimum(np.searchsorted(known, fresh), len(known) - 1)
+                more = np.where(known[at] == fresh, rank[at], -1).astype(np.int32)
+            ranks = np.append(ranks, more)
             codes = ranks[flat]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             outside = np.flatnonzero(codes < 0)
@@ -270,7 +295,9 @@ class Board:
     """Counts of class after class, and what an exchange gains on them."""
 
     def __init__(self, matrix: np.ndarray):
-        self.matrix, self.worth = matrix, _xlogx(matrix)
+        self.matrix, self.turned = matrix, np.ascontiguousarray(matrix.T)
+        self.worth = _xlogx(matrix)
+        self.turned_worth = np.ascontiguousarray(self.worth.T)
         self.rows, self.cols = matrix.sum(1), matrix.sum(0)
 
     def likelihood(self) -> float:
@@ -278,19 +305,23 @@ class Board:
         return float(self.worth.sum() - _xlogx(self.rows).sum() - _xlogx(self.cols).sum())
 
     def _side(self, matrix, worth, at, own, mine, others, self_n):
-        """Gain of the cells [class, at] of each class; `mine` lies in the row of `own`, `others` in its column."""
-        cells, value = matrix[:, at], worth[:, at].copy()
-        cells[own] -= mine[at]
+        """Gain of the cells [at, class] of each class; `mine` lies in the column of `own`, `others` in its row."""
+        cells, value, mine = matrix[at], worth[at], mine[at]
+        cells[:, own] -= mine
         j = np.searchsorted(at, own)
         if j < len(at) and at[j] == own:
-            cells[:, j] -= others
-            cells[own, j] -= self_n
-            value[:, j] = _xlogx(cells[:, j])
-        value[own] = _xlogx(cells[own])
-        gain = _xlogx(cells + mine[at]) - value
-        total = gain.sum(1)
+            cells[j] -= others
+            cells[j, own] -= self_n
+            value[j] = _xlogx(cells[j])
+        value[:, own] = _xlogx(cells[:, own])
+        cells += mine[:, None]
+        gain = np.maximum(cells, 1.0)
+        np.log(gain, out=gain)
+        gain *= cells
+        gain -= value
+        total = gain.sum(0)
         # Where a class meets itself both sides come together; that cell is counted apart.
-        total[at] -= gain[at, np.arange(len(at))]
+        total[at] -= gain[np.arange(len(at)), at]
         return total
 
     def gains(self, own: int, right: np.ndarray, left: np.ndarray, self_n: float) -> np.ndarray:
@@ -299,8 +330,8 @@ class Board:
         `right` and `left` count the classes of its neighbours but for itself, `self_n` counts
         how often it follows itself. The boundary's class can't be joined.
         """
-        gain = self._side(self.matrix, self.worth, np.flatnonzero(right), own, right, left, self_n)
-        gain += self._side(self.matrix.T, self.worth.T, np.flatnonzero(left), own, left, right, self_n)
+        gain = self._side(self.turned, self.turned_worth, np.flatnonzero(right), own, right, left, self_n)
+        gain += self._side(self.matrix, self.worth, np.flatnonzero(left), own, left, right, self_n)
         diagonal = self.matrix.diagonal().copy()
         diagonal[own] -= right[own] + left[own] + self_n
         gain += _xlogx(diagonal + right + left + self_n) - _xlogx(diagonal)

@@ -71,19 +71,26 @@ def _holds(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 # --- counting
 
+class Numbers(dict):
+    """Numbers of distinct words in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = len(self)
+        return made
+
+
 class Gathered:
     """Words of many texts as numbers, by language; 0 ends a piece."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {BREAK: 0}
+        self.number = Numbers({BREAK: 0})
         self.lines: dict[str, list[np.ndarray]] = {}
         self.size = 0
 
     def add(self, lang: str | None, body: bytes | None) -> None:
         words = (body or b"").translate(FOLDED).replace(BREAK, b" \xff ").split()
         words.append(BREAK)
-        number = self.number
-        line = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        line = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         self.lines.setdefault(UNKNOWN if lang is None else lang, []).append(line)
         self.size += len(line)
 
