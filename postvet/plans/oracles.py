@@ -18,6 +18,13 @@ def _words(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '{GAP}'), lambda w: w <> '')"
 
 
+def _skill_words(text: str) -> str:
+    return (
+        rf"regexp_extract_all(regexp_replace(lower({text}), '([\p{{L}}\p{{N}}+#])\.', '\1 ', 'g'), "
+        r"'\.?[\p{L}\p{N}][\p{L}\p{N}+#]*')"
+    )
+
+
 def _hits(words: str, condition: str) -> str:
     return f"len(list_filter({words}, lambda w: {condition}))"
 
@@ -191,13 +198,13 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "frequency": (
         ["doc_words"],
         """SELECT token, count(*) AS df FROM (
-             SELECT doc_id, unnest(list_distinct(words)) AS token FROM doc_words)
-           WHERE length(token) >= 6 GROUP BY 1""",
+             SELECT doc_id, unnest(list_distinct(words)) AS token FROM doc_words) GROUP BY 1""",
     ),
     "lexicon": (
         ["frequency"],
-        """SELECT token, CASE WHEN df <= 40 THEN 1.0 ELSE -1.0 END AS weight FROM frequency
-           WHERE df BETWEEN 20 AND 80""",
+        """SELECT token, CASE WHEN df * 1000 <= 40 * n THEN 1.0 ELSE -1.0 END AS weight
+           FROM frequency, (SELECT count(*) AS n FROM documents)
+           WHERE df * 1000 BETWEEN 20 * n AND 80 * n""",
     ),
     "summaries": (
         ["reviews", "companies"],
@@ -226,29 +233,32 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "skills": (
         ["frequency"],
-        f"""SELECT token AS skill FROM frequency WHERE df BETWEEN 5 AND 50
-            UNION SELECT array_to_string({_words('text')}[1:2], ' ') FROM benchmark""",
+        """SELECT token AS skill FROM frequency, (SELECT count(*) AS n FROM documents)
+           WHERE df * 1000 BETWEEN 10 * n AND 12 * n
+           UNION SELECT text FROM benchmark""",
     ),
     "skill_tokens": (
         [],
-        r"""SELECT doc_id, regexp_extract_all(
-                    regexp_replace(lower(text), '([\p{L}\p{N}+#])\.', '\1 ', 'g'),
-                    '\.?[\p{L}\p{N}][\p{L}\p{N}+#]*') AS words FROM documents""",
+        f"SELECT doc_id, {_skill_words('text')} AS words FROM documents",
+    ),
+    "skill_words": (
+        ["skills"],
+        f"""SELECT skill, words, len(words) AS n FROM (SELECT skill, {_skill_words('skill')} AS words FROM skills)
+            WHERE len(words) > 0""",
     ),
     "doc_skills": (
-        ["skill_tokens", "skills"],
-        """SELECT DISTINCT doc_id, skill FROM (
-             SELECT doc_id, unnest(words) AS skill FROM skill_tokens
-             UNION ALL
-             SELECT doc_id, unnest(list_transform(range(1, len(words)),
-                      lambda i: words[i] || ' ' || words[i + 1])) FROM skill_tokens)
-           JOIN skills USING (skill) WHERE skill <> ''""",
+        ["skill_tokens", "skill_words"],
+        """SELECT DISTINCT doc_id, skill
+           FROM (SELECT doc_id, unnest(words) AS word FROM skill_tokens)
+           JOIN (SELECT skill, words[1] AS word FROM skill_words WHERE n = 1) USING (word)
+           UNION ALL
+           SELECT doc_id, skill FROM skill_tokens d JOIN skill_words s ON s.n > 1 AND contains(
+             ' ' || array_to_string(d.words, ' ') || ' ', ' ' || array_to_string(s.words, ' ') || ' ')""",
     ),
     "pairs": (
         [],
-        """SELECT DISTINCT l_partkey AS resume_id, l_orderkey AS posting_id FROM lineitem
-           WHERE l_partkey IN (SELECT doc_id FROM documents)
-             AND l_orderkey IN (SELECT doc_id FROM documents)""",
+        """SELECT DISTINCT l_partkey % n AS resume_id, l_orderkey % n AS posting_id
+           FROM lineitem, (SELECT count(*) AS n FROM documents)""",
     ),
     "needs": (
         ["pairs", "doc_skills"],

@@ -1,8 +1,7 @@
 """Logical input tables over the driver's test tables (see FIXTURES.md).
 
 The test tables hold no job data. Each method states which columns stand in for
-what; every row of the table is used. Of the item pairs, those of two documents are
-submissions.
+what; every row of the table is used, and every pair of a line item is a submission.
 """
 
 from __future__ import annotations
@@ -30,7 +29,10 @@ RULES = Rules(
 )
 AS_OF = dt.date(1999, 1, 1)
 CUTOFF = dt.date(2024, 1, 10)
-OPENING_WORDS = 2
+# Shares of the documents, in thousandths, between which a word is a skill or in the lexicon.
+SKILL_SHARE = (10, 12)
+LEXICON_SHARE = (20, 80)
+GOOD_UP_TO = 40
 
 
 class Fixtures:
@@ -147,48 +149,42 @@ class Fixtures:
 
     @cached_property
     def document_frequency(self) -> DataFrame:
-        """In how many texts each word of 6 or more characters occurs."""
-        distinct = F.array_distinct(words(F.col("text")))
+        """In how many texts each word occurs, and in how many of a thousand."""
+        total = self.documents.agg(F.count("*").alias("docs"))
         return stored(
-            self.documents
-            .select(F.explode(distinct).alias("token"))
-            .filter(F.length("token") >= 6)
-            .groupBy("token")
-            .agg(F.count("*").alias("df"))
+            self.documents.select(F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+            .groupBy("token").agg(F.count("*").alias("df"))
+            .withColumn("docs", total.scalar())
         )
 
-    def lexicon(self) -> DataFrame:
-        return (
-            self.document_frequency
-            .filter("df BETWEEN 20 AND 80")
-            .select("token", F.when(F.col("df") <= 40, 1.0).otherwise(-1.0).alias("weight"))
+    def words_between(self, share: tuple[int, int]) -> DataFrame:
+        low, high = share
+        return self.document_frequency.filter(
+            (F.col("df") * 1000 >= F.col("docs") * low) & (F.col("df") * 1000 <= F.col("docs") * high)
         )
 
+    def lexicon(self) -> DataFrame:
+        good = F.col("df") * 1000 <= F.col("docs") * GOOD_UP_TO
+        return self.words_between(LEXICON_SHARE).select("token", F.when(good, 1.0).otherwise(-1.0).alias("weight"))
+
     # --- resumes
 
     def texts(self) -> DataFrame:
         return self.documents.select("doc_id", "text")
 
     def submissions(self) -> DataFrame:
-        """Resume-posting pairs; both ids are documents."""
-        known = self.table("documents").select("doc_id")
+        """Resume-posting pairs: the keys of every line item, dealt round over the documents."""
+        total = self.documents.agg(F.count("*").alias("docs"))
         return (
-            self.table("lineitem")
-            .select(F.col("l_partkey").alias("resume_id"), F.col("l_orderkey").alias("posting_id"))
+            self.table("lineitem").select("l_partkey", "l_orderkey").withColumn("docs", total.scalar())
+            .select(F.pmod("l_partkey", "docs").alias("resume_id"), F.pmod("l_orderkey", "docs").alias("posting_id"))
             .distinct()
-            .join(known.withColumnRenamed("doc_id", "posting_id"), "posting_id", "left_semi")
-            .join(known.withColumnRenamed("doc_id", "resume_id"), "resume_id", "left_semi")
         )
 
     def skills(self) -> DataFrame:
-        """Words of middling frequency, and how each benchmark passage opens."""
-        single = self.document_frequency.filter("df BETWEEN 5 AND 50").select(
-            F.col("token").alias("skill")
-        )
-        opening = self.table("benchmark").select(
-            F.array_join(F.slice(words(F.col("text")), 1, OPENING_WORDS), " ").alias("skill")
-        )
-        return single.union(opening).distinct()
+        """Words in about one document of a hundred, and every whole benchmark passage."""
+        single = self.words_between(SKILL_SHARE).select(F.col("token").alias("skill"))
+        return single.union(self.table("benchmark").select("text")).distinct()
 
     def resume_vectors(self) -> DataFrame:
         return self.table("embeddings").select(
