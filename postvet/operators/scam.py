@@ -235,8 +235,10 @@ def scam_flags(
     if offers is None:
         known = stored(salary_limits(postings, rules.salary_quantile) if limits is None else limits)
         over = F.coalesce(F.col("pay") > F.col("pay_limit"), F.lit(False))
-        priced = postings.join(known, "peer", "left").withColumn("salary", over)
-        signals = text_signals(priced, rules, "salary", *carry)
+        # The texts are read first; what meets the limits is narrow.
+        priced = [c for c in ("pay", "peer") if c not in carry]
+        read = text_signals(postings, rules, *priced, *carry)
+        signals = read.join(known.select("peer", "pay_limit"), "peer", "left").withColumn("salary", over)
     else:
         high_pay = salary_outliers(offers, rules.salary_quantile, limits).select(
             "posting_id", F.lit(True).alias("salary")

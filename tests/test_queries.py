@@ -91,7 +91,7 @@ def nodes(node):
         yield from nodes(children.apply(i))
 
 
-@pytest.mark.parametrize("name", ["scam_flags", "company_deep_dive", "team_dashboard"])
+@pytest.mark.parametrize("name", ["scam_flags", "company_deep_dive", "team_dashboard", "scam_alerts_batch"])
 def test_joins_carry_no_texts(built, name):
     joins = [n for n in nodes(built(name)._jdf.queryExecution().optimizedPlan())
              if n.nodeName() == "Join"]
