@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postvet.llm.common import map_texts, ready, text_hash
+from postvet.llm.common import Scratch, map_texts, ready, text_hash
 from postvet.llm.components import components
 from postvet.llm.simhash import SEED, fingerprint, near_links, shingle_hashes
 from postvet.session import stored
@@ -134,9 +134,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     Only pairs whose sizes allow it are compared. Rows without words are one node, so
     no set of a pair is empty on both sides.
     """
-    fit = stored(
-        pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)).select("a", "b", "na", "nb")
-    )
+    fit = pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)).select("a", "b", "na", "nb")
     both = _beside(_beside(fit, "a", sets, "first"), "b", sets, "second")
     shared = F.size(F.array_intersect("first", "second"))
     return both.withColumn("shared", shared).filter(
@@ -172,37 +170,49 @@ def _tokens(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, ra, rb, na, nb, bits) of nodes in different groups that share a prefix shingle.
+    """Pairs (a, b, ra, rb, na, nb, held) of nodes in different groups that share a prefix shingle.
 
-    Left out are pairs that sizes or parity maps prove to be less similar, no others. A
-    pair comes once for each shingle. A shingle of many nodes is dealt over parts.
+    Left out are pairs whose sizes prove them to be less similar, no others. A pair comes
+    once for each shingle; `held` says how many nodes hold that. A shingle of many nodes is
+    dealt over parts: c nodes of different groups are compared c * c / 2 times, in tasks of
+    bounded size, and nothing of it is shuffled but what the caller keeps.
     """
     at = (
-        tokens.join(about, "node").join(roots, "node", "left")
+        tokens.join(about.select("node", "n"), "node").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
     live = (
-        at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"))
-        .filter("low <> high").select("shingle", F.ceil(F.col("c") / PART_PAIRS).cast("int").alias("parts"))
+        at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
+        .filter("low <> high").select("shingle", "held")
     )
-    at = stored(at.join(live, "shingle"))
+    parts = F.ceil(F.col("held") / PART_PAIRS).cast("int")
+    at = at.join(live, "shingle").withColumn("parts", parts)
     left = at.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(
-        "shingle", "part", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("map").alias("ma")
+        "shingle", "part", "held", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")
     )
     right = at.select(
         "shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("map").alias("mb"),
+        F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
     )
+    fits = (
+        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+        & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity))
+    )
+    met = left.join(right, (left["shingle"] == right["shingle"]) & (left["part"] == right["part"]) & fits)
+    return met.select("a", "b", "ra", "rb", "na", "nb", "held")
+
+
+def _possible(pairs: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b, na, nb) but for those whose parity maps prove them to be less similar."""
+    one, two = about.select(F.col("node").alias("a"), F.col("map").alias("ma")), about.select(F.col("node").alias("b"), F.col("map").alias("mb"))
     bits = sum(
         (F.bit_count(F.get("ma", F.lit(i)).bitwiseXOR(F.get("mb", F.lit(i)))) for i in range(MAP_BITS // 64)), F.lit(0)
     )
     most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + F.lit(1e-6)
-    fits = (
-        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-        & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)) & (bits <= most)
+    return (
+        pairs.select("a", "b", "na", "nb").distinct().join(one, "a").join(two, "b")
+        .filter(bits <= most).select("a", "b", "na", "nb")
     )
-    met = left.join(right, (left["shingle"] == right["shingle"]) & (left["part"] == right["part"]) & fits)
-    return met.select("a", "b", "ra", "rb", "na", "nb", bits.alias("bits"))
 
 
 def near_groups(
@@ -227,56 +237,67 @@ def near_groups(
     so a text with a million copies is compared once. Null, empty and blank texts are one
     node. An empty table gives no rows. Other columns are not looked at.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
+    with Scratch(spark) as scratch:
+        return _near_groups(docs, key, text, shingle, similarity, words, radius, prints, scratch)
+
+
+def _near_groups(docs, key, text, shingle, similarity, words, radius, prints, scratch: Scratch) -> DataFrame:
     named = docs.select(F.col(key), F.col(text).alias("__body"), text_hash(text).alias("text_hash"))
     common = docs.sparkSession.sparkContext.broadcast(_common(named, "__body", shingle))
-    rows = stored(_marks(named, [key, "text_hash"], "__body", shingle, words, prints, similarity, common))
-    nodes = stored(
+    rows = scratch.stored(_marks(named, [key, "text_hash"], "__body", shingle, words, prints, similarity, common), "rows")
+    nodes = scratch.stored(
         rows.groupBy("node").agg(F.min_by(
             F.struct("fps", "n", "prefix", "map", F.struct(key, "text_hash").alias("o")), "text_hash"
-        ).alias("m")).select("node", "m.*")
+        ).alias("m")).select("node", "m.*"), "nodes"
     )
     size = nodes.select("node", "n")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        # Narrow tables first, so that Spark knows their size: texts are shuffled only if it is too large.
+        pairs = scratch.stored(pairs, f"{name}_pairs")
         ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-        chosen = nodes.join(ends, "node", "left_semi").select(
+        chosen = scratch.stored(nodes.join(ends, "node", "left_semi").select(
             "node", F.col(f"o.{key}").alias("__k"), F.col("o.text_hash").alias("__h")
-        )
+        ), f"{name}_chosen")
         met = (named[key].eqNullSafe(chosen["__k"])) & (named["text_hash"] == chosen["__h"])
-        bodies = named.join(chosen, met).select("node", "__body").dropDuplicates(["node"])
-        return stored(map_texts(bodies, ["node"], "__body", "items array<bigint>", lambda texts: [pa.array(
-            [shingle_hashes(t, shingle, distinct=True).view(np.int64) for t in texts], pa.list_(pa.int64())
-        )]))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(_verified(pairs, sets_of(pairs), similarity))
+        sets = scratch.stored(
+            map_texts(named.join(chosen, met).select("node", "__body"), ["node"], "__body", "items array<bigint>", lambda texts: [pa.array(
+                [shingle_hashes(t, shingle, distinct=True).view(np.int64) for t in texts], pa.list_(pa.int64())
+            )]).dropDuplicates(["node"]), f"{name}_sets"
+        )
+        links = scratch.stored(_verified(pairs, sets, similarity), name)
+        for part in ("pairs", "chosen", "sets"):
+            scratch.drop(f"{name}_{part}")
+        return links
 
     # 1. The nearest partner of each node, by bits and then by size.
     pairs = _candidates(nodes.select("node", "fps"), radius)
-    pairs = stored(pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b"))
+    pairs = scratch.stored(pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b"), "near")
     p = F.struct("bits", F.abs(F.col("na") - F.col("nb")), "a", "b", "na", "nb").alias("p")
     seen = pairs.select(F.col("a").alias("node"), p).union(pairs.select("b", p))
-    nearest = stored(seen.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
-    links = confirmed(nearest)
-    roots = stored(components(links))
+    nearest = seen.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct()
+    links = confirmed(nearest, "first")
+    roots = scratch.stored(components(links), "roots0")
 
     # 2. What is left between different groups.
-    tokens = stored(_tokens(nodes, roots))
-    about = stored(nodes.select("node", "n", "map").join(tokens.select("node").distinct(), "node", "left_semi"))
+    tokens = scratch.stored(_tokens(nodes, roots), "tokens")
+    about = scratch.stored(nodes.select("node", "n", "map").join(tokens.select("node").distinct(), "node", "left_semi"), "about")
+    turn = 0
     while True:
+        turn += 1
         met = _apart(tokens, about, roots, similarity)
-        p = F.struct((F.col("bits") / (F.col("na") + F.col("nb"))).alias("far"), "a", "b", "na", "nb").alias("p")
+        p = F.struct("held", (F.abs(F.col("na") - F.col("nb")) / (F.col("na") + F.col("nb"))).alias("far"), "a", "b", "na", "nb").alias("p")
         ends = met.select(p, F.explode(F.array("ra", "rb")).alias("root"))
-        best = stored(ends.groupBy("root").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
-        more = confirmed(best)
-        links = stored(links.union(more))
-        roots = stored(components(links))
+        best = ends.groupBy("root").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb")
+        more = confirmed(_possible(best, about, similarity), f"links{turn}")
+        links = links.union(more)
+        roots = scratch.stored(components(links), f"roots{turn}")
         if more.count() <= FEW_LINKS:
             break
-    rest = stored(_apart(tokens, about, roots, similarity).select("a", "b", "na", "nb").distinct())
-    found = stored(components(links.union(confirmed(rest))))
-    return (
+    rest = _possible(_apart(tokens, about, roots, similarity), about, similarity)
+    found = components(links.union(confirmed(rest, "rest")))
+    return scratch.keep(
         rows.join(found, "node", "left")
         .select(key, "text_hash", "node", F.coalesce("root", "node").alias("root"))
     )
@@ -294,6 +315,15 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **setti
     keep = found.groupBy("root").agg(F.min(order).alias("o")).select(
         F.col("o.k").alias("__k"), F.col("o.h").alias("__h")
     )
+    # Rows that repeat an id and text of a kept one go too: only those few are compared by content.
+    repeated = F.count("*").alias("__n")
+    named = found.groupBy(key, "text_hash").agg(repeated)
+    kept = stored(
+        named.join(keep, named[key].eqNullSafe(keep["__k"]) & (F.col("text_hash") == F.col("__h")))
+        .select("__k", "__h", "__n")
+    )
     marked = docs.withColumn("__t", text_hash(text))
-    kept = marked.join(keep, marked[key].eqNullSafe(keep["__k"]) & (F.col("__t") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates([key, "__t"]).select(*docs.columns)
+    met = marked.join(kept, marked[key].eqNullSafe(kept["__k"]) & (F.col("__t") == F.col("__h")))
+    once = met.filter("__n = 1").select(*docs.columns)
+    twice = met.filter("__n > 1").dropDuplicates([key, "__t"]).select(*docs.columns)
+    return once.union(twice)

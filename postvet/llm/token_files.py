@@ -11,11 +11,12 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postvet.llm.common import Memo, ready, text_hash
 from postvet.llm.token_counts import byte_letters, tokenizer
+from postvet.session import stored
 
 # Pieces of one generation of a worker's memory.
 MEMO_PIECES = 1 << 18
@@ -135,30 +136,35 @@ def write_tokens(
     ordered.mapInArrow(run, schema).write.options(**LAYOUT).parquet(target)
 
 
+def part_number(name: Column) -> Column:
+    """Number of the task that wrote a file; the name itself is not in order from 100,000 files on."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
 def token_index(spark: SparkSession, target: str, key: str = "doc_id") -> DataFrame:
-    """(file, base): ids in all files before each file. Reads two narrow columns.
+    """(part, base): ids in all files before the file of each number. Reads two narrow columns.
 
-    One row per file: the window over all files is small.
+    One narrow row per file: the window over all files is small.
     """
     files = (
         spark.read.parquet(target)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
-                (F.col("before") + F.col("n_tokens")).alias("upto"))
-        .groupBy("file", "name").agg(F.max("upto").alias("ids"))
+        .select(part_number(F.col("_metadata.file_name")).alias("part"), (F.col("before") + F.col("n_tokens")).alias("upto"))
+        .groupBy("part").agg(F.max("upto").alias("ids"))
     )
-    earlier = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
 
 
 def read_tokens(spark: SparkSession, target: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
     """(key, start, n_tokens, ids_crc32, ids) from the files.
 
     Columns that are not used are not read, and a filter on the key skips row groups
-    and pages by their bounds. Without `ids` the ids are left out.
+    and pages by their bounds. Without `ids` the ids are left out. The table of files is
+    written first, so that Spark knows its size and leaves the ids where they are.
     """
-    index = token_index(spark, target, key).withColumnRenamed("file", "__file")
-    rows = spark.read.parquet(target).withColumn("__path", F.col("_metadata.file_path"))
-    found = rows.join(index, F.col("__path") == F.col("__file"))
+    index = stored(token_index(spark, target, key)).withColumnRenamed("part", "__part")
+    rows = spark.read.parquet(target).withColumn("__at", part_number(F.col("_metadata.file_name")))
+    found = rows.join(index, F.col("__at") == F.col("__part"))
     columns = [key, (F.col("before") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"]
     return found.select(*columns, *(["ids"] if ids else []))
 

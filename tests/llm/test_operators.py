@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("postvet.llm")
 
@@ -541,3 +542,15 @@ def test_empty_tables(spark, tmp_path):
     assert [f.count() for f in frames] == [0] * len(frames)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score_texts(none, toxicity.fit(none, labels), ["doc_id"]).count() == 0
+
+
+def test_token_files_are_read_in_the_order_of_their_numbers(spark):
+    names = spark.createDataFrame([("part-99999-x.zstd.parquet",), ("part-100000-x.zstd.parquet",), ("part-00007-x.parquet",)], "name string")
+    got = [r[0] for r in names.orderBy(token_files.part_number(F.col("name"))).select(token_files.part_number(F.col("name"))).collect()]
+    assert got == [7, 99_999, 100_000]
+
+
+def test_token_ids_are_not_shuffled_to_meet_the_file_table(spark, docs, tmp_path):
+    token_files.write_tokens(docs, str(tmp_path / "t"), WORD_BPE, 1)
+    read = token_files.read_tokens(spark, str(tmp_path / "t"))
+    assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
