@@ -22,8 +22,9 @@ SIMILARITY = 0.8
 PRINT_WORDS = 2
 RADIUS = 6
 PRINTS = 1
-# Bits of the parity map of a set, which bounds how far two sets differ from below.
-MAP_BITS = 1024
+# Bits for each shingle, at least, in the parity map of a set, which bounds how far two sets
+# differ from below.
+MAP_BITS = 4
 # Of the texts one in so many is looked at for common shingles; the most common ones are kept.
 SAMPLE = 16
 COMMON = 200_000
@@ -73,13 +74,25 @@ def prefix(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.nd
     return found[np.lexsort([found, level])[:size]]
 
 
-def parity_map(found: np.ndarray) -> np.ndarray:
-    """MAP_BITS bits, each turned over by the shingles that fall on it.
+def parity_map(found: np.ndarray) -> bytes:
+    """A power of two of bits, each turned over by the shingles that fall on it.
 
-    Bits in which two maps differ are at most the shingles that only one set holds.
+    Bits in which two maps differ are at most the shingles that only one set holds. A map
+    folded in half is the map of half the bits.
     """
-    cells = np.bincount((found >> np.uint64(20) & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS)
-    return np.packbits(cells & 1, bitorder="little").view(np.int64)
+    size = 1 << max(6, (MAP_BITS * len(found) - 1).bit_length())
+    cells = np.bincount((found >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(cells & 1, bitorder="little").tobytes()
+
+
+def differing_bits(one: bytes, two: bytes) -> int:
+    """Bits in which two parity maps differ, the larger one folded to the size of the other."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _marks(
@@ -102,10 +115,10 @@ def _marks(
             maps.append(parity_map(found))
         longs = pa.list_(pa.int64())
         return [pa.array(fps, longs), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(firsts, longs), pa.array(maps, longs)]
+                pa.array(firsts, longs), pa.array(maps, pa.binary())]
 
     return map_texts(
-        docs, ids, text, "fps array<bigint>, node long, n long, prefix array<bigint>, map array<bigint>", work
+        docs, ids, text, "fps array<bigint>, node long, n long, prefix array<bigint>, map binary", work
     )
 
 
@@ -170,48 +183,52 @@ def _tokens(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, ra, rb, na, nb, held) of nodes in different groups that share a prefix shingle.
+    """Pairs (a, b, ra, rb, na, nb, bits) of nodes in different groups that share a prefix shingle.
 
     Left out are pairs whose sizes prove them to be less similar, no others. A pair comes
-    once for each shingle; `held` says how many nodes hold that. A shingle of many nodes is
+    once for each shingle; `bits` is how far the fingerprints differ. A shingle of many nodes is
     dealt over parts: c nodes of different groups are compared c * c / 2 times, in tasks of
     bounded size, and nothing of it is shuffled but what the caller keeps.
     """
     at = (
-        tokens.join(about.select("node", "n"), "node").join(roots, "node", "left")
+        tokens.join(about.select("node", "n", "fp"), "node").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
     live = (
         at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
-        .filter("low <> high").select("shingle", "held")
+        .filter("low <> high").select("shingle", F.ceil(F.col("held") / PART_PAIRS).cast("int").alias("parts"))
     )
-    parts = F.ceil(F.col("held") / PART_PAIRS).cast("int")
-    at = at.join(live, "shingle").withColumn("parts", parts)
+    at = at.join(live, "shingle")
     left = at.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(
-        "shingle", "part", "held", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")
+        "shingle", "part", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("fp").alias("fa")
     )
     right = at.select(
         "shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
+        F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("fp").alias("fb"),
     )
     fits = (
         (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
         & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity))
     )
     met = left.join(right, (left["shingle"] == right["shingle"]) & (left["part"] == right["part"]) & fits)
-    return met.select("a", "b", "ra", "rb", "na", "nb", "held")
+    return met.select("a", "b", "ra", "rb", "na", "nb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("bits"))
 
 
 def _possible(pairs: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
     """The distinct pairs (a, b, na, nb) but for those whose parity maps prove them to be less similar."""
     one, two = about.select(F.col("node").alias("a"), F.col("map").alias("ma")), about.select(F.col("node").alias("b"), F.col("map").alias("mb"))
-    bits = sum(
-        (F.bit_count(F.get("ma", F.lit(i)).bitwiseXOR(F.get("mb", F.lit(i)))) for i in range(MAP_BITS // 64)), F.lit(0)
-    )
-    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + F.lit(1e-6)
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            most = share * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) + 1e-6
+            bits = [differing_bits(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            kept = np.flatnonzero(np.array(bits) <= most)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(kept)) for c in batch.columns[:4]], ["a", "b", "na", "nb"])
+
     return (
-        pairs.select("a", "b", "na", "nb").distinct().join(one, "a").join(two, "b")
-        .filter(bits <= most).select("a", "b", "na", "nb")
+        pairs.select("a", "b", "na", "nb").distinct().join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb")
+        .mapInArrow(run, "a long, b long, na long, nb long")
     )
 
 
@@ -282,12 +299,12 @@ def _near_groups(docs, key, text, shingle, similarity, words, radius, prints, sc
 
     # 2. What is left between different groups.
     tokens = scratch.stored(_tokens(nodes, roots), "tokens")
-    about = scratch.stored(nodes.select("node", "n", "map").join(tokens.select("node").distinct(), "node", "left_semi"), "about")
+    about = scratch.stored(nodes.select("node", "n", "map", F.col("fps")[0].alias("fp")).join(tokens.select("node").distinct(), "node", "left_semi"), "about")
     turn = 0
     while True:
         turn += 1
         met = _apart(tokens, about, roots, similarity)
-        p = F.struct("held", (F.abs(F.col("na") - F.col("nb")) / (F.col("na") + F.col("nb"))).alias("far"), "a", "b", "na", "nb").alias("p")
+        p = F.struct("bits", (F.abs(F.col("na") - F.col("nb")) / (F.col("na") + F.col("nb"))).alias("far"), "a", "b", "na", "nb").alias("p")
         ends = met.select(p, F.explode(F.array("ra", "rb")).alias("root"))
         best = ends.groupBy("root").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb")
         more = confirmed(_possible(best, about, similarity), f"links{turn}")
