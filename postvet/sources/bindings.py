@@ -150,13 +150,16 @@ class Fixtures:
     @cached_property
     def document_frequency(self) -> DataFrame:
         """In how many texts each word occurs, and in how many of a thousand."""
-        total = self.documents.agg(F.count("*").alias("docs"))
         return stored(
             self.documents.select(F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
             .groupBy("token").agg(F.count("*").alias("df"))
-            .withColumn("docs", total.scalar())
+            .withColumn("docs", F.lit(self.number_of_documents).cast("long"))
         )
 
+    @cached_property
+    def number_of_documents(self) -> int:
+        return self.documents.count()
+
     def words_between(self, share: tuple[int, int]) -> DataFrame:
         low, high = share
         return self.document_frequency.filter(
@@ -174,10 +177,10 @@ class Fixtures:
 
     def submissions(self) -> DataFrame:
         """Resume-posting pairs: the keys of every line item, dealt round over the documents."""
-        total = self.documents.agg(F.count("*").alias("docs"))
+        docs = F.lit(self.number_of_documents).cast("long")
         return (
-            self.table("lineitem").select("l_partkey", "l_orderkey").withColumn("docs", total.scalar())
-            .select(F.pmod("l_partkey", "docs").alias("resume_id"), F.pmod("l_orderkey", "docs").alias("posting_id"))
+            self.table("lineitem")
+            .select(F.pmod("l_partkey", docs).alias("resume_id"), F.pmod("l_orderkey", docs).alias("posting_id"))
             .distinct()
         )
 
