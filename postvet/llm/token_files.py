@@ -61,6 +61,16 @@ def piece_memo(path: str) -> Memo:
     return Memo(partial(_piece_ids, path=path), MEMO_PIECES)
 
 
+def _plain_word_ids(word: str, path: str) -> bytes:
+    """The same for a lower-case word of plain signs: no piece holds white space."""
+    return b"".join(map(piece_memo(path).__getitem__, PIECES.findall(word)))
+
+
+@cache
+def plain_memo(path: str) -> Memo:
+    return Memo(partial(_plain_word_ids, path=path), MEMO_PIECES)
+
+
 @cache
 def word_memo(path: str) -> Memo:
     return Memo(partial(_ids, path=path), MEMO_PIECES)
@@ -71,16 +81,16 @@ def encode(text: str | None, path: str, end: int | None = None) -> bytes:
 
     The tokenizer drops white space and its rules never look past it, so a text's ids
     are those of its words, one after another; a special string holds no white space.
-    Plain words are looked up by their lower-case pieces, all others as they stand.
+    Plain words are looked up in lower case, and where new by their pieces, all others as they stand.
     """
     text = text or ""
-    pieces, words = piece_memo(path).__getitem__, word_memo(path).__getitem__
+    plain, words = plain_memo(path).__getitem__, word_memo(path).__getitem__
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    # The white space among plain signs is what `split` takes for it.
     if not text or PLAIN.fullmatch(text):
-        return b"".join(map(pieces, PIECES.findall(text.lower()))) + tail
+        return b"".join(map(plain, text.lower().split())) + tail
     return b"".join(
-        b"".join(map(pieces, PIECES.findall(w.lower()))) if PLAIN.fullmatch(w) else words(w)
-        for w in WORDS.findall(text)
+        plain(w.lower()) if PLAIN.fullmatch(w) else words(w) for w in WORDS.findall(text)
     ) + tail
 
 
