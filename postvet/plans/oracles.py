@@ -304,6 +304,17 @@ PARTS: dict[str, tuple[list[str], str]] = {
                   ['Free', 'Pro', 'Enterprise'][user_id % 3 + 1] AS plan,
                   ['monthly', 'yearly'][user_id % 2 + 1] AS billing FROM events""",
     ),
+    "changes": (
+        [],
+        """SELECT user_id, ts AS valid_from,
+                  arg_min(plan, CASE plan WHEN 'Free' THEN 'z' ELSE plan END) AS plan
+           FROM (SELECT *, ['Free', 'Pro', 'Enterprise'][event_id % 3 + 1] AS plan FROM events
+                 WHERE event_type = 'signup') GROUP BY ALL""",
+    ),
+    "current": (
+        ["changes"],
+        "SELECT user_id, arg_max(plan, valid_from) AS plan FROM changes GROUP BY 1",
+    ),
     # Names, prices and features of the plans, here and below.
     "prices": (
         [],
@@ -513,6 +524,23 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (
                  PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::DOUBLE AS rank
           FROM user_events) JOIN subscriptions USING (user_id) WHERE plan <> 'Free' OR rank <= 10"""),
+    "plan_at": _sql(["user_events", "changes"], """
+        SELECT event_id, e.user_id, plan FROM user_events e
+        ASOF LEFT JOIN changes c ON c.user_id = e.user_id AND e.ts >= c.valid_from"""),
+    "scan_quota_history": _sql(["user_events", "changes"], """
+        SELECT event_id, e.user_id, month, plan,
+               plan IS NOT NULL AND (plan <> 'Free' OR rn <= 3) AS allowed
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, month ORDER BY ts, event_id) AS rn
+              FROM (SELECT *, strftime(ts, '%Y-%m') AS month FROM user_events
+                    WHERE event_type = 'scan')) e
+        ASOF LEFT JOIN changes c ON c.user_id = e.user_id AND e.ts >= c.valid_from"""),
+    "limited_history_now": _sql(["user_events", "current"], """
+        SELECT user_id, event_id, event_type,
+               CASE WHEN coalesce(plan, 'Free') = 'Free' THEN rank END AS rank
+        FROM (SELECT *, row_number() OVER (
+                 PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::DOUBLE AS rank
+          FROM user_events) LEFT JOIN current USING (user_id)
+        WHERE coalesce(plan, 'Free') <> 'Free' OR rank <= 10"""),
     "plan_prices": _sql(["prices", "subscriptions"], """
         SELECT p.plan, popular, p.billing, price, saving_percent::DOUBLE AS saving_percent,
                count(user_id) AS subscribers

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postvet.operators import chat, company, plans, resume, reviews, scam, usage
+from postvet.operators import chat, company, history, plans, resume, reviews, scam, usage
 from postvet.plans import report
 from postvet.session import new_shared_path, stored
 from postvet.sources import ingest, store
@@ -329,6 +329,23 @@ def limited_history(fx):
     return found.select("user_id", "event_id", "event_type", _number("rank"))
 
 
+@query
+def plan_at(fx):
+    return history.plan_at(fx.user_events(), fx.plan_changes(), fx.plans())
+
+
+@query
+def scan_quota_history(fx):
+    return history.scan_quota_history(fx.user_events(), fx.plan_changes(), fx.plans())
+
+
+@query
+def limited_history_now(fx):
+    current = history.current_plans(fx.plan_changes(), fx.plans())
+    found = usage.limited_history(fx.user_events(), current, n=10)
+    return found.select("user_id", "event_id", "event_type", _number("rank"))
+
+
 @query
 def plan_prices(fx):
     return plans.subscribed_prices(fx.subscriptions(), fx.plans())

@@ -220,6 +220,15 @@ class Fixtures:
             F.when(F.pmod("user_id", F.lit(2)) == 0, "monthly").otherwise("yearly").alias("billing"),
         )
 
+    def plan_changes(self) -> DataFrame:
+        """Every signup event chooses a plan."""
+        third = F.pmod("event_id", F.lit(3))
+        return self.table("events").filter("event_type = 'signup'").select(
+            "user_id",
+            F.when(third == 0, "Free").when(third == 1, "Pro").otherwise("Enterprise").alias("plan"),
+            F.col("ts").alias("valid_from"),
+        )
+
     def profile_ops(self) -> DataFrame:
         level = F.get_json_object("props", "$.k").cast("int")
         return (

@@ -21,8 +21,8 @@ def hot_groups(n, seed):
     return [(0 if rng.random() < 0.6 else rng.randrange(1, 9), i) for i in range(n)]
 
 
-@pytest.mark.parametrize("width", [1, 7, 64, 10_000])
-def test_positions_and_next(spark, width):
+@pytest.mark.parametrize("runs", [1, 7, 64])
+def test_positions_and_next(spark, runs):
     data = hot_groups(600, 5)
     df = spark.createDataFrame(data, "g int, seq long")
     want_pos, want_next = set(), set()
@@ -31,8 +31,8 @@ def test_positions_and_next(spark, width):
         for i, s in enumerate(seqs):
             want_pos.add((g, s, i))
             want_next.add((g, s, seqs[i + 1] if i + 1 < len(seqs) else None))
-    assert set(rows(positions(df, ["g"], "seq", width=width))) == want_pos
-    assert set(rows(with_next(df, ["g"], "seq", ["seq"], width=width))) == want_next
+    assert set(rows(positions(df, ["g"], "seq", runs=runs))) == want_pos
+    assert set(rows(with_next(df, ["g"], "seq", ["seq"], runs=runs))) == want_next
 
 
 @pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 0.95, 1.0])
