@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import cache, reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,15 +35,25 @@ SHOUTED = f"{CAPS_WORD}|{PUNCTUATION_RUN}"
 # From the first digit of a word to its end: one match per word with a digit.
 NUMBER_WORD = r"\p{N}[\p{L}\p{N}]*+"
 
-# The named character references the page reader decodes.
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&amp;", "&"),
-]
+# What a page reader drops, in one pass: comments, script and style bodies, tags. A comment
+# or a body that is never closed goes on to the end; a tag that is never closed is text. A
+# tag starts with a letter, a slash or a mark: "a < b" is text. Values in quotes may hold
+# any sign. Possessive, so that no start is tried twice over the same stretch.
+MARKUP = (
+    r"(?is)<!--.*?(?:-->|\z)"
+    r"|<script\b[^<>]*+>.*?(?:</script\s*>|\z)"
+    r"|<style\b[^<>]*+>.*?(?:</style\s*>|\z)"
+    r"|<[a-z/!?](?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
+)
+
+# Names of character references, with and without the closing semicolon.
+CLOSED_NAMES = {name: char for name, char in html5.items() if name.endswith(";")}
+OPEN_NAMES = {name: char for name, char in html5.items() if not name.endswith(";")}
+# Numbers 128 to 159 mean the signs that Windows has there.
+WINDOWS_SIGNS = {
+    str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)
+}
+UNKNOWN_SIGN = "\ufffd"
 
 
 def browser_trim(text: Column) -> Column:
@@ -143,15 +155,69 @@ def phrase_hits_in(lowered: Column, choices: Iterable[str]) -> Column:
     return F.when(_may_hold(lowered, listed), count).when(lowered.isNotNull(), 0)
 
 
+@cache
+def _by_first_letter(closed: bool) -> str:
+    """The reference names as JSON, dealt by first letter: a map is searched in order."""
+    dealt: dict[str, dict[str, str]] = {}
+    for name, char in (CLOSED_NAMES if closed else OPEN_NAMES).items():
+        dealt.setdefault(name[0], {})[name] = char
+    return json.dumps(dealt)
+
+
+def _named(name: Column, closed: bool) -> Column:
+    """What a reference name stands for, else null. The map is a constant of the plan."""
+    table = F.from_json(F.lit(_by_first_letter(closed)), "map<string,map<string,string>>")
+    return F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), name)
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The sign of a number; one that is none gives the sign for unknown."""
+    # The greatest sign has 7 digits; leading zeros are gone already.
+    short = F.when(F.length(digits) <= 7, F.conv(digits, base, 10))
+    code = F.coalesce(short.try_cast("bigint"), F.lit(0))
+    windows = F.from_json(F.lit(json.dumps(WINDOWS_SIGNS)), "map<string,string>")
+    none = (code <= 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.when(none, UNKNOWN_SIGN).when(
+        code.between(0x80, 0x9F), F.try_element_at(windows, code.cast("string"))
+    ).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _decoded(part: Column) -> Column:
+    """A stretch of text that followed an ampersand, its reference decoded."""
+
+    def after(pattern: str, group: int, sign) -> Column:
+        found = F.regexp_extract(part, pattern, 0)
+        rest = F.substr(part, F.length(found) + 1)
+        return F.concat(sign(F.regexp_extract(part, pattern, group)), rest)
+
+    hexadecimal, decimal = r"^#[xX](?=[0-9a-fA-F])0*+([0-9a-fA-F]*+);?", r"^#(?=[0-9])0*+([0-9]*+);?"
+    longest_first = sorted(OPEN_NAMES, key=len, reverse=True)
+    return (
+        F.when(part.startswith("amp;"), F.concat(F.lit("&"), F.substr(part, F.lit(5))))
+        .when(part.rlike(hexadecimal), after(hexadecimal, 1, lambda d: _numbered(d, 16)))
+        .when(part.rlike(decimal), after(decimal, 1, lambda d: _numbered(d, 10)))
+        .otherwise(F.coalesce(
+            after(r"^[A-Za-z][A-Za-z0-9]*;", 0, lambda name: _named(name, True)),
+            after(f"^(?:{'|'.join(longest_first)})", 0, lambda name: _named(name, False)),
+            F.concat(F.lit("&"), part),
+        ))
+    )
+
+
+def references_decoded(text: Column) -> Column:
+    """Text with character references decoded once, as browsers do.
+
+    All names count, also the old ones without a semicolon, and numbers in both bases. What
+    is no reference stays as it stands.
+    """
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), _decoded)
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     """Plain text of a page: no scripts, styles, comments or tags, one-space gaps."""
-    out = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
-    out = F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    # A tag starts with a letter, a slash or a mark: "a < b" is text.
-    out = F.regexp_replace(out, r"<[A-Za-z/!][^>]*>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = references_decoded(F.regexp_replace(html, MARKUP, " "))
     return browser_trim(F.regexp_replace(out, rf"{BLANK}+", " "))
 
 

@@ -69,6 +69,25 @@ def user_rank(usage: DataFrame) -> DataFrame:
     return usage.select("user_id", "scans").join(ranks, "scans")
 
 
+def profile_card(
+    completion: DataFrame, usage: DataFrame, ranks: DataFrame, skills: DataFrame
+) -> DataFrame:
+    """One row per user with a profile or an event: the figures of the profile window.
+
+    Takes what profile_completion, user_usage, user_rank and profile_skills give. Counts of
+    a user without events are 0 and the rank is null; without a profile completion is 0.
+    """
+    held = skills.groupBy("user_id").agg(F.count("*").alias("skills"))
+    return (
+        completion.join(usage, "user_id", "full_outer")
+        .join(ranks.select("user_id", "rank"), "user_id", "left")
+        .join(held, "user_id", "left")
+        .fillna(0, ["scans", "verified", "skills"])
+        .fillna(0.0, ["completion"])
+        .select("user_id", "rank", "completion", "scans", "verified", "skills")
+    )
+
+
 def scan_quota(user_events: DataFrame, subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
     """Mark each scan of a month as within the plan's quota or not.
 

@@ -6,6 +6,8 @@ groups, plain joins and `quantile_cont` are fine at the size of a check.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 GAP = r"[^\p{L}\p{N}]+"
 BLANK = r"[\s\x{FEFF}\p{Z}]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -33,6 +35,20 @@ def _trim(text: str) -> str:
     return f"regexp_replace({text}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The reference after an ampersand in `p`; names must end in a semicolon here.
+_NAMES = ", ".join(
+    f"{_quoted(name)}: {_quoted(char)}" for name, char in html5.items() if name.endswith(";")
+)
+_NAME = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')"
+_NUMBER = "regexp_extract(p, '^#[0-9]{1,6};')"
+_REFERENCE = f"""coalesce(MAP {{{_NAMES}}}[{_NAME}] || p[len({_NAME}) + 1:],
+    chr(try_cast({_NUMBER}[2:-2] AS INT)) || p[len({_NUMBER}) + 1:], '&' || p)"""
+
+
 def _html(html: str) -> str:
     out = html
     for pattern in (
@@ -42,10 +58,8 @@ def _html(html: str) -> str:
         r"<[A-Za-z/!][^>]*>",
     ):
         out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
-    for name, char in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"),
-    ):
-        out = f"replace({out}, '{name}', '{char}')"
+    parts = f"str_split({out}, '&')"
+    out = f"{parts}[1] || coalesce(array_to_string(list_transform({parts}[2:], lambda p: {_REFERENCE}), ''), '')"
     return _trim(f"regexp_replace({out}, '{BLANK}+', ' ', 'g')")
 
 
@@ -330,6 +344,20 @@ PARTS: dict[str, tuple[list[str], str]] = {
                   's' || (json_extract_string(props, '$.k')::INT // 10) AS skill
            FROM events""",
     ),
+    "held_skills": (
+        ["profile_ops"],
+        """SELECT user_id, skill, min(seq) AS seq FROM profile_ops a
+           WHERE is_add AND NOT EXISTS (SELECT 1 FROM profile_ops b WHERE NOT b.is_add
+             AND b.user_id = a.user_id AND b.skill = a.skill AND b.seq > a.seq)
+           GROUP BY 1, 2""",
+    ),
+    "completion": (
+        ["listings"],
+        """SELECT c_custkey AS user_id, round(100.0 * (1 + (c_acctbal > 0)::INT
+                    + (c_nationkey >= 10)::INT
+                    + (c_custkey IN (SELECT company_id FROM listings))::INT) / 4, 2) AS completion
+           FROM customer""",
+    ),
     "chat": (
         [],
         """SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'bot' ELSE role END AS role, text,
@@ -387,7 +415,29 @@ _WINDOW = (
 )
 _PHONE = r"\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}"
 
+
+
+def _masked(text: str) -> str:
+    return (
+        f"regexp_replace(regexp_replace({text}, '{EMAIL}', '[email]', 'g'), "
+        f"'(^|[^0-9A-Za-z+]){_PHONE}($|[^0-9A-Za-z])', '\\1[phone]\\2', 'g')"
+    )
+
+
+# All that is handed in, pages under ids below 0; the rules are those of the documents.
+_HANDED = f"""SELECT doc_id, CASE WHEN lang = 'es' THEN '' ELSE text END AS text,
+       CASE WHEN source < 'src15' THEN doc_id || '.pdf' END AS file_name FROM documents
+     UNION ALL SELECT -1 - page_id, {_html('html')}, NULL FROM pages"""
+_ANALYZED = _sql(["scam"], f"""
+    SELECT CASE WHEN doc_id < 0 THEN 'url' ELSE 'pasted' END AS origin,
+           CASE WHEN doc_id < 0 THEN -1 - doc_id ELSE doc_id END AS id,
+           origin || ':' || id AS posting_key, file_name, {_masked('text')} AS text,
+           array_to_string(flags, '; ') AS flags, score, band, verdict
+    FROM scam JOIN documents ON doc_id = posting_id
+    WHERE length(text) > 0 OR file_name IS NOT NULL""").replace("documents", "handed")
+
 ORACLES: dict[str, str] = {
+    "analyze_path": f"WITH handed AS MATERIALIZED ({_HANDED}),\n" + _ANALYZED.removeprefix("WITH "),
     "collect_postings": _sql([], f"""
         SELECT 'pasted' AS origin, doc_id AS id, text FROM documents
         UNION ALL SELECT 'url', page_id, {_html('html')} FROM pages"""),
@@ -500,17 +550,17 @@ ORACLES: dict[str, str] = {
                          AS cosine
                 FROM pairs LEFT JOIN embeddings a ON a.vec_id = resume_id
                 LEFT JOIN embeddings b ON b.vec_id = posting_id)) WHERE rank <= 5"""),
-    "profile_skills": _sql(["profile_ops"], """
+    "profile_skills": _sql(["held_skills"], """
         SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS pos, skill
-        FROM (SELECT user_id, skill, min(seq) AS seq FROM profile_ops a
-              WHERE is_add AND NOT EXISTS (SELECT 1 FROM profile_ops b WHERE NOT b.is_add
-                AND b.user_id = a.user_id AND b.skill = a.skill AND b.seq > a.seq)
-              GROUP BY 1, 2)"""),
-    "profile_completion": _sql(["listings"], """
-        SELECT c_custkey AS user_id, round(100.0 * (1 + (c_acctbal > 0)::INT
-                 + (c_nationkey >= 10)::INT
-                 + (c_custkey IN (SELECT company_id FROM listings))::INT) / 4, 2) AS completion
-        FROM customer"""),
+        FROM held_skills"""),
+    "profile_completion": _sql(["completion"], "SELECT * FROM completion"),
+    "profile_card": _sql(["completion", "usage", "held_skills"], """
+        SELECT user_id, rank::DOUBLE AS rank, coalesce(completion, 0.0) AS completion,
+               coalesce(scans, 0) AS scans, coalesce(verified, 0) AS verified,
+               coalesce(skills, 0) AS skills
+        FROM completion FULL JOIN (SELECT *, rank() OVER (ORDER BY scans DESC) AS rank FROM usage)
+          USING (user_id)
+        LEFT JOIN (SELECT user_id, count(*) AS skills FROM held_skills GROUP BY 1) USING (user_id)"""),
     "user_usage": _sql(["usage"], "SELECT * FROM usage"),
     "user_rank": _sql(["usage"], """
         SELECT user_id, scans, rank() OVER (ORDER BY scans DESC) AS rank FROM usage"""),
@@ -571,9 +621,7 @@ ORACLES: dict[str, str] = {
         SELECT event_id, user_id, event_type FROM user_events
         WHERE ts >= TIMESTAMP '2024-01-10' AND user_id NOT IN (
           SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)"""),
-    "redact_text": _sql([], f"""
-        SELECT doc_id, regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'g'),
-          '(^|[^0-9A-Za-z+]){_PHONE}($|[^0-9A-Za-z])', '\\1[phone]\\2', 'g') AS text FROM documents"""),
+    "redact_text": _sql([], f"SELECT doc_id, {_masked('text')} AS text FROM documents"),
     "chat_clean": _sql(["chat"], f"""
         SELECT conv_id, turn, role, text FROM chat WHERE length({_trim('text')}) > 0"""),
     "chat_turn_pairs": _sql(["chat"], """

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postvet.operators import chat, company, history, plans, resume, reviews, scam, usage
-from postvet.plans import report
+from postvet.plans import analyze, report
 from postvet.session import new_shared_path, stored
 from postvet.sources import ingest, store
 from postvet.sources.bindings import AS_OF, CUTOFF, RULES, Fixtures
@@ -22,6 +22,7 @@ from postvet.streaming.sinks import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+PROFILE_FIELDS = ["first_name", "last_name", "email", "bio"]
 
 
 def query(fn: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
@@ -305,7 +306,7 @@ def profile_skills(fx):
 
 @query
 def profile_completion(fx):
-    return usage.profile_completion(fx.profiles(), ["first_name", "last_name", "email", "bio"])
+    return usage.profile_completion(fx.profiles(), PROFILE_FIELDS)
 
 
 @query
@@ -318,6 +319,15 @@ def user_rank(fx):
     return usage.user_rank(usage.user_usage(fx.user_events()))
 
 
+@query
+def profile_card(fx):
+    used = usage.user_usage(fx.user_events())
+    completion = usage.profile_completion(fx.profiles(), PROFILE_FIELDS)
+    skills = usage.profile_skills(fx.profile_ops())
+    card = usage.profile_card(completion, used, usage.user_rank(used), skills)
+    return card.withColumn("rank", _number("rank"))
+
+
 @query
 def scan_quota(fx):
     return usage.scan_quota(fx.user_events(), fx.subscriptions(), fx.plans())
@@ -429,6 +439,17 @@ def analysis_report(fx):
     return flat.withColumns({c: _number(c) for c in ("resume_id", "domain_age_days")})
 
 
+@query
+def analyze_path(fx):
+    """The report after a refresh: first all texts without files, then the uploads."""
+    path = new_shared_path(fx.spark, "analysis")
+    first = fx.postings().withColumn("file_name", F.lit(None).cast("string"))
+    for uploads in (first, fx.uploads()):
+        analyze.refresh(analyze.handed_in(uploads, fx.pages()), path, RULES)
+    found = analyze.read_analysis(fx.spark, path, fx.offers(), RULES)
+    return found.withColumn("flags", _text("flags"))
+
+
 # --- streams and their batch twins
 
 

@@ -126,3 +126,36 @@ def test_masked(spark, raw, want):
 def test_same_text_key(spark):
     a, b, c = (one(spark, t, T.same_text_key) for t in ("Pay NOW!", "pay, now", "now pay"))
     assert a == b != c
+
+
+def test_references_as_the_standard_library_reads_them(spark):
+    """Every name, with and without semicolon, and numbers in both bases."""
+    import html as standard
+
+    raw = [f"x&{name} y" for name in standard.entities.html5] + [f"&{name}z" for name in T.OPEN_NAMES]
+    numbers = [9, 39, 65, 128, 130, 150, 159, 163, 8211, 8364, 0xD800, 0xDFFF, 0x110000, 0x1F600, 0, 10**30]
+    raw += [f"a&#{n};b" for n in numbers] + [f"a&#x{n:X}z;" for n in numbers] + [f"&#{n} &#x{n:x};" for n in numbers]
+    raw += ["", "&", "&&", "a & b", "&;", "&#;", "&#x;", "&#xg", "&nosuch;", "&amp;amp;", "&amplt;", "&notit;", "&amp", "a&"]
+    df = spark.createDataFrame([(r,) for r in raw] + [(None,)], "raw string")
+    got = {r.raw: r.out for r in df.select("raw", T.references_decoded(F.col("raw")).alias("out")).collect()}
+    assert got.pop(None) is None
+    assert {r for r in raw if got[r] != standard.unescape(r)} == set()
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("a<!-- x > <b> y", "a"), ("a<script>if (a < b) {} </b>", "a"), ("a<style>p{}", "a"),
+    ("<a title=\"x > y\" href='<b>'>z</a>", "z"), ("a <b c d", "a <b c d"), ("<!-- <script> -->b", "b"),
+    ("<p it's>x</p> isn't", "x isn't"), ("&pound;5 &#8211; &#x20AC;6", "\u00a35 \u2013 \u20ac6"),
+    ("<script><!-- </script>k", "k"), ("<?xml v='1'?>x", "x"),
+])
+def test_markup(spark, raw, want):
+    assert one(spark, raw, T.html_text) == want
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script>", "<a b='", "<a =\"<", "<b ", "<", "&", "&#", "<a x=1 "])
+def test_unclosed_markup_takes_linear_time(spark, piece):
+    import time
+
+    start = time.time()
+    one(spark, piece * 100_000, T.html_text)
+    assert time.time() - start < 20
