@@ -71,7 +71,7 @@ def test_plan_has_no_product_and_no_row_python(built, name):
     for part in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert part not in text
     # One window runs unpartitioned: the ranks of the distinct scan counts.
-    assert ("SinglePartition" in text) == (name == "user_rank")
+    assert ("SinglePartition" in text) == (name in {"user_rank", "profile_card"})
 
 
 @pytest.mark.parametrize("name", ["limited_history", "best_jobs", "keyword_suggestions", "pros_cons",
