@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,15 @@ QUERY_ROWS = 512     # queries that meet a shelf at once
 
 
 def quantised(vector: Column | str, scale: int = 256) -> Column:
-    """floor(scale * x) of each component; null if a component is null or not finite."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    """floor(scale * x) of each component as double; null if one is null or scale * x not finite."""
+    scaled = F.transform(vector, lambda x: x.cast("double") * scale)
+    bad = F.exists(scaled, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # From 2^53 on a double is a whole number; floor() would cut it to a long.
+    return F.when(~bad, F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(x).cast("double")).otherwise(x)))
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
-    """Rows as float64, shorter ones padded with zeros. Integers below 2^53 stay exact."""
+    """Rows as float64, shorter ones padded with zeros."""
     out = np.zeros((len(rows), width))
     for i, row in enumerate(rows):
         out[i, :len(row)] = row
@@ -33,13 +36,15 @@ def _matrix(rows: list, width: int) -> np.ndarray:
 
 def search_block(
     queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int,
+    floor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, int]:
     """Best k of one shelf per query: (ids, scores, pairs scored); missing ones score -inf.
 
     Rows are in id order and cut into blocks. The bound of a block is the sum over the
     terms of the query's weight times the block's maximum (minimum, if the weight is
     negative). Each query visits the blocks by falling bound and stops as soon as the
-    bound is below its k-th score so far: equal bounds are visited, for ties by id.
+    bound is below its k-th score so far, or below `floor`, a k-th score that it has
+    elsewhere: equal bounds are visited, for ties by id. Sums must stay below 2^53.
     """
     starts = np.arange(0, len(ids), BLOCK_ROWS)
     high = np.maximum.reduceat(matrix, starts, axis=0)
@@ -49,10 +54,11 @@ def search_block(
     best = np.full((len(queries), k), -np.inf)
     best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
     scored, live = 0, np.arange(len(queries))
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
     for turn in range(len(starts)):
         block = order[live, turn]
         live_bounds = bounds[live, block]
-        keep = live_bounds >= best[live, k - 1]
+        keep = live_bounds >= np.maximum(best[live, k - 1], floor[live])
         live, block = live[keep], block[keep]
         if not len(live):
             break
@@ -70,6 +76,50 @@ def search_block(
     return best_ids, best, scored
 
 
+def search_exact(
+    queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Best k of the rows per query in whole numbers of any size: (ids, scores), None where there are fewer.
+
+    A score beyond a long becomes the nearest long before rows are ranked.
+    """
+    top = np.iinfo(np.int64)
+    best_ids, best = np.full((len(queries), k), -1), np.full((len(queries), k), None, object)
+    whole = [[int(x) for x in row] for row in matrix]
+    for i, query in enumerate(queries):
+        weights = [int(x) for x in query]
+        found = sorted(
+            (-min(max(sum(a * b for a, b in zip(weights, row)), top.min), top.max), d)
+            for d, row in zip(ids.tolist(), whole) if d != query_ids[i]
+        )[:k]
+        for j, (score, d) in enumerate(found):
+            best_ids[i, j], best[i, j] = d, -score
+    return best_ids, best
+
+
+def search_shelf(
+    queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, floor: np.ndarray,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, ids, scores): each query's best k of a shelf, and of its large rows once more.
+
+    Where queries and rows are so small that sums stay below 2^53, blocks are searched;
+    what is larger is summed in whole numbers.
+    """
+    limit = math.isqrt((1 << 53) // max(1, queries.shape[1])) - 1
+    small_q, small_r = (np.abs(x).max(axis=1, initial=0) < limit for x in (queries, matrix))
+    if small_q.any() and small_r.any():
+        found, scores, _ = search_block(
+            queries[small_q], query_ids[small_q], ids[small_r], matrix[small_r], k, floor[small_q]
+        )
+        at = np.isfinite(scores)
+        yield np.repeat(query_ids[small_q], k).reshape(-1, k)[at], found[at], scores[at].astype(np.int64)
+    for q, r in ((small_q, ~small_r), (~small_q, np.ones(len(ids), bool))):
+        if q.any() and r.any():
+            found, scores = search_exact(queries[q], query_ids[q], ids[r], matrix[r], k)
+            at = np.not_equal(scores, None)
+            yield np.repeat(query_ids[q], k).reshape(-1, k)[at], found[at], scores[at].astype(np.int64)
+
+
 def shelves(rows: DataFrame, count: int) -> DataFrame:
     """(shelf, ids, data, width): rows of (id, v) packed by hash, sorted by id within."""
 
@@ -100,7 +150,11 @@ def top_k(
     shelf once in a task that holds the two. A task returns at most k rows per query, of
     which a window picks the best k: by score, then smaller id.
 
-    Vectors that are null or hold null or non-finite components take no part. Shorter
+    The first shelf is searched before the others; the k-th scores that it gives are where
+    the others begin to prune.
+
+    Vectors that are null or hold null or non-finite components (also after scaling) take
+    no part. Sums are exact at any size; a score beyond a long counts as the nearest long. Shorter
     vectors count as padded with zeros; an empty one scores 0. A row is no candidate for
     its own id. Rows that repeat an id and a vector count once; if the vectors of a
     query's id differ, the smallest one (as an array) is the query. An empty table gives
@@ -120,16 +174,18 @@ def top_k(
             part = pdf.iloc[i:i + QUERY_ROWS]
             width = max(1, *map(len, part["v"]))
             out.append((part["id"].to_numpy(np.int64).tobytes(),
-                        _matrix(list(part["v"]), width).astype("<f8").tobytes(), width))
-        return pd.DataFrame(out, columns=["q_ids", "q_data", "q_width"])
+                        _matrix(list(part["v"]), width).astype("<f8").tobytes(), width,
+                        part["floor"].to_numpy("<f8").tobytes()))
+        return pd.DataFrame(out, columns=["q_ids", "q_data", "q_width", "q_floor"])
 
     one_each = asked.groupBy("id").agg(F.min("v").alias("v"))
     batches = max(1, -(-one_each.count() // QUERY_ROWS))
     batch = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(batches)).cast("int").alias("batch")
-    bundles = one_each.select("id", "v", batch).groupBy("batch").applyInPandas(
-        bundle, "q_ids binary, q_data binary, q_width int"
-    )
-    dealt = bundles.withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+
+    def bundled(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "v", "floor", batch).groupBy("batch").applyInPandas(
+            bundle, "q_ids binary, q_data binary, q_width int, q_floor binary"
+        )
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -139,18 +195,28 @@ def top_k(
                 matrix = np.frombuffer(row.data, "<f8").reshape(len(ids), row.width)
                 asked = np.frombuffer(row.q_data, "<f8").reshape(len(q_ids), row.q_width)
                 width = min(row.width, row.q_width)
-                found, scores, _ = search_block(asked[:, :width], q_ids, ids, matrix[:, :width], k)
-                at = np.isfinite(scores)
-                yield pd.DataFrame({
-                    "query_id": np.repeat(q_ids, k).reshape(-1, k)[at], "id": found[at],
-                    "score": scores[at].astype(np.int64),
-                })
-
-    found = packed.join(dealt, "shelf").drop("shelf").mapInPandas(
-        search, "query_id long, id long, score long"
-    )
+                floor = np.frombuffer(row.q_floor, "<f8")
+                for q, d, score in search_shelf(asked[:, :width], q_ids, ids, matrix[:, :width], k, floor):
+                    yield pd.DataFrame({"query_id": q, "id": d, "score": score})
+
+    def met(bundles: DataFrame, first: int, last: int) -> DataFrame:
+        dealt = bundles.withColumn("shelf", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        return packed.join(dealt, "shelf").drop("shelf").mapInPandas(search, "query_id long, id long, score long")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    found = met(bundled(one_each.withColumn("floor", F.lit(float("-inf")))), 0, 0)
+    if count > 1:
+        found = stored(ranked(found)).drop("rank")
+        # The k-th score of the first shelf; a double may not be above it.
+        kth = F.when(F.count("*") >= k, F.min("score").cast("double") - F.abs(F.min("score").cast("double")) * 1e-12)
+        floors = found.groupBy(F.col("query_id").alias("id")).agg(kth.alias("floor"))
+        seeded = one_each.join(floors, "id", "left").fillna(float("-inf"), ["floor"])
+        found = found.unionByName(met(bundled(seeded), 1, count - 1))
     return (
-        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        ranked(found)
         .select("query_id", "rank", F.col("id").alias(key), "score")
     )
