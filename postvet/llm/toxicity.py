@@ -87,7 +87,8 @@ def _signature(words: list[str]) -> int:
 def training_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
     """Labelled rows, at most so many of each class, picked by a hash of the id.
 
-    The ids are few by their bound, so they are broadcast and no text is shuffled.
+    One row per id: of rows that repeat an id the smallest text, folded where they are
+    read. The ids are few by their bound, so they are broadcast and only picked texts move.
     """
     order = F.xxhash64("doc_id", F.lit(11))
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(
@@ -98,7 +99,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataF
         .union(known.filter("__toxic = 0").orderBy(order, "doc_id").limit(limits.clean_rows))
         .groupBy("doc_id").agg(F.max("__toxic").alias("__toxic"))
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
