@@ -21,6 +21,7 @@ PAD = 0                 # byte that fills the last window
 BATCH_WINDOWS = 512     # windows passed through the network at once
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+CELLS = 16              # hash cells of a language that give training rows, each its share
 
 
 @dataclass(frozen=True)
@@ -196,19 +197,25 @@ def held_out(key):
 def fit(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
     """Train on a bounded sample of the rows that are not held out and have a language.
 
-    At most `rows_per_lang` rows of each language, by a hash of id and text, and evenly
-    spaced windows of each. Neither id, source nor language is an input of the network.
+    At most `rows_per_lang` rows of each language and evenly spaced windows of each: ids
+    fall into CELLS cells by hash, and each cell gives its first ones by hash, so no task
+    ranks a whole language. Rows that repeat an id and a language count once, with the
+    smallest text. Neither id, source nor language is an input of the network.
     """
     from pyspark.sql import Window
 
     ready(docs.sparkSession)
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key, F.lit(23)), key)
+    cell = F.pmod(F.xxhash64(key, F.lit(29)), F.lit(CELLS))
+    order = Window.partitionBy(lang, cell).orderBy(F.xxhash64(key, F.lit(23)), key)
     usable = docs.filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(key).isNotNull())
     picked = stored(
-        usable.select(key, lang).withColumn("__n", F.row_number().over(order))
-        .filter(F.col("__n") <= limits.rows_per_lang).select(F.col(key).alias("__k")).distinct()
+        usable.select(key, lang).distinct().withColumn("__n", F.row_number().over(order))
+        .filter(F.col("__n") <= max(1, limits.rows_per_lang // CELLS)).select(key, lang)
+    )
+    sample = (
+        usable.select(key, lang, text).join(F.broadcast(picked), [key, lang], "left_semi")
+        .groupBy(key, lang).agg(F.min(text).alias(text))
     )
-    sample = usable.select(key, lang, text).join(F.broadcast(picked), F.col(key) == F.col("__k"), "left_semi")
 
     def cut(texts):
         rows = []
