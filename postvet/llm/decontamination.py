@@ -15,6 +15,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from postvet.llm.common import map_texts, ready
 
@@ -272,16 +273,15 @@ def find_leaks(
     """
     ready(docs.sparkSession)
     kind = benchmark.schema[item].dataType.simpleString()
+    arrow = to_arrow_type(benchmark.schema[item].dataType)
     out = None
     for index in _indexes(benchmark, item, item_text):
         def work(texts, index=index):
             found = [index.value.leaks(t) for t in texts]
-            arrow = benchmark_type
             return [pa.array([[x[0] for x in f] for f in found], pa.list_(arrow)),
                     pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int64())),
                     pa.array([[x[2] for x in f] for f in found], pa.list_(pa.float64()))]
 
-        benchmark_type = _arrow(kind)
         made = map_texts(
             docs, [key], text, f"items array<{kind}>, starts array<bigint>, sims array<double>", work
         )
@@ -293,10 +293,6 @@ def find_leaks(
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:

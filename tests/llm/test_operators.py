@@ -97,10 +97,10 @@ def test_licenses_behind_comment_signs(sign):
 
 def test_licenses_with_any_one_word_edited():
     scanner = licenses.Scanner(licenses.TEMPLATES)
-    for name in ("mit-text", "apache-2.0-header", "gpl-3.0-header", "bsd-text"):
+    for name in ("mit-text", "apache-2.0-header", "gpl-3.0-header", "bsd-text", "mpl-2.0-header"):
         words = licenses.TEMPLATES[name].split()
         for at, word in enumerate(words):
-            if licenses._versions([licenses._plain(word)]):
+            if licenses._names(licenses._plain(word)):
                 continue
             for edit in (["other"], [], [word, "other"]):
                 for before in ("", "some text before it "):
@@ -110,6 +110,54 @@ def test_licenses_with_any_one_word_edited():
     assert [m.license for m in scanner.scan(several)] == ["mit-text"]
 
 
+@pytest.mark.parametrize("name, old, new, want", [
+    ("gpl-3.0-notice", "GNU General", "GNU Lesser General", ["lgpl-3.0-notice"]),
+    ("gpl-3.0-notice", "GNU General", "GNU Affero General", ["agpl-3.0-notice"]),
+    ("lgpl-3.0-header", "Lesser ", "", ["gpl-3.0-header"]),
+    ("gpl-3.0-header", "version 3", "version 2", ["gpl-2.0-header"]),
+    ("lgpl-2.1-header", "2.1", "2.0", []),
+    ("cc-by-4.0-notice", "CC BY 4.0", "CC BY NC 4.0", []),
+    ("cc-by-sa-4.0-notice", "BY-SA", "BY-NC", ["cc-by-nc-4.0-notice"]),
+    ("mit-text", "persons to whom", "persons by to whom", ["mit-text"]),
+    ("mit-text", "to deal in", "12 to deal in", ["mit-text"]),
+    ("bsd-3-clause-whole", "conditions are met:", "conditions are met: 1.", ["bsd-3-clause-whole"]),
+])
+def test_licenses_and_their_neighbours(name, old, new, want):
+    text = licenses.TEMPLATES[name]
+    assert old in text
+    assert [m.license for m in licenses.Scanner(licenses.TEMPLATES).scan(f"a b {text.replace(old, new)} c")] == want
+
+
+def test_licenses_without_their_own_template():
+    """A neighbour's text is not named when its own template is absent."""
+    for name, other in [("lgpl-3.0-notice", "gpl-3.0-notice"), ("agpl-3.0-header", "gpl-3.0-header"),
+                        ("bsd-3-clause-whole", "bsd-2-clause-whole"), ("bsd-2-clause-whole", "bsd-3-clause-whole")]:
+        scanner = licenses.Scanner({other: licenses.TEMPLATES[other]})
+        assert scanner.scan(licenses.TEMPLATES[name]) == [], name
+
+
+def test_licenses_against_every_block():
+    """Anchors lose nothing against blocks at every word, and each named template ranks first that fits."""
+    class Every(licenses.Scanner):
+        def blocks(self, words):
+            return {(s, len(t.words)) for t in self.templates for s in range(len(words))}
+
+    names = ["apache-2.0-header", "gpl-3.0-header", "lgpl-3.0-header", "cc-by-sa-4.0-notice", "mit-notice", "bsd-text"]
+    some = {n: licenses.TEMPLATES[n] for n in names}
+    quick, slow = licenses.Scanner(some), Every(some)
+    draw = np.random.default_rng(12)
+    for _ in range(40):
+        words = []
+        for name in draw.choice(names, 2):
+            part = some[name].split()
+            for _ in range(int(draw.integers(0, 4))):
+                at = int(draw.integers(0, len(part)))
+                part[at:at + int(draw.integers(0, 2))] = [["other"], [], ["7"]][int(draw.integers(0, 3))]
+            words += [f"w{x}" for x in draw.integers(0, 99, 4)] + part
+        found, want = ([(m.license, m.start, m.missing, m.extra) for m in s.scan(" ".join(words))] for s in (quick, slow))
+        assert found == want, words
+
+
 # --- 3
 
 def brute_targets(sizes, weights, share, epochs):
@@ -297,6 +345,24 @@ def test_top_k(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_top_k_of_many_shelves(spark, monkeypatch):
+    """The first shelf's scores prune the others; large components are summed exactly."""
+    monkeypatch.setattr(topk, "SHELF_ROWS", 60)
+    draw = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in draw.integers(-3, 4, 4) / 256]) for i in range(400)]
+    rows += [(500, [1e30, 1.0, 0.0, 0.0]), (501, [2.0 ** 27, 2.0 ** 27 + 0.5, 1.0, 3.0]), (550, [2.0 ** 20, 1.0, 2.0, 3.0]),
+             (502, [-1e30, 2.0, 0.0, 0.0]), (503, [1e307, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(topk.top_k(df, df.filter("vec_id % 50 = 0"), 5), "query_id", "rank", "vec_id", "score")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i != 503}
+    near = lambda s: min(max(s, -2**63), 2**63 - 1)
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        scored = sorted((-near(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert sorted(got) == sorted(want)
+
+
 def test_blocks_are_pruned():
     draw = np.random.default_rng(4)
     matrix = np.concatenate([draw.normal(10 * (i % 4 == 0), 1, (topk.BLOCK_ROWS, 8)) for i in range(20)])
@@ -334,8 +400,31 @@ def test_toxicity(spark):
     assert toxicity.keep_clean(docs, nothing).count() == len(rows)
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    """An id on a third of the rows trains once; long texts and further columns do no harm."""
+    rows = [(7, f"bad word {i}") for i in range(300)] + [(i, "clean " * (20_000 if i == 20 else 3)) for i in range(20, 620)]
+    docs = spark.createDataFrame([(d, t, 1, 1, "x") for d, t in rows], "doc_id long, text string, toxic int, __n int, sig string")
+    labels = spark.createDataFrame([(7, 1, 1)] * 5 + [(i, 1, int(i < 40)) for i in range(20, 620)],
+                                   "doc_id long, quality int, toxic int")
+    sample = toxicity.training_sample(docs, labels, toxicity.Limits(toxic_rows=30, clean_rows=50)).collect()
+    ids = [r.doc_id for r in sample]
+    assert len(ids) == len(set(ids)) <= 80 and all(r.text == "bad word 0" for r in sample if r.doc_id == 7)
+    assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).columns == docs.columns
+
+
 # --- 9
 
+def test_language_sample_is_bounded_by_rows(spark):
+    """An id on a third of the rows counts once; predictions still come for each row."""
+    rows = [(4, "the and wing " * 5, "aa", 1)] * 200 + [
+        (i, ("the and wing " if i % 2 else "sch ung keit ") * 9, "aa" if i % 2 else "bb", 1) for i in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, parts int")
+    net = language.fit(docs, language.Limits(rows_per_lang=160))
+    got = language.predict_languages(docs, net).collect()
+    assert len(got) == len(rows)
+    assert np.mean([r.lang_pred == ("aa" if r.doc_id % 2 or r.doc_id == 4 else "bb") for r in got]) > 0.95
+
+
 def test_language(spark):
     draw = np.random.default_rng(6)
     parts = {"aa": ["the", "ing", "wh", "and"], "bb": ["sch", "ung", "über", "keit"], "cc": ["ción", "ñ", "ez", "los"]}
