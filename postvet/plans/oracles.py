@@ -371,6 +371,29 @@ PARTS: dict[str, tuple[list[str], str]] = {
                   array_to_string(flags, '; ') AS flags
            FROM scam JOIN orders ON o_orderkey = posting_id WHERE score >= 70""",
     ),
+    "told": (
+        ["alerts", "subscriptions"],
+        """SELECT DISTINCT e.user_id, posting_id, posted_at, score, band, flags
+           FROM alerts JOIN orders ON o_orderkey = posting_id
+           JOIN events e ON e.event_id % (SELECT count(*) FROM customer) + 1 = o_custkey
+           JOIN subscriptions s ON s.user_id = e.user_id AND plan <> 'Free'""",
+    ),
+    "text_windows": (
+        ["doc_words", "lexicon", "reviews"],
+        """SELECT to_timestamp(w * 2592000)::TIMESTAMP AS ws, company_id, count(*) AS texts,
+                  sum(n)::BIGINT AS lexicon_words, round(sum(s) / sum(n), 4) AS text_score
+           FROM (SELECT *, floor(epoch(reviewed_at) / 2592000) AS w FROM reviews)
+           JOIN (SELECT doc_id AS review_id, count(*) AS n, sum(weight::DOUBLE) AS s
+                 FROM (SELECT doc_id, unnest(words) AS token FROM doc_words) JOIN lexicon USING (token)
+                 WHERE doc_id % 3 < 2 GROUP BY 1) USING (review_id)
+           GROUP BY w, 2""",
+    ),
+    "entries": (
+        ["lexicon", "skills"],
+        f"""SELECT *, {_words('entry')} AS ew FROM (
+              SELECT 'urgent' AS list, token AS entry FROM lexicon WHERE weight < 0
+              UNION SELECT 'payment', skill FROM skills)""",
+    ),
     "windows": (
         ["reviews"],
         """SELECT to_timestamp(w * 2592000)::TIMESTAMP AS ws, company_id, count(*) AS reviews,
@@ -413,6 +436,12 @@ _WINDOW = (
     "strftime(ws + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, "
     "company_id, reviews, mean_rating FROM windows"
 )
+_TEXT_WINDOW = (
+    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, "
+    "strftime(ws + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, company_id, texts, lexicon_words, "
+    "text_score, CASE WHEN text_score < 0 THEN 'Negative' WHEN text_score > 0 THEN 'Positive' ELSE 'Mixed' END "
+    "AS sentiment FROM text_windows"
+)
 _PHONE = r"\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}"
 
 
@@ -650,6 +679,34 @@ ORACLES: dict[str, str] = {
         LEFT JOIN matches m ON m.posting_id = p.posting_id"""),
     "scam_alerts_batch": _sql(["alerts"], "SELECT * FROM alerts"),
     "scam_alerts_stream": _sql(["alerts"], "SELECT * FROM alerts"),
+    "plan_alerts_batch": _sql(["told"], "SELECT * FROM told"),
+    "plan_alerts_stream": _sql(["told"], "SELECT * FROM told"),
+    "text_reputation_batch": _sql(["text_windows"], _TEXT_WINDOW),
+    "text_reputation_stream": _sql(["text_windows"], _TEXT_WINDOW + """
+        WHERE ws + INTERVAL 30 DAY <= (
+          SELECT least(max(o_orderdate), max(CASE WHEN doc_id IS NOT NULL THEN o_orderdate + INTERVAL 1 DAY * (doc_id % 3) END))
+                 - INTERVAL 1 DAY
+          FROM orders LEFT JOIN documents ON doc_id = o_orderkey)"""),
+    "purge_stored": _sql(["user_events"], """
+        SELECT event_id, user_id, event_type FROM user_events
+        WHERE ts >= TIMESTAMP '2024-01-10' AND user_id NOT IN (
+          SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)"""),
+    "ml_fold_counts": """
+        SELECT (('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT % 3)::INT AS fold, count(*) AS postings,
+               count(toxic) AS labelled, count(*) FILTER (WHERE toxic > 0) AS positive
+        FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)
+        WHERE text IS NOT NULL GROUP BY 1""",
+    "listed_mail_flags": """
+        SELECT posting_id, emails::INT AS emails, free_mail_domain, free_mail_domain IS NOT NULL AS generic_email
+        FROM (SELECT doc_id AS posting_id, len(domains) AS emails, list_filter(domains,
+                     lambda d: try_cast(regexp_extract(d, '[0-9]+') AS INT) %% 2 = 0)[1] AS free_mail_domain
+              FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '%s'),
+                           lambda e: lower(split_part(e, '@', -1))) AS domains FROM documents))
+        WHERE emails > 0""" % EMAIL,
+    "listed_phrase_hits": _sql(["doc_words", "entries"], """
+        SELECT doc_id AS posting_id, list, count(*) AS hits
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM doc_words)
+        JOIN entries ON words[i] = ew[1] WHERE words[i:i + len(ew) - 1] = ew GROUP BY ALL"""),
     "reputation_tumbling": _sql(["windows"], _WINDOW),
     "reputation_sliding": _sql(["reviews"], """
         SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,

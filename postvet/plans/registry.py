@@ -11,17 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postvet.operators import chat, company, history, plans, resume, reviews, scam, usage
+from postvet.operators import (
+    chat, company, history, plans, resume, reviews, risk_model, scam, usage, word_lists,
+)
 from postvet.plans import analyze, report
 from postvet.session import new_shared_path, stored
-from postvet.sources import ingest, store
+from postvet.sources import ingest, purge, store
 from postvet.sources.bindings import AS_OF, CUTOFF, RULES, Fixtures
 from postvet.streaming.alerts import scam_alerts
-from postvet.streaming.reputation import reputation, session_stream
+from postvet.streaming.plan_alerts import plan_alerts, read_plan_alerts, start_plan_alerts
+from postvet.streaming.reputation import reputation, session_stream, text_reputation
 from postvet.streaming.sinks import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+ALERTED = ("Pro", "Enterprise")
 PROFILE_FIELDS = ["first_name", "last_name", "email", "bio"]
 
 
@@ -154,6 +158,26 @@ def ml_risk_score(fx):
     return scam.ml_risk_score(fx.postings(), fx.labels())
 
 
+@query
+def ml_fold_counts(fx):
+    return risk_model.fold_counts(fx.postings(), fx.labels())
+
+
+@query
+def ml_risk_out_of_fold(fx):
+    return risk_model.out_of_fold_scores(fx.postings(), fx.labels())
+
+
+@query
+def listed_mail_flags(fx):
+    return word_lists.listed_mail_flags(fx.postings(), fx.mail_domains())
+
+
+@query
+def listed_phrase_hits(fx):
+    return word_lists.listed_phrase_hits(fx.postings(), fx.word_lists())
+
+
 # --- company verification
 
 
@@ -387,6 +411,16 @@ def purge_records(fx):
     return kept.select("event_id", "user_id", "event_type")
 
 
+@query
+def purge_stored(fx):
+    """The stored events after a purge of their files, which are laid out by time."""
+    path = new_shared_path(fx.spark, "events")
+    events = fx.user_events()
+    events.repartitionByRange("ts").write.parquet(path)
+    purge.purge_stored(fx.spark, path, fx.deleted_users(), CUTOFF)
+    return fx.spark.read.parquet(path).select("event_id", "user_id", "event_type")
+
+
 @query
 def redact_text(fx):
     return usage.redact_text(fx.texts())
@@ -482,6 +516,41 @@ def scam_alerts_stream(fx):
     return found.withColumn("posted_at", _day("posted_at"))
 
 
+def _told(found):
+    return found.select("user_id", "posting_id", _day("posted_at"), "score", "band", _text("flags"))
+
+
+@query
+def plan_alerts_batch(fx):
+    limits = scam.salary_limits(fx.offers(), RULES.salary_quantile)
+    return _told(plan_alerts(
+        fx.company_postings(fx.documents), limits, fx.watches(), fx.subscriptions(), RULES, entitled=ALERTED
+    ))
+
+
+@query
+def plan_alerts_stream(fx):
+    postings = fx.company_postings(fx.stream("documents"))
+    path, checkpoint = (new_shared_path(fx.spark, f"plan-alerts-{part}") for part in ("out", "state"))
+    start_plan_alerts(
+        postings, lambda _: scam.salary_limits(fx.offers(), RULES.salary_quantile), lambda _: fx.watches(),
+        lambda _: fx.subscriptions(), path, checkpoint, RULES, entitled=ALERTED, once=True,
+    ).awaitTermination()
+    return _told(read_plan_alerts(fx.spark, path))
+
+
+@query
+def text_reputation_batch(fx):
+    return _windows(text_reputation(fx.reviews(), fx.timed_review_texts(fx.documents), fx.lexicon()))
+
+
+@query
+def text_reputation_stream(fx):
+    texts = fx.timed_review_texts(fx.stream("documents"))
+    found = text_reputation(fx.reviews(fx.stream("orders")), texts, fx.lexicon())
+    return _windows(drain(found, "text-reputation"))
+
+
 @query
 def reputation_tumbling(fx):
     return _windows(reputation(fx.reviews(), "30 days"))

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postvet.functions.text import words
+from postvet.functions.text import email_domains, words
 from postvet.operators.plans import plan_table
 from postvet.operators.scam import Rules
 from postvet.session import configure, stored
@@ -96,6 +96,27 @@ class Fixtures:
             orders, "posting_id"
         )
 
+    def company_postings(self, documents: DataFrame) -> DataFrame:
+        companies = self.table("orders").select(
+            F.col("o_orderkey").alias("posting_id"), F.col("o_custkey").alias("company_id")
+        )
+        return self.timed_postings(documents).join(companies, "posting_id")
+
+    def watches(self) -> DataFrame:
+        """Every event of a user is a company they watch: its id dealt round over the customers."""
+        companies = F.lit(self.table("customer").count()).cast("long")
+        return self.table("events").select("user_id", (F.pmod("event_id", companies) + 1).alias("company_id"))
+
+    def mail_domains(self) -> DataFrame:
+        """Half of all mail domains: those with an even number in their name."""
+        seen = self.documents.select(F.explode(email_domains(F.col("text"))).alias("domain")).distinct()
+        return seen.filter(F.regexp_extract("domain", "[0-9]+", 0).try_cast("int") % 2 == 0)
+
+    def word_lists(self) -> DataFrame:
+        """Negative lexicon words are urgent ones; skills stand for payment phrases."""
+        urgent = self.lexicon().filter("weight < 0").select(F.lit("urgent").alias("list"), F.col("token").alias("entry"))
+        return urgent.union(self.skills().select(F.lit("payment"), "skill"))
+
     def labels(self) -> DataFrame:
         return self.table("labels").select(
             F.col("doc_id").alias("posting_id"), F.col("toxic").alias("label")
@@ -147,6 +168,14 @@ class Fixtures:
     def review_texts(self) -> DataFrame:
         return self.documents.select(F.col("doc_id").alias("review_id"), "text")
 
+    def timed_review_texts(self, documents: DataFrame) -> DataFrame:
+        """Texts of the orders' reviews, written 0, 1 or 2 days after them."""
+        orders = self.table("orders").select(F.col("o_orderkey").alias("review_id"), "o_orderdate")
+        later = F.make_dt_interval(F.pmod("review_id", F.lit(3)).cast("int"))
+        return documents.select(F.col("doc_id").alias("review_id"), "text").join(orders, "review_id").select(
+            "review_id", "text", (F.col("o_orderdate").cast("timestamp") + later).alias("written_at")
+        )
+
     @cached_property
     def document_frequency(self) -> DataFrame:
         """In how many texts each word occurs, and in how many of a thousand."""

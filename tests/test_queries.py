@@ -13,7 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
 
 QUERIES, ORACLES = dict(entry.REGISTRY), dict(entry.ORACLES)
-NO_SQL = {"ml_risk_score"}
+NO_SQL = {"ml_risk_score", "ml_risk_out_of_fold"}
 
 
 @pytest.fixture(scope="module")
