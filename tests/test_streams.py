@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from postvet.operators import usage
 from postvet.operators.scam import Rules
 from postvet.streaming.alerts import scam_alerts
-from postvet.streaming.reputation import reputation, session_stream
+from postvet.streaming.plan_alerts import plan_alerts, read_plan_alerts, start_plan_alerts
+from postvet.streaming.reputation import reputation, session_stream, text_reputation
 from postvet.streaming.sinks import start
 
 DAY = dt.datetime(2024, 1, 1)
@@ -115,3 +116,55 @@ def test_sessions_match_the_batch_twin(spark, tmp_path):
         F.col("session_end") <= F.lit(end)
     )
     assert sorted(rows(got)) == sorted(rows(want)) and got.count() > 3
+
+
+def test_alerts_follow_changed_limits_and_plans(spark, tmp_path):
+    """Limits, watches and plans are read anew: what changes between two batches counts in the second."""
+    schema = POSTINGS + ", company_id long"
+    mild = "asap asap, a deposit"  # with a high pay only: urgency 25 + salary 35 < 70
+    state = {"limit": 10.0, "plan": "Free"}
+    limits = lambda s: s.createDataFrame([("p", state["limit"])], "peer string, pay_limit double")
+    watches = lambda s: s.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 8)], "user_id long, company_id long")
+    plans = lambda s: s.createDataFrame([(1, "Pro"), (2, state["plan"]), (3, "Pro")], "user_id long, plan string")
+    rules = Rules(weights={"salary": 70, "email": 1, "urgency": 1, "vague": 1, "payment": 1})
+    source, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+
+    def go():
+        start_plan_alerts(read(spark, source, schema), limits, watches, plans, out, check, rules, once=True).awaitTermination()
+        return sorted((r.user_id, r.posting_id, r.batch) for r in read_plan_alerts(spark, out).collect())
+
+    add_file(spark, source, [(*posting(1, mild, 0, 11.0), 7), (*posting(2, mild, 0, 9.0), 7), (*posting(3, mild, 0, 99.0), None)], schema, 0)
+    assert go() == [(1, 1, 0)]
+    state.update(limit=8.0, plan="Pro")
+    add_file(spark, source, [(*posting(1, mild, 1, 11.0), 7), (*posting(4, mild, 1, 9.0), 7), (*posting(5, mild, 1, 9.0), 8)], schema, 1)
+    # User 2 is told of posting 1 as it comes again; user 1 knows it.
+    assert go() == [(1, 1, 0), (1, 4, 1), (2, 1, 1), (2, 4, 1), (3, 5, 1)]
+    assert go() == [(1, 1, 0), (1, 4, 1), (2, 1, 1), (2, 4, 1), (3, 5, 1)]
+    batch = plan_alerts(spark.read.parquet(str(source / "in-0"), str(source / "in-1")), limits(spark), watches(spark), plans(spark), rules)
+    assert sorted((r.user_id, r.posting_id) for r in batch.collect()) == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (2, 4), (3, 5)]
+
+
+def test_review_texts_meet_their_reviews_in_time(spark, tmp_path):
+    texts = "review_id long, text string, written_at timestamp"
+    lexicon = spark.createDataFrame([("good", 1.0), ("bad", -1.0)], "token string, weight double")
+    at = lambda d: DAY + dt.timedelta(days=d)
+    reviews = [[review(1, 1, 5, 0), review(2, 1, 2, 5), review(3, 2, 4, 6), review(4, 2, 1, 8)],
+               [review(8, 9, 1, 100)], [review(9, 9, 1, 200)], [review(10, 9, 1, 300)]]
+    # Text 2 comes late, text 4 is written too long after its review, 3 holds no word of the lexicon.
+    written = [[(1, "Good good, bad", at(1)), (3, "so so", at(6)), (4, "bad", at(12))],
+               [(8, "bad", at(100)), (7, "good", at(99))], [(2, "bad bad", at(6)), (9, "x", at(200))], [(10, "x", at(300))]]
+    for n, (some, more) in enumerate(zip(reviews, written)):
+        add_file(spark, tmp_path / "reviews", some, REVIEWS, n)
+        add_file(spark, tmp_path / "texts", more, texts, n)
+
+    def both(r, t):
+        return text_reputation(r, t, lexicon, "10 days", "2 days")
+
+    got = run(both(read(spark, tmp_path / "reviews", REVIEWS), read(spark, tmp_path / "texts", texts)), tmp_path)
+    batch = both(spark.createDataFrame([r for b in reviews for r in b], REVIEWS),
+                 spark.createDataFrame([t for b in written for t in b], texts))
+    found = sorted((r.company_id, r.texts, r.lexicon_words, r.text_score, r.sentiment) for r in got.collect())
+    every = sorted((r.company_id, r.texts, r.lexicon_words, r.text_score, r.sentiment) for r in batch.collect())
+    assert found == [(1, 1, 3, 0.3333, "Positive"), (9, 1, 1, -1.0, "Negative")]
+    # Reviews of one company 5 days apart can share a window of 10 days.
+    assert sum(e[1] for e in every) == 3 and (9, 1, 1, -1.0, "Negative") in every
