@@ -71,7 +71,6 @@ def start_plan_alerts(
 
 
 def read_plan_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """All alerts written to `path`, with the number of their batch."""
-    return spark.read.schema(
-        "user_id bigint, posting_id bigint, posted_at timestamp, score int, band string, flags array<string>, batch bigint"
-    ).parquet(path)
+    """All alerts written to `path`, with the number of their batch; none if no batch has run yet."""
+    schema = "user_id bigint, posting_id bigint, posted_at timestamp, score int, band string, flags array<string>, batch bigint"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postvet.operators import usage
 from postvet.operators.scam import Rules
+from postvet.sources.bindings import Fixtures
 from postvet.streaming.alerts import scam_alerts
 from postvet.streaming.plan_alerts import plan_alerts, read_plan_alerts, start_plan_alerts
 from postvet.streaming.reputation import reputation, session_stream, text_reputation
@@ -168,3 +169,21 @@ def test_review_texts_meet_their_reviews_in_time(spark, tmp_path):
     assert found == [(1, 1, 3, 0.3333, "Positive"), (9, 1, 1, -1.0, "Negative")]
     # Reviews of one company 5 days apart can share a window of 10 days.
     assert sum(e[1] for e in every) == 3 and (9, 1, 1, -1.0, "Negative") in every
+
+
+def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path):
+    """A folder of part files, a single file, and files that come later, all under the table's name."""
+    parts = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    parts.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    parts.limit(1).write.parquet(str(tmp_path / "labels.parquet"))
+    stream = Fixtures(spark, str(tmp_path)).stream("documents")
+    assert sorted(rows(run(stream, tmp_path / "first"))) == sorted(rows(parts))
+    add_file(spark, tmp_path / "later", [(99, "late")], "doc_id long, text string", 1)
+    part = next(n for n in os.listdir(tmp_path / "later" / "in-1") if n.startswith("part-"))
+    os.link(tmp_path / "later" / "in-1" / part, tmp_path / "documents.parquet.2")
+    assert run(Fixtures(spark, str(tmp_path)).stream("documents"), tmp_path / "second").count() == 21
+
+
+def test_alerts_without_a_batch_are_an_empty_table(spark, tmp_path):
+    found = read_plan_alerts(spark, str(tmp_path / "nothing"))
+    assert found.count() == 0 and "batch" in found.columns
