@@ -76,6 +76,18 @@ def test_only_opening_words_become_rows(spark):
     assert max(len(r[0]) for r in made) == 16  # the next step from 5 words
 
 
+def test_common_first_words_open_no_long_runs(spark):
+    """A word that opens a long phrase makes no row unless the word after it fits too."""
+    long = "the " + " ".join(f"w{i}" for i in range(60))
+    index = indexed(spark, [long, "other one", "other"])
+    text = "the cat saw the dog and the other man of the " + "house " * 40 + f"other one {long} the"
+    split = spark.createDataFrame([(1, text)], "doc_id long, text string").select("doc_id", skill_words(F.col("text")).alias("w"))
+    made = [r[0] for r in rows(split.select(F.explode(phrase_index._runs("w", index.openers))))]
+    assert sorted(m[:2] for m in made) == [["other"], ["other", "one"], ["the", "w0"]]
+    found = rows(phrase_index.count(split, "w", index))
+    assert sorted(found) == [(1, "other", 2), (1, "other one", 1), (1, long, 1)]
+
+
 def brute_cosines(texts, pairs):
     counts = {i: Counter(t) for i, t in texts.items()}
     df = Counter(w for c in counts.values() for w in c)
