@@ -32,6 +32,8 @@ COMMON = 200_000
 FEW_LINKS = 256
 # Pairs of one node that meet in a task before its others go to another.
 PART_PAIRS = 256
+# Nodes of one shingle in a part: every two parts meet in a task.
+CELL_NODES = 2048
 
 
 def _remixed(hashes: np.ndarray) -> np.ndarray:
@@ -186,9 +188,11 @@ def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: fl
     """Pairs (a, b, ra, rb, na, nb, bits) of nodes in different groups that share a prefix shingle.
 
     Left out are pairs whose sizes prove them to be less similar, no others. A pair comes
-    once for each shingle; `bits` is how far the fingerprints differ. A shingle of many nodes is
-    dealt over parts: c nodes of different groups are compared c * c / 2 times, in tasks of
-    bounded size, and nothing of it is shuffled but what the caller keeps.
+    once for each shingle; `bits` is how far the fingerprints differ. The c nodes of a frequent
+    shingle are dealt over parts, and every two parts meet in a cell of their own: c nodes of
+    different groups are compared c * c / 2 times, but a cell has at most about 2 * CELL_NODES
+    rows, and a node travels once per part. Both sides of the join are the same rows in the
+    same order, so they are shuffled once.
     """
     at = (
         tokens.join(about.select("node", "n", "fp"), "node").join(roots, "node", "left")
@@ -196,21 +200,22 @@ def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: fl
     )
     live = (
         at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
-        .filter("low <> high").select("shingle", F.ceil(F.col("held") / PART_PAIRS).cast("int").alias("parts"))
+        .filter("low <> high").select("shingle", F.ceil(F.col("held") / CELL_NODES).cast("int").alias("parts"))
     )
-    at = at.join(live, "shingle")
-    left = at.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(
-        "shingle", "part", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("fp").alias("fa")
+    own, other = F.col("own"), F.col("other")
+    dealt = (
+        at.join(live, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("shingle", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "own", "node", "root", "n", "fp")
     )
-    right = at.select(
-        "shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("fp").alias("fb"),
-    )
-    fits = (
+    cell = ["shingle", "i", "j"]
+    left, right = dealt.toDF(*cell, "pa", "a", "ra", "na", "fa"), dealt.toDF(*cell, "pb", "b", "rb", "nb", "fb")
+    met = left.join(right, cell).filter(
         (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+        # Two nodes of one part meet in that part's own cell alone.
+        & ((F.col("i") == F.col("j")) | (F.col("pa") != F.col("pb")))
         & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity))
     )
-    met = left.join(right, (left["shingle"] == right["shingle"]) & (left["part"] == right["part"]) & fits)
     return met.select("a", "b", "ra", "rb", "na", "nb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("bits"))
 
 
@@ -255,7 +260,7 @@ def near_groups(
     node. An empty table gives no rows. Other columns are not looked at.
     """
     spark = ready(docs.sparkSession)
-    with Scratch(spark) as scratch:
+    with Scratch(spark, shuffles=True) as scratch:
         return _near_groups(docs, key, text, shingle, similarity, words, radius, prints, scratch)
 
 

@@ -1,6 +1,8 @@
 """The training-data operators on small inputs, against brute force."""
 
+import os
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -15,6 +17,7 @@ from postvet.llm import (  # noqa: E402
     components, decontamination, language, licenses, mixing, near_dedup, sharding, simhash, token_counts,
     token_files, topk, toxicity,
 )
+from postvet.llm.common import Scratch  # noqa: E402
 from postvet.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string"
@@ -643,3 +646,39 @@ def test_token_ids_are_not_shuffled_to_meet_the_file_table(spark, docs, tmp_path
     token_files.write_tokens(docs, str(tmp_path / "t"), WORD_BPE, 1)
     read = token_files.read_tokens(spark, str(tmp_path / "t"))
     assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_of_a_frequent_shingle_meet_once_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL_NODES", 4, raising=False)
+    held = {1: range(30), 2: range(20, 50), 3: [7]}
+    tokens = spark.createDataFrame([(s, n) for s, nodes in held.items() for n in nodes], "shingle long, node long")
+    about = spark.createDataFrame([(n, 10 + n % 5, 3 * n) for n in range(50)], "node long, n long, fp long")
+    roots = spark.createDataFrame([(n, 0) for n in range(0, 50, 7)], "node long, root long")
+    root = {n: 0 if n % 7 == 0 else n for n in range(50)}
+    want = [
+        (a, b, root[a], root[b], 10 + a % 5, 10 + b % 5, (3 * a ^ 3 * b).bit_count())
+        for nodes in held.values() for a in nodes for b in nodes
+        if a < b and root[a] != root[b] and min(a % 5, b % 5) + 10 >= 0.8 * (max(a % 5, b % 5) + 10)
+    ]
+    assert sorted(map(tuple, near_dedup._apart(tokens, about, roots, 0.8).collect())) == sorted(want)
+
+
+def test_near_groups_leaves_no_shuffle_files(spark):
+    """Files of ended queries would add up to several times the input."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {
+            name for folder in local.localDirsString() for _, _, names in os.walk(folder)
+            for name in names if name.startswith("shuffle_")
+        }
+
+    before, setting = files(), spark.conf.get(Scratch.CLEANUP, None)
+    table = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(60)], "doc_id long, text string")
+    found = near_dedup.near_groups(table)
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert found.select("root").distinct().count() == 30
+    assert spark.conf.get(Scratch.CLEANUP, None) == setting
