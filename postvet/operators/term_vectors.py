@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from postvet.functions.text import words
 from postvet.session import stored
 
-# Pairs that one task compares at once; it holds at most so many vectors of either side.
-CELL_PAIRS = 16_384
+# What a task holds at once: pairs, and entries of vectors of both sides, at 12 bytes each.
+CELL_PAIRS = 1 << 20
+CELL_ENTRIES = 1 << 24
+# Pairs of one resume that are multiplied at once.
+TURN = 4_096
+# Up to so many terms, a vector is spread over an array of all; else over those of its cell.
+FEW_TERMS = 1 << 23
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -33,21 +38,39 @@ def term_vectors(docs: DataFrame) -> DataFrame:
     counts = stored(term_counts(docs))
     total = docs.agg(F.count("*").alias("docs"))
     # Numbers are written once, so that all later reads agree on them.
-    idf = stored(
+    idf = _numbered(stored(
         counts.groupBy("term").agg(F.count("*").alias("df"))
         .withColumn("idf", F.log(total.scalar() / F.col("df"))).filter("idf > 0")
         .select("term", "idf", F.monotonically_increasing_id().alias("number"))
+    ))
+    weight = F.col("tf") * F.col("idf")
+    weighted = counts.join(idf, "term").select("doc_id", "number", weight.alias("weight"))
+    # The length is a sum of the group: as a column of its own over the array it would be moved into
+    # the function below, and worked out anew for each of the weights.
+    vectors = weighted.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("e"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"),
     )
-    weighted = counts.join(idf, "term").select(
-        "doc_id", F.struct("number", (F.col("tf") * F.col("idf")).alias("weight")).alias("e")
-    )
-    vectors = weighted.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, e: a + e["weight"] * e["weight"]))
-    return vectors.withColumn("length", length).select(
+    return vectors.select(
         "doc_id", F.col("e.number").alias("terms"), F.transform("e.weight", lambda w: w / F.col("length")).alias("weights")
     )
 
 
+def _numbered(idf: DataFrame) -> DataFrame:
+    """The same terms with gapless numbers from 0, in the order of the ones they have."""
+    # The upper bits name the partition: one row for each reaches the driver.
+    part = F.shiftright("number", 33).cast("int")
+    sizes = {r["part"]: r["n"] for r in idf.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return idf.withColumn("number", F.col("number").cast("int"))
+    starts = [0]
+    for at in range(max(sizes)):
+        starts.append(starts[-1] + sizes.get(at, 0))
+    kind = "int" if sum(sizes.values()) < 1 << 31 else "long"
+    within = F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
+    return idf.withColumn("number", (F.get(F.lit(starts).cast("array<long>"), part) + within).cast(kind))
+
+
 def _whole(lists: pa.ChunkedArray) -> pa.ListArray:
     made = lists.combine_chunks()
     return made.chunk(0) if isinstance(made, pa.ChunkedArray) else made
@@ -56,17 +79,20 @@ def _whole(lists: pa.ChunkedArray) -> pa.ListArray:
 def _products(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
     """Cosine of each pair of a cell; 0 where one side has no vector.
 
-    The vectors of one resume after another are spread over the cell's terms, and the
-    sorted arrays of all its postings are met with them at once.
+    The vectors of one resume after another are spread over the terms, and the
+    sorted arrays of its postings are met with them, many at once.
     """
     resume, posting = (pairs[c].to_numpy() for c in ("resume_id", "posting_id"))
     cosine = np.zeros(len(resume))
     if vectors.num_rows:
-        keys, terms = vectors["doc_id"].to_numpy(), _whole(vectors["terms"]).flatten().to_numpy(zero_copy_only=False)
+        keys, listed = vectors["doc_id"].to_numpy(), _whole(vectors["terms"])
+        terms, sizes = listed.flatten().to_numpy(zero_copy_only=False), listed.value_lengths().to_numpy(zero_copy_only=False)
         weights = _whole(vectors["weights"]).flatten().to_numpy(zero_copy_only=False)
-        sizes = _whole(vectors["terms"]).value_lengths().to_numpy(zero_copy_only=False)
-        starts = np.cumsum(sizes) - sizes
-        known, terms = np.unique(terms, return_inverse=True)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        width = int(terms.max()) + 1
+        if width > FEW_TERMS:
+            known, terms = np.unique(terms, return_inverse=True)
+            width = len(known)
         order = np.argsort(keys)
         keys = keys[order]
 
@@ -77,14 +103,15 @@ def _products(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
         r, p = place(resume), place(posting)
         usable = np.flatnonzero((r >= 0) & (p >= 0))
         usable = usable[np.argsort(r[usable], kind="stable")]
-        spread = np.zeros(len(known))
+        spread = np.zeros(width)
         for group in np.split(usable, np.flatnonzero(np.diff(r[usable])) + 1) if len(usable) else []:
             own = slice(starts[r[group[0]]], starts[r[group[0]]] + sizes[r[group[0]]])
             spread[terms[own]] = weights[own]
-            n = sizes[p[group]]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1]) + np.repeat(starts[p[group]] - (ends - n), n)
-            cosine[group] = np.add.reduceat(spread[terms[at]] * weights[at], ends - n)
+            for some in np.split(group, range(TURN, len(group), TURN)):
+                n = sizes[p[some]]
+                ends = np.cumsum(n, dtype=np.int64)
+                at = np.arange(ends[-1]) + np.repeat(starts[p[some]] - (ends - n), n)
+                cosine[some] = np.add.reduceat(spread[terms[at]] * weights[at], ends - n)
             spread[terms[own]] = 0.0
     return pa.table({"resume_id": pairs["resume_id"], "posting_id": pairs["posting_id"], "cosine": pa.array(cosine)})
 
@@ -94,11 +121,13 @@ def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
     Pairs are dealt to the cells of a grid of resumes by postings, and a vector goes once
     to each cell that has a pair of it: so it travels at most as often as it has pairs, and
-    at most once per row or column of the grid if it has many. A crowded cell, such as
-    one of a posting that many apply to, is dealt over several parts.
+    at most once per row or column of the grid if it has many. The grid is as coarse as the
+    memory of a task allows. A crowded cell, such as one of a posting that many apply to,
+    is dealt over several parts.
     """
     pairs, vectors = stored(pairs), stored(vectors)
-    side = max(1, math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
+    entries = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
+    side = max(1, math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)), math.ceil(2 * entries / CELL_ENTRIES))
     cell = F.pmod(F.xxhash64("resume_id"), F.lit(side)) * side + F.pmod(F.xxhash64("posting_id"), F.lit(side))
     celled = pairs.withColumn("cell", cell)
     crowded = (

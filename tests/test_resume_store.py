@@ -154,3 +154,24 @@ def test_word_bands_are_shares(spark):
     assert {r.token: r.weight for r in fx.lexicon().collect()} == {
         w: 1.0 if 1000 * c <= 40 * n else -1.0 for w, c in df.items() if 20 * n <= 1000 * c <= 80 * n
     }
+
+
+def test_a_length_is_worked_out_once_per_text(spark):
+    """Inside the function over the weights it would be summed anew for each of them."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "c a d"), (3, "b")], "doc_id long, text string")
+    vectors = term_vectors.term_vectors(docs)
+    assert " aggregate(" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+    numbers = {t for r in vectors.collect() for t in r.terms}
+    assert numbers == set(range(4))
+    assert all(sum(w * w for w in r.weights) == pytest.approx(1) for r in vectors.collect())
+
+
+@pytest.mark.parametrize("setting", ["CELL_ENTRIES", "TURN", "FEW_TERMS"])
+def test_cosines_in_small_cells_and_turns(spark, monkeypatch, setting):
+    texts = {i: [f"w{j % 7}" for j in range(i, 2 * i + 1)] for i in range(20)}
+    pairs = [(i, j) for i in range(20) for j in range(0, 20, 3)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    monkeypatch.setattr(term_vectors, setting, 3)
+    got = term_vectors.cosines(spark.createDataFrame(pairs, "resume_id long, posting_id long"), term_vectors.term_vectors(docs))
+    want = brute_cosines(texts, pairs)
+    assert {(r[0], r[1]): r[2] for r in rows(got)} == {p: pytest.approx(v, abs=1e-12) for p, v in want.items()}
