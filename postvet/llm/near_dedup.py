@@ -219,6 +219,25 @@ def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: fl
     return met.select("a", "b", "ra", "rb", "na", "nb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("bits"))
 
 
+def _best(pairs: DataFrame, ends: list[str]) -> DataFrame:
+    """Of the pairs that have a value in one of the columns `ends`, the best one: distinct (a, b, na, nb).
+
+    Fewest differing bits come first, then sizes nearest to each other, then a hash of the
+    pair. All this is one number and what is picked are numbers, so Spark folds the pairs in
+    a hash table of the values; the least of a struct would have all pairs sorted. Every
+    `min_by` meets the same rows in the same order, so the four are columns of one pair.
+    """
+    far = F.abs(F.col("na") - F.col("nb")) / F.greatest(F.col("na") + F.col("nb"), F.lit(1))
+    order = (
+        F.shiftleft(F.col("bits").cast("long"), 56) + F.shiftleft(F.floor(far * (1 << 23)).cast("long"), 32)
+        + F.shiftrightunsigned(F.xxhash64("a", "b"), 32)
+    )
+    seen = pairs.select("a", "b", "na", "nb", order.alias("order"), F.explode(F.array(*ends)).alias("end"))
+    return seen.groupBy("end").agg(
+        *(F.min_by(name, "order").alias(name) for name in ("a", "b", "na", "nb"))
+    ).drop("end").distinct()
+
+
 def _possible(pairs: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
     """The distinct pairs (a, b, na, nb) but for those whose parity maps prove them to be less similar."""
     one, two = about.select(F.col("node").alias("a"), F.col("map").alias("ma")), about.select(F.col("node").alias("b"), F.col("map").alias("mb"))
@@ -296,10 +315,7 @@ def _near_groups(docs, key, text, shingle, similarity, words, radius, prints, sc
     # 1. The nearest partner of each node, by bits and then by size.
     pairs = _candidates(nodes.select("node", "fps"), radius)
     pairs = scratch.stored(pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b"), "near")
-    p = F.struct("bits", F.abs(F.col("na") - F.col("nb")), "a", "b", "na", "nb").alias("p")
-    seen = pairs.select(F.col("a").alias("node"), p).union(pairs.select("b", p))
-    nearest = seen.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct()
-    links = confirmed(nearest, "first")
+    links = confirmed(_best(pairs, ["a", "b"]), "first")
     roots = scratch.stored(components(links), "roots0")
 
     # 2. What is left between different groups.
@@ -309,10 +325,7 @@ def _near_groups(docs, key, text, shingle, similarity, words, radius, prints, sc
     while True:
         turn += 1
         met = _apart(tokens, about, roots, similarity)
-        p = F.struct("bits", (F.abs(F.col("na") - F.col("nb")) / (F.col("na") + F.col("nb"))).alias("far"), "a", "b", "na", "nb").alias("p")
-        ends = met.select(p, F.explode(F.array("ra", "rb")).alias("root"))
-        best = ends.groupBy("root").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.na", "p.nb")
-        more = confirmed(_possible(best, about, similarity), f"links{turn}")
+        more = confirmed(_possible(_best(met, ["ra", "rb"]), about, similarity), f"links{turn}")
         links = links.union(more)
         roots = scratch.stored(components(links), f"roots{turn}")
         if more.count() <= FEW_LINKS:

@@ -663,6 +663,23 @@ def test_nodes_of_a_frequent_shingle_meet_once_in_cells(spark, monkeypatch):
     assert sorted(map(tuple, near_dedup._apart(tokens, about, roots, 0.8).collect())) == sorted(want)
 
 
+def test_best_pairs_are_folded_in_a_hash_table(spark):
+    rng = random.Random(5)
+    pairs = [(a, b, a % 7, b % 5 + 10, rng.randrange(1, 60), rng.randrange(1, 60), rng.randrange(64))
+             for a in range(30) for b in range(30, 60)]
+    table = spark.createDataFrame(pairs, "a long, b long, ra long, rb long, na long, nb long, bits int")
+    best = near_dedup._best(table.repartition(3), ["ra", "rb"])
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+    found = set(map(tuple, best.collect()))
+    assert found <= {(a, b, na, nb) for a, b, _, _, na, nb, _ in pairs}
+    rank = {(a, b): (bits, int(abs(na - nb) / (na + nb) * (1 << 23))) for a, b, _, _, na, nb, bits in pairs}
+    got = {(a, b) for a, b, _, _ in found}
+    for end in {p[2] for p in pairs} | {p[3] for p in pairs}:
+        of_end = [p[:2] for p in pairs if end in p[2:4]]
+        least = min(rank[p] for p in of_end)
+        assert any(rank[p] == least for p in of_end if p in got)
+
+
 def test_near_groups_leaves_no_shuffle_files(spark):
     """Files of ended queries would add up to several times the input."""
     local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
