@@ -1,6 +1,7 @@
 """The training-data operators on small inputs, against brute force."""
 
 import os
+import random
 import textwrap
 import time
 import zlib

@@ -282,3 +282,28 @@ def test_quota_without_time_and_with_two_plans(spark):
     plans = spark.createDataFrame([(7, "Free"), (8, "Free"), (8, "Pro")], "user_id long, plan string")
     got = usage.scan_quota(scans, plans, plan_table(spark)).select("event_id", "plan", "allowed")
     assert sorted(rows(got)) == [(1, "Free", False), (2, "Pro", True)]
+
+
+def test_submissions_travel_with_numbers_of_skills(spark, shuffle_joins):
+    pairs = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, 12)], "resume_id long, posting_id long")
+    held = spark.createDataFrame([(1, "a"), (1, "z"), (2, None), (2, "c"), (2, "c")], "resume_id long, skill string")
+    jobs = spark.createDataFrame([(10, "c"), (10, "a"), (10, "b"), (10, "b"), (11, "a"), (12, None)], "posting_id long, skill string")
+    missing = resume.missing_skills(pairs, held, jobs)
+    plan = missing._jdf.queryExecution().optimizedPlan()
+    kinds = [
+        out.apply(i).dataType().simpleString()
+        for out in (plan.collectLeaves().apply(0).output(), *_join_outputs(plan)) for i in range(out.size())
+    ]
+    assert "array<bigint>" in kinds and "array<string>" not in kinds
+    assert sorted(map(tuple, missing.collect())) == [(1, 10, "b"), (1, 10, "c"), (2, 10, "a"), (2, 10, "b")]
+    found = resume.skill_matches(pairs, held, jobs)
+    assert sorted(map(tuple, found.collect())) == [
+        (1, 10, 3, 1, ["b", "c"]), (1, 11, 1, 1, []), (2, 10, 3, 1, ["a", "b"]), (3, 12, 0, 0, []),
+    ]
+
+
+def _join_outputs(plan):
+    """What each join below a node of a plan gives."""
+    below = plan.children()
+    found = [plan.output()] if plan.nodeName() == "Join" else []
+    return found + [x for i in range(below.size()) for x in _join_outputs(below.apply(i))]
