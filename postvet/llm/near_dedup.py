@@ -26,14 +26,16 @@ PRINTS = 1
 # differ from below.
 MAP_BITS = 4
 # Of the texts one in so many is looked at for common shingles; the most common ones are kept.
-SAMPLE = 16
+SAMPLE = 4
 COMMON = 200_000
-# Rounds of one best partner for each group end when one confirms no more links than this.
+# Rounds of one partner for each shingle end when one confirms no more links than this.
 FEW_LINKS = 256
 # Pairs of one node that meet in a task before its others go to another.
 PART_PAIRS = 256
 # Nodes of one shingle in a part: every two parts meet in a task.
 CELL_NODES = 2048
+# Shingles that a node's shingle takes along of those before it.
+BEFORE = 64
 
 
 def _remixed(hashes: np.ndarray) -> np.ndarray:
@@ -175,29 +177,75 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def _tokens(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(shingle, node) of the prefixes, but for shingles that nodes of one group alone hold."""
-    every = (
-        nodes.select("node", "prefix").join(roots, "node", "left")
-        .select("node", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("shingle"))
-    )
+    """(shingle, node, at) of the prefixes, `at` the place, but for shingles that nodes of one group alone hold."""
+    return _live(nodes.select("node", F.posexplode("prefix").alias("at", "shingle")), roots)
+
+
+def _live(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shingle, node, at) of the shingles that nodes of different groups hold."""
+    every = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     live = every.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return every.join(live.select("shingle"), "shingle", "left_semi").select("shingle", "node")
+    return every.join(live.select("shingle"), "shingle", "left_semi").select("shingle", "node", "at")
+
+
+def _placed(tokens: DataFrame) -> DataFrame:
+    """(shingle, node, at, before, skipped): up to BEFORE shingles of the node before this one, and how many more it has."""
+    held = tokens.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "shingle"))).alias("held"))
+    each = held.select("node", F.col("held.shingle").alias("all"), F.posexplode("held").alias("k", "one"))
+    return each.select(
+        "one.shingle", "node", "one.at",
+        F.slice("all", F.greatest(F.col("k") - BEFORE, F.lit(0)) + 1, F.least("k", F.lit(BEFORE))).alias("before"),
+        F.greatest(F.col("k") - BEFORE, F.lit(0)).alias("skipped"),
+    )
+
+
+def _central(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Of each shingle, the pairs (a, b, na, nb) of one of its nodes with its others of different groups.
+
+    The first time that is the node with the smallest share of shingles of its own, such as
+    the original of edited copies, then any. So rows grow with the tokens, whatever a group's size.
+    """
+    at = (
+        tokens.select("shingle", "node").join(about.select("node", "n", "own"), "node").join(roots, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
+    )
+    chance = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 32)
+    share = F.floor(F.col("own") / F.greatest("n", F.lit(1)) * (1 << 20)).cast("long")
+    order = F.shiftleft(share, 32) + chance if turn == 1 else chance
+    middle = at.withColumn("order", order).groupBy("shingle").agg(
+        *(F.min_by(name, "order").alias(to) for name, to in (("node", "b"), ("root", "rb"), ("n", "nb")))
+    )
+    met = at.join(middle, "shingle").filter(
+        (F.col("root") != F.col("rb")) & (F.least("n", "nb") >= F.greatest("n", "nb") * F.lit(similarity))
+    )
+    first = F.col("node") < F.col("b")
+    return met.select(
+        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"),
+        F.when(first, F.col("n")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("n")).alias("nb"),
+    ).distinct()
 
 
 def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b, ra, rb, na, nb, bits) of nodes in different groups that share a prefix shingle.
 
-    Left out are pairs whose sizes prove them to be less similar, no others. A pair comes
-    once for each shingle; `bits` is how far the fingerprints differ. The c nodes of a frequent
+    Left out are pairs that can't be similar, no others: by their sizes, and, if `tokens` are
+    placed (see `_placed`), by what is left of both sets from the first shingle on that they share. Sets
+    that share a shingle share all earlier ones of their prefixes or none of them is common, so
+    a placed pair comes for its first shared shingle alone, unless one has skipped some; others
+    come once for each shingle. `bits` is how far the fingerprints differ. The c nodes of a frequent
     shingle are dealt over parts, and every two parts meet in a cell of their own: c nodes of
     different groups are compared c * c / 2 times, but a cell has at most about 2 * CELL_NODES
     rows, and a node travels once per part. Both sides of the join are the same rows in the
     same order, so they are shuffled once.
     """
+    placed = "before" in tokens.columns
+    more = ["after", "skipped", "before"] if placed else []
     at = (
         tokens.join(about.select("node", "n", "fp"), "node").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
+    if placed:
+        at = at.withColumn("after", F.col("n") - F.col("at"))
     live = (
         at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
         .filter("low <> high").select("shingle", F.ceil(F.col("held") / CELL_NODES).cast("int").alias("parts"))
@@ -206,17 +254,24 @@ def _apart(tokens: DataFrame, about: DataFrame, roots: DataFrame, similarity: fl
     dealt = (
         at.join(live, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("shingle", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "own", "node", "root", "n", "fp")
+        .select("shingle", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "own", "node", "root", "n", "fp", *more)
     )
-    cell = ["shingle", "i", "j"]
-    left, right = dealt.toDF(*cell, "pa", "a", "ra", "na", "fa"), dealt.toDF(*cell, "pb", "b", "rb", "nb", "fb")
-    met = left.join(right, cell).filter(
+    cell, side = ["shingle", "i", "j"], ["p{}", "{}", "r{}", "n{}", "f{}", *(name + "_{}" for name in more)]
+    left, right = (dealt.toDF(*cell, *(name.format(end) for name in side)) for end in "ab")
+    fits = (
         (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
         # Two nodes of one part meet in that part's own cell alone.
         & ((F.col("i") == F.col("j")) | (F.col("pa") != F.col("pb")))
         & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity))
     )
-    return met.select("a", "b", "ra", "rb", "na", "nb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("bits"))
+    if placed:
+        # They share this shingle, what follows it in the smaller rest, and of those before it only skipped ones.
+        most = F.least("after_a", "after_b") + F.col("skipped_a") + F.col("skipped_b")
+        least = (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+        fits = fits & (most >= least) & ~F.arrays_overlap("before_a", "before_b")
+    return left.join(right, cell).filter(fits).select(
+        "a", "b", "ra", "rb", "na", "nb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("bits")
+    )
 
 
 def _best(pairs: DataFrame, ends: list[str]) -> DataFrame:
@@ -269,9 +324,9 @@ def near_groups(
     1. A trie join of `prints` SimHash fingerprints gives a forest of near pairs; each text
        is compared with the one nearest to it in bits, which gathers most copies.
     2. Between the groups so found, pairs come from a complete filter: sets that similar
-       share a shingle of their prefixes (see `prefix`). First one partner of each group
-       is compared, over and over while that gathers many; then every pair that is left
-       between different groups. Pairs in one confirmed group can add nothing.
+       share a shingle of their prefixes (see `prefix`). First the holders of each shingle
+       are compared with one of them, over and over while that gathers many; then every pair
+       that is left between different groups. Pairs in one confirmed group can add nothing.
 
     Every link is confirmed on whole texts, so chance neighbours among many fingerprints
     join nothing. Rows with equal sets of shingles are one node, named by a 64-bit hash,
@@ -320,17 +375,21 @@ def _near_groups(docs, key, text, shingle, similarity, words, radius, prints, sc
 
     # 2. What is left between different groups.
     tokens = scratch.stored(_tokens(nodes, roots), "tokens")
-    about = scratch.stored(nodes.select("node", "n", "map", F.col("fps")[0].alias("fp")).join(tokens.select("node").distinct(), "node", "left_semi"), "about")
+    about = scratch.stored(
+        nodes.select("node", "n", "map", F.col("fps")[0].alias("fp"), F.size("prefix").alias("held"))
+        .join(tokens.groupBy("node").agg(F.count("*").alias("live")), "node")
+        .select("node", "n", "map", "fp", (F.col("held") - F.col("live")).alias("own")), "about"
+    )
     turn = 0
     while True:
         turn += 1
-        met = _apart(tokens, about, roots, similarity)
-        more = confirmed(_possible(_best(met, ["ra", "rb"]), about, similarity), f"links{turn}")
+        more = confirmed(_possible(_central(tokens, about, roots, similarity, turn), about, similarity), f"links{turn}")
         links = links.union(more)
         roots = scratch.stored(components(links), f"roots{turn}")
         if more.count() <= FEW_LINKS:
             break
-    rest = _possible(_apart(tokens, about, roots, similarity), about, similarity)
+    placed = scratch.stored(_placed(_live(tokens, roots)), "placed")
+    rest = _possible(_apart(placed, about, roots, similarity), about, similarity)
     found = components(links.union(confirmed(rest, "rest")))
     return scratch.keep(
         rows.join(found, "node", "left")

@@ -700,3 +700,42 @@ def test_near_groups_leaves_no_shuffle_files(spark):
     assert not files() - before
     assert found.select("root").distinct().count() == 30
     assert spark.conf.get(Scratch.CLEANUP, None) == setting
+
+
+@pytest.mark.parametrize("before", [64, 3, 0])
+def test_pairs_meet_for_their_first_shared_shingle(spark, before, monkeypatch):
+    """Copies far from each other made a row for every two of them and each shingle they share."""
+    monkeypatch.setattr(near_dedup, "BEFORE", before, raising=False)
+    draw, sets = np.random.default_rng(6), []
+    for edits in (2, 4, 9):
+        base = [f"w{x}" for x in draw.integers(0, 5_000, 200)]
+        for _ in range(40):
+            words = list(base)
+            for place in draw.choice(200, edits, replace=False):
+                words[place] = f"x{draw.integers(0, 10**9)}"
+            sets.append(simhash.shingle_hashes(" ".join(words), 5, distinct=True))
+    none = np.array([], np.uint64), np.array([], np.int64)
+    firsts = [near_dedup.prefix(s, 0.8, none).view(np.int64).tolist() for s in sets]
+    nodes = spark.createDataFrame(list(enumerate(firsts)), "node long, prefix array<bigint>")
+    about = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, n long, fp long")
+    roots = spark.createDataFrame([], "node long, root long")
+    tokens = near_dedup._placed(near_dedup._tokens(nodes, roots))
+    met = [(r.a, r.b) for r in near_dedup._apart(tokens, about, roots, 0.8).collect()]
+    shared = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    alike = {
+        (i, j) for j in range(len(sets)) for i in range(j)
+        if shared(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - shared(i, j))
+    }
+    assert len(alike) > 700 and alike <= set(met)
+    if before == 64:
+        each = sum(len(set(firsts[i]) & set(firsts[j])) for j in range(len(sets)) for i in range(j))
+        assert len(met) == len(set(met)) < each / 10
+
+
+def test_central_pairs_grow_with_the_tokens(spark):
+    tokens = spark.createDataFrame([(s, n, s) for s in range(3) for n in range(200)], "shingle long, node long, at int")
+    about = spark.createDataFrame([(n, 50, 1 if n == 77 else 9) for n in range(200)], "node long, n long, own long")
+    roots = spark.createDataFrame([(5, 77), (77, 77)], "node long, root long")
+    pairs = near_dedup._central(tokens, about, roots, 0.8, 1).collect()
+    # All meet the node with the fewest shingles of its own, but for one of its group.
+    assert sorted((r.a, r.b) for r in pairs) == sorted((min(n, 77), max(n, 77)) for n in range(200) if n not in (5, 77))
