@@ -6,16 +6,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postvet.llm.common import ready
 from postvet.session import stored
 
-SHELF_ROWS = 8192    # rows of a shelf, the unit that is stored and dealt
+SHELF_ROWS = 8192    # rows of a shelf, the unit that is dealt
 BLOCK_ROWS = 256     # rows of a block, the unit that is pruned
-QUERY_ROWS = 512     # queries that meet a shelf at once
+QUERY_ROWS = 4096    # queries that are searched at once
+PART_ROWS = 65536    # queries that meet a shelf in a task
+FIRST_ROWS, FIRST_PARTS = 512, 64  # the same for the first shelf, and its most tasks
 
 
 def quantised(vector: Column | str, scale: int = 256) -> Column:
@@ -26,14 +28,6 @@ def quantised(vector: Column | str, scale: int = 256) -> Column:
     return F.when(~bad, F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(x).cast("double")).otherwise(x)))
 
 
-def _matrix(rows: list, width: int) -> np.ndarray:
-    """Rows as float64, shorter ones padded with zeros."""
-    out = np.zeros((len(rows), width))
-    for i, row in enumerate(rows):
-        out[i, :len(row)] = row
-    return out
-
-
 def search_block(
     queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int,
     floor: np.ndarray | None = None,
@@ -68,6 +62,9 @@ def search_block(
             scores = queries[mine] @ matrix[s:e].T
             scored += scores.size
             scores[query_ids[mine, None] == ids[None, s:e]] = -np.inf
+            # Most blocks hold nothing that is good enough for most queries.
+            enters = (scores >= np.maximum(best[mine, k - 1], floor[mine])[:, None]).any(axis=1)
+            mine, scores = mine[enters], scores[enters]
             every = np.concatenate([best[mine], scores], axis=1)
             names = np.concatenate([best_ids[mine], np.broadcast_to(ids[s:e], scores.shape)], axis=1)
             at = np.lexsort((names, -every), axis=1)[:, :k]
@@ -120,24 +117,29 @@ def search_shelf(
             yield np.repeat(query_ids[q], k).reshape(-1, k)[at], found[at], scores[at].astype(np.int64)
 
 
-def shelves(rows: DataFrame, count: int) -> DataFrame:
-    """(shelf, ids, data, width): rows of (id, v) packed by hash, sorted by id within."""
+def _unpacked(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths of the vectors, and the vectors as rows of float64 padded with zeros."""
+    made = vectors.combine_chunks()
+    made = made.chunk(0) if isinstance(made, pa.ChunkedArray) else made
+    sizes = made.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), max(1, sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = made.flatten().to_numpy(zero_copy_only=False)
+    return ids.to_numpy().astype(np.int64), sizes, out
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(t=[tuple(x) for x in pdf["v"]]).drop_duplicates(["id", "t"]).sort_values(["id", "t"])
-        out = []
-        # Many rows of one id share a hash; they go to shelves of their own.
-        for i in range(0, len(pdf), 2 * SHELF_ROWS):
-            part = pdf.iloc[i:i + 2 * SHELF_ROWS]
-            width = max(1, *map(len, part["t"]))
-            out.append((int(pdf["shelf"].iloc[0]), part["id"].to_numpy(np.int64).tobytes(),
-                        _matrix(list(part["t"]), width).astype("<f8").tobytes(), width))
-        return pd.DataFrame(out, columns=["shelf", "ids", "data", "width"])
 
-    shelf = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(count)).cast("int")
-    return rows.withColumn("shelf", shelf).groupBy("shelf").applyInPandas(
-        pack, "shelf int, ids binary, data binary, width int"
-    )
+def _once(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) in id order; rows that repeat an id and a vector are there once."""
+    order = np.argsort(ids, kind="stable")
+    same = np.flatnonzero(np.diff(ids[order]) == 0)
+    drop, seen = [], set()
+    for at in np.unique(np.concatenate([same, same + 1])):
+        row = order[at]
+        known = (ids[row], matrix[row, :sizes[row]].tobytes())
+        if known in seen:
+            drop.append(at)
+        seen.add(known)
+    order = np.delete(order, drop)
+    return ids[order], matrix[order]
 
 
 def top_k(
@@ -145,10 +147,10 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, key, score): the k best rows for each query by integer inner product.
 
-    All rows are searched. They are packed into shelves of some thousand rows (a hash of
-    the id; id ranges are the blocks within), queries into batches; each batch meets each
-    shelf once in a task that holds the two. A task returns at most k rows per query, of
-    which a window picks the best k: by score, then smaller id.
+    All rows are searched. They are dealt to shelves of some thousand rows by a hash (id ranges
+    are the blocks within), queries to parts; each part meets each shelf once in a task that
+    holds the two. A task returns at most k rows per query, of which a window picks the best
+    k: by score, then smaller id.
 
     The first shelf is searched before the others; the k-th scores that it gives are where
     the others begin to prune.
@@ -164,58 +166,54 @@ def top_k(
     v = quantised(vector, scale).alias("v")
     rows = vectors.select(F.col(key).alias("id"), v).filter("v IS NOT NULL AND id IS NOT NULL")
     asked = queries.select(F.col(key).alias("id"), v).filter("v IS NOT NULL AND id IS NOT NULL")
-    count = max(1, -(-rows.count() // SHELF_ROWS))
-    packed = stored(shelves(rows, count))
-
-    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        out = []
-        for i in range(0, len(pdf), QUERY_ROWS):
-            part = pdf.iloc[i:i + QUERY_ROWS]
-            width = max(1, *map(len, part["v"]))
-            out.append((part["id"].to_numpy(np.int64).tobytes(),
-                        _matrix(list(part["v"]), width).astype("<f8").tobytes(), width,
-                        part["floor"].to_numpy("<f8").tobytes()))
-        return pd.DataFrame(out, columns=["q_ids", "q_data", "q_width", "q_floor"])
-
-    one_each = asked.groupBy("id").agg(F.min("v").alias("v"))
-    batches = max(1, -(-one_each.count() // QUERY_ROWS))
-    batch = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(batches)).cast("int").alias("batch")
-
-    def bundled(rows: DataFrame) -> DataFrame:
-        return rows.select("id", "v", "floor", batch).groupBy("batch").applyInPandas(
-            bundle, "q_ids binary, q_data binary, q_width int, q_floor binary"
+    count = max(1, -(-vectors.count() // SHELF_ROWS))
+    # By id and vector: rows of one id are dealt out too, and those that repeat both meet.
+    shelved = rows.withColumn("shelf", F.pmod(F.xxhash64("id", "v", F.lit(5)), F.lit(count)).cast("int"))
+    one_each = stored(asked.groupBy("id").agg(F.min("v").alias("v")))
+    many = one_each.count()
+    parts = max(1, -(-many // PART_ROWS))
+
+    def search(shelf: pa.Table, some: pa.Table) -> pa.Table:
+        found = []
+        if shelf.num_rows and some.num_rows:
+            ids, matrix = _once(*_unpacked(shelf["id"], shelf["v"]))
+            q_ids, _, asked = _unpacked(some["id"], some["v"])
+            floor = some["floor"].to_numpy()
+            width = min(matrix.shape[1], asked.shape[1])
+            for i in range(0, len(q_ids), QUERY_ROWS):
+                these = slice(i, i + QUERY_ROWS)
+                found += search_shelf(asked[these, :width], q_ids[these], ids, matrix[:, :width], k, floor[these])
+        columns = [np.concatenate(x) for x in zip(*found)] or [np.empty(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "id", "score"), columns)))
+
+    def met(asked: DataFrame, first: int, last: int, parts: int) -> DataFrame:
+        dealt = (
+            asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(parts)).cast("int"))
+            .withColumn("shelf", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        )
+        there = (
+            shelved.filter(F.col("shelf").between(first, last))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        )
+        return there.groupBy("shelf", "part").cogroup(dealt.groupBy("shelf", "part")).applyInArrow(
+            search, "query_id long, id long, score long"
         )
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples():
-                ids = np.frombuffer(row.ids, np.int64)
-                q_ids = np.frombuffer(row.q_ids, np.int64)
-                matrix = np.frombuffer(row.data, "<f8").reshape(len(ids), row.width)
-                asked = np.frombuffer(row.q_data, "<f8").reshape(len(q_ids), row.q_width)
-                width = min(row.width, row.q_width)
-                floor = np.frombuffer(row.q_floor, "<f8")
-                for q, d, score in search_shelf(asked[:, :width], q_ids, ids, matrix[:, :width], k, floor):
-                    yield pd.DataFrame({"query_id": q, "id": d, "score": score})
-
-    def met(bundles: DataFrame, first: int, last: int) -> DataFrame:
-        dealt = bundles.withColumn("shelf", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        return packed.join(dealt, "shelf").drop("shelf").mapInPandas(search, "query_id long, id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    found = met(bundled(one_each.withColumn("floor", F.lit(float("-inf")))), 0, 0)
+    # One shelf alone: its queries are dealt finer, so that they are many tasks.
+    finer = max(parts, min(FIRST_PARTS, -(-many // FIRST_ROWS)))
+    found = met(one_each.withColumn("floor", F.lit(float("-inf"))), 0, 0, finer)
     if count > 1:
         found = stored(ranked(found)).drop("rank")
         # The k-th score of the first shelf; a double may not be above it.
         kth = F.when(F.count("*") >= k, F.min("score").cast("double") - F.abs(F.min("score").cast("double")) * 1e-12)
         floors = found.groupBy(F.col("query_id").alias("id")).agg(kth.alias("floor"))
         seeded = one_each.join(floors, "id", "left").fillna(float("-inf"), ["floor"])
-        found = found.unionByName(met(bundled(seeded), 1, count - 1))
+        found = found.unionByName(met(seeded, 1, count - 1, parts))
     return (
         ranked(found)
         .select("query_id", "rank", F.col("id").alias(key), "score")

@@ -367,6 +367,25 @@ def test_top_k_of_many_shelves(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_top_k_rows_hold_one_vector(spark, monkeypatch):
+    """No table has rows of whole shelves, and many rows of one id are dealt over shelves."""
+    monkeypatch.setattr(topk, "SHELF_ROWS", 60)
+    monkeypatch.setattr(topk, "PART_ROWS", 3)
+    written, write = [], topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df: written.append(write(df)) or written[-1])
+    rows = [(7, [i / 256, 1.0]) for i in range(300)] + [(50 * i, [1.0, i / 256]) for i in range(8)] * 2 + [(7, [1.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, df.filter("vec_id % 50 = 0"), 3)
+    whole = {(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows}
+    want = []
+    for q, w in ((i, v) for i, v in whole if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for i, v in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:3])]
+    assert sorted(collected(found, "query_id", "rank", "vec_id", "score")) == sorted(want)
+    assert all(kind != "binary" for made in written for _, kind in made.dtypes)
+    assert "shelf" not in [name for made in written for name in made.columns]
+
+
 def test_blocks_are_pruned():
     draw = np.random.default_rng(4)
     matrix = np.concatenate([draw.normal(10 * (i % 4 == 0), 1, (topk.BLOCK_ROWS, 8)) for i in range(20)])
