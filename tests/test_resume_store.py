@@ -2,14 +2,17 @@
 
 import math
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import FOLDER, rows
 from pyspark.sql import functions as F
 
 from postvet.functions.text import skill_words, words
 from postvet.operators import phrase_index, resume, term_vectors
+from postvet.session import stored
 from postvet.sources.bindings import Fixtures
 
 
@@ -175,3 +178,65 @@ def test_cosines_in_small_cells_and_turns(spark, monkeypatch, setting):
     got = term_vectors.cosines(spark.createDataFrame(pairs, "resume_id long, posting_id long"), term_vectors.term_vectors(docs))
     want = brute_cosines(texts, pairs)
     assert {(r[0], r[1]): r[2] for r in rows(got)} == {p: pytest.approx(v, abs=1e-12) for p, v in want.items()}
+
+
+@pytest.mark.parametrize("hot", [1, 5, 1 << 19])
+def test_vectors_in_pieces_and_bands(spark, monkeypatch, hot):
+    """Rare terms and texts that share an id come in pieces; columns of the grid are worked on one by one."""
+    monkeypatch.setattr(term_vectors, "HOT_TERMS", hot)
+    monkeypatch.setattr(term_vectors, "CELL_ENTRIES", 100)
+    monkeypatch.setattr(term_vectors, "BAND_CELLS", 1)
+    written, write = [], term_vectors.stored
+    monkeypatch.setattr(term_vectors, "stored", lambda df: written.append(write(df)) or written[-1])
+    draw = random.Random(hot)
+    texts = {i: [f"w{int(300 * draw.random() ** 3)}" for _ in range(draw.randint(0, 60))] for i in range(30)}
+    split = [(i, " ".join(t)) for i, t in texts.items()]
+    # Two ids come twice, one of them is no id; a text is missing.
+    split[3:4] = [(3, " ".join(texts[3][:9])), (3, " ".join(texts[3][9:]))]
+    split += [(None, "w0 other"), (None, "other"), (40, None)]
+    texts |= {None: ["w0", "other", "other"]}
+    docs = spark.createDataFrame(split, "doc_id long, text string")
+    pairs = [(i, j) for i in range(30) for j in range(0, 30, 2)] + [(40, 1), (1, 40), (50, 51)]
+    vectors, total = term_vectors.compact_vectors(docs)
+    assert total == len(split) == 34
+    df = Counter(w for t in texts.values() for w in set(t))
+    weighted = {i: {w: n * math.log(total / df[w]) for w, n in Counter(t).items()} for i, t in texts.items()}
+    length = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in weighted.items()}
+    want = {
+        (r, p): sum(x * weighted.get(p, {}).get(w, 0.0) for w, x in weighted.get(r, {}).items())
+        / ((length.get(r) or 1) * (length.get(p) or 1)) for r, p in pairs
+    }
+    before = len(written)
+    got = term_vectors.cosines(spark.createDataFrame(pairs, "resume_id long, posting_id long"), vectors, total)
+    assert {(r[0], r[1]): r[2] for r in rows(got)} == {p: pytest.approx(v, abs=1e-12) for p, v in want.items()}
+    # The pairs, the dealt pairs, and each column of the grid; the vectors are not written again.
+    assert [w.columns[-1] for w in written[before:]] == ["posting_id"] * 2 + ["cosine"] * (len(written) - before - 2)
+    assert len(written) - before > 4
+    assert all(kind not in ("array<double>", "array<bigint>") for w in written for _, kind in w.dtypes)
+
+
+def test_short_numbers():
+    values = np.array([0, 1, 127, 128, 16_383, 16_384, 2**31, 2**62, 5])
+    for sizes in ([9], [0, 4, 0, 5, 0], [1] * 9):
+        short = term_vectors._short(values, np.array(sizes))
+        assert len(short) == len(sizes) and (term_vectors._long(short) == values).all()
+        assert (term_vectors._long(short.slice(1)) == values[sizes[0]:]).all()
+    assert len(term_vectors._long(term_vectors._short(values[:0], np.zeros(3, int)))) == 0
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    kept = stored(spark.range(1_000).repartition(7).groupBy(F.col("id") % 10).count())
+    for _ in range(50):
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert kept.count() == 10
