@@ -148,3 +148,35 @@ def test_nested_report(spark):
     met = pairs.join(headers, "posting_id", "left_semi").count()
     assert report.count() == met + headers.join(pairs, "posting_id", "left_anti").count()
     assert report.filter("resume_id IS NOT NULL").count() == met
+
+
+def test_report_shuffles_no_matches(spark, shuffle_joins):
+    """Names of missing skills meet the postings where they are made: no exchange carries them."""
+    from postvet.operators import resume
+    from postvet.plans import report
+
+    def empty(columns):
+        return spark.createDataFrame([(None,) * len(columns)], ", ".join(f"{c} {k}" for c, k in columns.items()))
+
+    matches = resume.match_percentage(
+        empty({"resume_id": "bigint", "posting_id": "bigint"}), empty({"resume_id": "bigint", "skill": "string"}),
+        empty({"posting_id": "bigint", "skill": "string"}),
+    )
+    found = empty({"posting_id": "bigint", "band": "string", "verdict": "string", "score": "int", "flags": "array<string>"})
+    panels = empty({
+        "company_id": "bigint",
+        "company_verification": "struct<is_verified: boolean, domain_age: string, domain_age_days: int, online_presence: string>",
+        "reviews": "struct<sentiment: string, score: double, summary: string, pros: string, cons: string>",
+    })
+    made = report.analysis_report(empty({"posting_id": "bigint", "company_id": "bigint"}), found, panels, matches)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = made._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    exchanges = [part for part in text.split("\n\n") if ") Exchange" in part.strip().split("\n")[0]]
+    carried = [part for part in exchanges if "_held" in part and "resume_id" in part]
+    assert exchanges and carried
+    assert not [part for part in exchanges if "resume_match" in part or ("_names" in part and "resume_id" in part)]
